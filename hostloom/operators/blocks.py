@@ -1,0 +1,79 @@
+"""Order-dependent operators whose groups are cut into blocks.
+
+A window over one key sorts all rows of that key in one task. Here the key is
+split by a block of its order column, each block is worked on alone, and only
+one summary row per block meets the others. With a unique integer order column
+a block of width ``w`` holds at most ``w`` rows, whatever the key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+WIDTH = 1_000_000
+
+_BLOCK = "_slice"
+
+
+def block_of(order: str, width: int = WIDTH) -> Column:
+    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+
+
+def _same_block(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [
+        F.col(f"l.{_BLOCK}") == F.col(f"r.{_BLOCK}")]
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, amount: Column, out: str,
+                width: int = WIDTH, block: Column | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over rows of the same key up to and with this one."""
+    keys = list(keys)
+    block = block_of(order, width) if block is None else block
+    rows = df.withColumn(_BLOCK, block).withColumn("_amount", amount)
+    totals = rows.groupBy(*keys, _BLOCK).agg(F.sum("_amount").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, _BLOCK,
+                            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_inner", F.sum("_amount").over(inside))
+    return (
+        rows.alias("l").join(offsets.alias("r"), _same_block(keys), "left")
+        .select(*[F.col(f"l.{c}") for c in df.columns],
+                (F.col("_inner") + F.col("_offset")).alias(out))
+    )
+
+
+def row_number(df: DataFrame, keys: Sequence[str], order: str, out: str,
+               width: int = WIDTH) -> DataFrame:
+    """Add ``out``: 1 for the first row of a key, counting up in ``order``."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, width)
+
+
+def neighbour(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[str, str],
+              following: bool = False, width: int = WIDTH) -> DataFrame:
+    """Add, for each ``out: source``, the value on the previous (or next) row of the key.
+
+    Only the edge row of a block needs a value from outside: that of the
+    nearest block of the same key.
+    """
+    keys = list(keys)
+    rows = df.withColumn(_BLOCK, block_of(order, width))
+    value = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
+    edge_of = F.min_by if following else F.max_by
+    edges = rows.groupBy(*keys, _BLOCK).agg(edge_of(value, F.col(order)).alias("_edge"))
+
+    by_block = Window.partitionBy(*keys).orderBy(_BLOCK)
+    by_row = Window.partitionBy(*keys, _BLOCK).orderBy(order)
+    step = F.lead if following else F.lag
+    edges = edges.withColumn("_outside", step("_edge").over(by_block)).drop("_edge")
+    rows = rows.withColumn("_value", value)
+    rows = rows.withColumn("_inside", step("_value").over(by_row))
+    picked = F.coalesce(F.col("_inside"), F.col("_outside"))
+    return (
+        rows.alias("l").join(edges.alias("r"), _same_block(keys), "left")
+        .select(*[F.col(f"l.{c}") for c in df.columns],
+                *[picked[out].alias(out) for out in columns])
+    )

@@ -1,0 +1,41 @@
+"""The heartbeat events of the ``file`` plugin; despite its name it reads no file."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hostloom.functions.payload import encode_event
+
+HEARTBEAT_PERIOD_S = 1
+
+
+def _event() -> list:
+    plugin, event, data = F.lit("file"), F.lit("file"), F.lit(None).cast("string")
+    return [plugin.alias("PluginName"), event.alias("EventName"),
+            encode_event(plugin, event, data).alias("payload")]
+
+
+def heartbeat(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """Endless stream of heartbeats."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.select(F.col("value").alias("seq"), F.col("timestamp").alias("ts"), *_event())
+
+
+def heartbeats_between(agents: DataFrame, period_s: int = HEARTBEAT_PERIOD_S) -> DataFrame:
+    """The heartbeats each agent sent while up: ``client_id``, ``started_at``, ``stopped_at``.
+
+    The first is one period after the start. Days are unrolled before ticks, so
+    no array holds more than one day of them.
+    """
+    def micros(column: str):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+
+    per_day = max(86400 // period_s, 1)
+    ticks = F.floor((micros("stopped_at") - micros("started_at")) / F.lit(period_s * 1_000_000)).cast("bigint")
+    spans = agents.withColumn("_ticks", ticks).filter(F.col("_ticks") >= 1).withColumn(
+        "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_ticks"), F.lit(per_day).cast("bigint"))))
+    rows = spans.withColumn("seq", F.explode(F.sequence(
+        F.col("_from"), F.least(F.col("_from") + F.lit(per_day - 1), F.col("_ticks")))))
+    at = F.col("started_at") + F.make_dt_interval(secs=(F.col("seq") * F.lit(period_s)).cast("decimal(18,6)"))
+    return rows.select("client_id", "seq", at.alias("ts"), *_event())
