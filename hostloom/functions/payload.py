@@ -18,19 +18,73 @@ from hostloom.schemas import COUNTER_FIELDS, NIC, PAYLOAD, SERVICE_INFO, STATS,
 TOP_KEYS = ("PluginName", "EventName", "Data")
 HOST_PLUGIN = "host"
 
-_NUMBER = "^(BIGINT|DOUBLE|DECIMAL)"
-_WHOLE = r"^(BIGINT$|DECIMAL\(\d+,0\))"
 
 
-def strict_json(text: Column) -> Column:
-    """Variant of a JSON text, NULL unless the text is exactly one JSON value.
+# --- the careful check -----------------------------------------------------
+# SQL text: these expressions are long, and text is built faster than columns.
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _kind(v: str) -> str:
+    """Type name of a variant; absent and JSON null are both VOID."""
+    return f"coalesce(schema_of_variant({v}), 'VOID')"
+
+
+def _member(v: str, key: str) -> str:
+    return f"try_variant_get({v}, '$.{key}', 'variant')"
+
+
+def _is_text(v: str) -> str:
+    return f"{_kind(v)} IN ('STRING', 'VOID')"
+
+
+def _is_number(v: str) -> str:
+    return f"{_kind(v)} RLIKE '^(BIGINT|DOUBLE|DECIMAL|VOID)'"
+
+
+def _is_uint64(v: str) -> str:
+    whole = f"try_variant_get({v}, '$', 'decimal(38,0)')"
+    return (f"({_kind(v)} = 'VOID' OR ({_kind(v)} RLIKE '^(BIGINT$|DECIMAL[(][0-9]+,0[)])' "
+            f"AND {whole} BETWEEN 0 AND {UINT64_MAX}))")
+
+
+def _is_object(v: str) -> str:
+    return f"{_kind(v)} RLIKE '^(OBJECT<|VOID)'"
+
+
+def _is_array(v: str, item: str, item_ok: str) -> str:
+    items = f"try_variant_get({v}, '$', 'array<variant>')"
+    return f"({_kind(v)} = 'VOID' OR ({_kind(v)} RLIKE '^ARRAY<' AND forall({items}, {item} -> {item_ok})))"
+
+
+def _fits_sample(text: str) -> str:
+    """SQL: the text is one JSON value that fits the payload schema, unknown keys aside.
 
     Spark's parser stops after the first value. Inside ``[ ]`` a stray ``]``
     would still pass and inside ``{ }`` a stray ``}``; no text passes both.
     """
-    in_object = F.json_object_keys(F.concat(F.lit('{"w":'), text, F.lit("}")))
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.size(in_object) == 1, F.try_variant_get(in_array, "$[0]", "variant"))
+    disk = " AND ".join([_is_object("d"), _is_text(_member("d", "mountpoint")),
+                         _is_number(_member("d", "used_percent"))])
+    fields = "struct<" + ",".join(f"{f.name}:variant" for f in NIC) + ">"
+    nic = f"{_is_object('n')} AND " + _let("r", f"try_variant_get(n, '$', '{fields}')", " AND ".join([
+        _is_text("r.mac"), _is_text("r.if_name"),
+        f"{_kind('r.ips')} IN ('ARRAY<STRING>', 'ARRAY<VOID>', 'VOID')",
+        *[_is_uint64(f"r.{name}") for name in COUNTER_FIELDS]]))
+    data = _let("data", _member("doc", "Data"), " AND ".join([
+        _is_object("data"),
+        *[_is_number(_member("data", k)) for k in ("cpu", "memory")],
+        *[_is_text(_member("data", k)) for k in ("uptime", "hostname", "os", "arch", "kernel")],
+        _is_array(_member("data", "disk"), "d", disk),
+        _is_array(_member("data", "networks"), "n", nic)]))
+    sample = " AND ".join([_is_object("doc"), _is_text(_member("doc", "PluginName")),
+                           _is_text(_member("doc", "EventName")), data])
+    value = f"try_variant_get(try_parse_json('[' || {text} || ']'), '$[0]', 'variant')"
+    single = f"size(json_object_keys('{{\"w\":' || {text} || '}}')) = 1"
+    return f"coalesce({single} AND " + _let("doc", value, f"doc IS NOT NULL AND {sample}") + ", false)"
 
 
 def canonical_keys(text: Column) -> Column:
@@ -48,7 +102,8 @@ def canonical_keys(text: Column) -> Column:
 
 
 def payload_text(payload: Column) -> Column:
-    return F.coalesce(payload.cast("string"), F.lit(""))
+    """JSON text of an envelope payload (binary or text)."""
+    return canonical_keys(F.coalesce(payload.cast("string"), F.lit("")))
 
 
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -57,13 +112,12 @@ _CORRUPT = "corrupt"
 _DOCUMENT = T.StructType([T.StructField("sample", PAYLOAD), T.StructField(_CORRUPT, T.StringType())])
 
 
-def payload_document(payload: Column) -> Column:
-    """``struct<sample, corrupt>`` of an envelope payload (binary or text).
+def document(text: Column) -> Column:
+    """``struct<sample, corrupt>`` of a payload text.
 
     The text is parsed as a member of an object, so text after the document is
     an error here and ``null`` is a sample without any value.
     """
-    text = canonical_keys(payload_text(payload))
     return F.from_json(
         F.concat(F.lit('{"sample":'), text, F.lit("}")), _DOCUMENT,
         {**STRICT_JSON, "columnNameOfCorruptRecord": _CORRUPT},
@@ -100,77 +154,14 @@ def _wrong_value_pattern() -> str:
 _SUSPICIOUS = _wrong_value_pattern()
 
 
-def is_sound(payload: Column, doc: Column) -> Column:
-    """True when the payload is one JSON value that fits the payload schema."""
-    text = canonical_keys(payload_text(payload))
-    # parsed as an object member above, as an array element here: a text with
+def is_sound(text: str, doc: str) -> Column:
+    """True when the payload text fits the schema; takes the names of both columns."""
+    # parsed as an object member for doc, as an array element here: a text with
     # something behind its first value fails one of the two
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    suspicious = F.rlike(text, F.lit(_SUSPICIOUS)) | F.contains(text, F.lit("\\u"))
-    plain = F.coalesce(doc[_CORRUPT].isNull() & single, F.lit(False))
-    return F.when(~plain, False).when(~suspicious, True).otherwise(
-        F.coalesce(is_sample(strict_json(text)), F.lit(False)))
-
-
-def _kind(v: Column) -> Column:
-    """Type name of a variant; absent and JSON null are both VOID."""
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-
-
-def _get(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
-
-
-def _is_text(v: Column) -> Column:
-    return _kind(v).isin("STRING", "VOID")
-
-
-def _is_number(v: Column) -> Column:
-    return F.rlike(_kind(v), F.lit(_NUMBER)) | (_kind(v) == "VOID")
-
-
-def _is_uint64(v: Column) -> Column:
-    whole = F.try_variant_get(v, "$", "decimal(38,0)")
-    return (_kind(v) == "VOID") | (
-        F.rlike(_kind(v), F.lit(_WHOLE)) & (whole >= 0)
-        & (whole <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)"))
-    )
-
-
-def _is_object(v: Column) -> Column:
-    return F.startswith(_kind(v), F.lit("OBJECT<")) | (_kind(v) == "VOID")
-
-
-def _is_array(v: Column, element_ok) -> Column:
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    return (_kind(v) == "VOID") | (
-        F.startswith(_kind(v), F.lit("ARRAY<")) & F.forall(items, element_ok))
-
-
-def _is_disk(v: Column) -> Column:
-    return _is_object(v) & _is_text(_get(v, "mountpoint")) & _is_number(_get(v, "used_percent"))
-
-
-def _is_nic(v: Column) -> Column:
-    # one pass per interface: its known fields side by side, each still a variant
-    row = F.try_variant_get(v, "$", "struct<" + ",".join(f"{f.name}:variant" for f in NIC) + ">")
-    ok = _is_object(v) & _is_text(row["mac"]) & _is_text(row["if_name"])
-    ok = ok & _kind(row["ips"]).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
-    for name in COUNTER_FIELDS:
-        ok = ok & _is_uint64(row[name])
-    return ok
-
-
-def is_sample(doc: Column) -> Column:
-    """True when the document fits the payload schema, unknown keys aside."""
-    data = _get(doc, "Data")
-    ok = _is_object(doc) & _is_text(_get(doc, "PluginName")) & _is_text(_get(doc, "EventName"))
-    ok = ok & _is_object(data)
-    for name in ("cpu", "memory"):
-        ok = ok & _is_number(_get(data, name))
-    for name in ("uptime", "hostname", "os", "arch", "kernel"):
-        ok = ok & _is_text(_get(data, name))
-    return ok & _is_array(_get(data, "disk"), _is_disk) & _is_array(_get(data, "networks"), _is_nic)
+    single = F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1
+    plain = F.coalesce(F.col(f"{doc}.{_CORRUPT}").isNull() & single, F.lit(False))
+    suspicious = F.rlike(F.col(text), F.lit(_SUSPICIOUS)) | F.contains(F.col(text), F.lit("\\u"))
+    return F.when(~plain, False).when(~suspicious, True).otherwise(F.expr(_fits_sample(text)))
 
 
 def plugin_name(doc: Column) -> Column:
@@ -198,19 +189,27 @@ def zero_stats() -> Column:
     return zero_of(STATS)
 
 
-def _filled(value: Column, dtype: T.DataType) -> Column:
-    """``value`` with every missing part, at any depth, replaced by its zero value."""
+def _zero_sql(dtype: T.DataType) -> str:
+    value = "array()" if isinstance(dtype, T.ArrayType) else "''" if isinstance(dtype, T.StringType) else "0"
+    return f"cast({value} AS {dtype.simpleString()})"
+
+
+def _filled(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL: ``value`` with every missing part, at any depth, replaced by its zero value."""
     if isinstance(dtype, T.StructType):
-        return F.struct(*[_filled(value[f.name], f.dataType).alias(f.name) for f in dtype])
+        return "struct(" + ", ".join(
+            f"{_filled(f'{value}.{f.name}', f.dataType, depth)} AS {f.name}" for f in dtype) + ")"
+    present = f"coalesce({value}, {_zero_sql(dtype)})"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(F.coalesce(value, F.array().cast(dtype)),
-                           lambda item: _filled(item, dtype.elementType))
-    return F.coalesce(value, zero_of(dtype))
+        item = f"x{depth}"
+        return f"transform({present}, {item} -> {_filled(item, dtype.elementType, depth + 1)})"
+    return present
 
 
-def decode_stats(doc: Column) -> Column:
+def decode_stats(doc: str = "doc") -> Column:
     """``Data`` as the stats struct; unknown keys dropped, absent keys zero, no ``Data`` NULL."""
-    return F.when(has_data(doc), _filled(doc["sample"]["Data"], STATS))
+    data = f"{doc}.sample.Data"
+    return F.expr(f"CASE WHEN {data} IS NOT NULL THEN {_filled(data, STATS)} END")
 
 
 def collect_ips(networks: Column) -> Column:

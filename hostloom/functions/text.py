@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostloom.bind import bind
 from hostloom.functions.duration import duration_ns
 
 # Fixed value: the characters a Unicode-aware trim removes.
@@ -81,25 +82,28 @@ def metric_name(subsystem: Column, name: Column) -> Column:
 
 
 # method, path, client address, status, latency; a decoded path may hold spaces
-ACCESS_LINE = r"^(\S+) (.*) (\S*) (\d{1,4}) (\S+)$"
+ACCESS_LINE = r"^(\S+) ([^\n]*) (\S*) (\d{1,4}) (\S+)$"
 
 
-def access_log_fields(line: Column) -> list[Column]:
-    """Columns of an HTTP access-log line; ``reason`` says why a line has none."""
+def with_access_fields(rows: DataFrame, column: str = "line") -> DataFrame:
+    """Add the columns of an HTTP access-log line; ``reason`` says why a line has none."""
+    # one replacement splits a line; a line that does not match is left whole
+    parts = F.split(F.regexp_replace(F.col(column), ACCESS_LINE, "$1\n$2\n$3\n$4\n$5"), "\n")
+    rows = bind(rows, "_parts", parts)
+    rows = bind(rows, "_latency", duration_ns(F.get("_parts", F.lit(4))))
+    matched = F.coalesce(F.size("_parts") == 5, F.lit(False))
+
     def part(i: int) -> Column:
-        return F.regexp_extract(line, ACCESS_LINE, i)
-
-    matched = F.coalesce(F.rlike(line, F.lit(ACCESS_LINE)), F.lit(False))
-    latency = duration_ns(part(5))
-    return [
-        F.when(matched, part(1)).alias("method"),
-        F.when(matched, part(2)).alias("path"),
-        F.when(matched, part(3)).alias("client_ip"),
-        F.when(matched, part(4).try_cast("int")).alias("status"),
-        F.when(matched, latency).alias("latency_ns"),
+        return F.when(matched, F.get("_parts", F.lit(i)))
+
+    return rows.select(
+        *[c for c in rows.columns if c not in ("_parts", "_latency")],
+        part(0).alias("method"), part(1).alias("path"), part(2).alias("client_ip"),
+        part(3).try_cast("int").alias("status"),
+        F.when(matched, F.col("_latency")).alias("latency_ns"),
         F.when(~matched, F.lit("bad_line"))
-        .when(latency.isNull(), F.lit("bad_latency")).alias("reason"),
-    ]
+        .when(F.col("_latency").isNull(), F.lit("bad_latency")).alias("reason"),
+    )
 
 
 def statement_log_class(elapsed_ms: Column, err: Column, level: str = "warn",

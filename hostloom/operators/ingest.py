@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.functions import payload as P
+from hostloom.bind import bind
 
 # Fixed value: the transport refuses larger messages.
 MAX_MESSAGE_BYTES = 10 * 1024 * 1024
@@ -41,19 +42,10 @@ def within_size(rows: DataFrame, column: str = "payload", cap: int = MAX_MESSAGE
     return rows.filter(payload_bytes(column) <= cap)
 
 
-def _bind(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row, wherever it is used later.
-
-    The optimizer copies a projected expression into every filter above it; it
-    does not move filters below a generator, so a parse bound this way is not
-    repeated.
-    """
-    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
-
-
 def parsed(envelopes: DataFrame) -> DataFrame:
-    """Add ``doc``: the payload as ``struct<sample, corrupt>``."""
-    return _bind(envelopes, "doc", P.payload_document(F.col("payload")))
+    """Add ``text``, the payload as JSON text, and ``doc``, the same as ``struct<sample, corrupt>``."""
+    rows = bind(envelopes, "text", P.payload_text(F.col("payload")))
+    return bind(rows, "doc", P.document(F.col("text")))
 
 
 def reject_reason() -> Column:
@@ -61,7 +53,7 @@ def reject_reason() -> Column:
     doc = F.col("doc")
     return (
         F.when(payload_bytes() == 0, F.lit(EMPTY_PAYLOAD))
-        .when(~P.is_sound(F.col("payload"), doc), F.lit(MALFORMED))
+        .when(~P.is_sound("text", "doc"), F.lit(MALFORMED))
         .when(P.plugin_name(doc) != P.HOST_PLUGIN, F.lit(OTHER_PLUGIN))
         .when(client_id() == "", F.lit(NO_CLIENT))
         .when(~P.has_data(doc), F.lit(NULL_DATA))
@@ -71,7 +63,7 @@ def reject_reason() -> Column:
 def classified(envelopes: DataFrame) -> DataFrame:
     """Add ``doc`` and ``reason``; parsing and the type rules run once per row."""
     judged = parsed(envelopes).withColumn("_reason", reject_reason())
-    return _bind(judged, "reason", F.col("_reason")).drop("_reason")
+    return bind(judged, "reason", F.col("_reason")).drop("_reason", "text")
 
 
 def well_formed(envelopes: DataFrame) -> DataFrame:
@@ -116,7 +108,7 @@ def accepted(envelopes: DataFrame) -> DataFrame:
 def samples(envelopes: DataFrame) -> DataFrame:
     """Accepted rows with the decoded ``stats`` in place of the payload."""
     rows = accepted(envelopes)
-    return _bind(rows, "stats", P.decode_stats(F.col("doc"))).drop("doc", "payload")
+    return bind(rows, "stats", P.decode_stats()).drop("doc", "payload")
 
 
 def disks(decoded: DataFrame) -> DataFrame:
@@ -164,7 +156,7 @@ def merge_latest(rows: DataFrame) -> DataFrame:
 
 def as_snapshots(latest: DataFrame) -> DataFrame:
     """Decode reduced rows to the snapshot columns."""
-    decoded = _bind(parsed(latest), "stats", P.decode_stats(F.col("doc")))
+    decoded = bind(parsed(latest), "stats", P.decode_stats())
     return decoded.select(
         "machine_id",
         F.col("stats.hostname").alias("host_name"),

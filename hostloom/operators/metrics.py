@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
@@ -68,31 +69,44 @@ def format_bound(bound: float) -> str:
     return str(int(bound)) if float(bound).is_integer() else repr(float(bound))
 
 
-_COARSE, _FINE = 32, 32
+_BLOCKS = 1024
 
 
-def _value_block(splits: Column, value: Column) -> Column:
-    """Number of split points below ``value``, found in two short scans."""
-    outer = F.transform(F.sequence(F.lit(1), F.lit(_COARSE - 1)), lambda i: F.get(splits, i * _FINE - 1))
-    coarse = F.size(F.filter(outer, lambda s: s < value))
-    inner = F.slice(splits, coarse * _FINE + 1, F.lit(_FINE))
-    return (coarse * _FINE + F.size(F.filter(inner, lambda s: s < value))).cast("bigint")
+def _split_points(rows: DataFrame, value: str) -> Column:
+    """Values that cut ``rows`` into ``_BLOCKS`` about equal blocks, as a literal array.
+
+    Runs one job; the sketch it brings to the driver has a fixed size.
+    """
+    at = [i / _BLOCKS for i in range(1, _BLOCKS)]
+    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), at, 10 * _BLOCKS)).first()[0]
+    points = [p for p in found or [] if math.isfinite(p)]
+    points += [math.inf] * (_BLOCKS - 1 - len(points))
+    return F.expr("array(" + ",".join(f"double('{p!r}')" for p in points) + ")")
+
+
+def _value_block(points: Column, value: Column) -> Column:
+    """Number of split points below ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_BLOCKS.bit_length() - 1))])
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when(F.get(points, at + step - 1) < value, at + step).otherwise(at),
+    ).cast("bigint")
 
 
 def summary(observations: DataFrame, labels: Sequence[str], value: str,
             quantiles: Sequence[float]) -> DataFrame:
     """Exact quantiles per label tuple: the value at rank ``ceil(q·n)``, with sum and count.
 
-    Equal values are counted first. A sketch over all rows gives about a
-    thousand split points; block totals then tell in which block a rank lies,
-    and only that block is ordered. No task sorts a whole label tuple.
+    Equal values are counted first. A sketch over all rows, made when this is
+    called, gives about a thousand split points; block totals then tell in
+    which block a rank lies, and only that block is ordered. No task sorts a
+    whole label tuple.
     """
     labels = list(labels)
     rows = observations.filter(F.col(value).isNotNull())
-    points = [i / (_COARSE * _FINE) for i in range(1, _COARSE * _FINE)]
-    splits = rows.agg(F.percentile_approx(value, points, 10 * _COARSE * _FINE)).scalar()
+    points = _split_points(rows, value)
     distinct = rows.groupBy(*labels, value).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = distinct.withColumn("_block", _value_block(splits, F.col(value)))
+    blocks = distinct.withColumn("_block", _value_block(points, F.col(value)))
 
     totals = rows.groupBy(*labels).agg(
         F.count(F.lit(1)).alias("observed_count"), F.sum(value).alias("observed_sum"))
@@ -103,7 +117,7 @@ def summary(observations: DataFrame, labels: Sequence[str], value: str,
         F.ceil(F.col("_q") * F.col("observed_count")).cast("bigint"), F.lit(1).cast("bigint")))
 
     per_block = blocks.groupBy(*labels, "_block").agg(F.sum("_n").alias("_n"))
-    ends = running_sum(per_block, labels, "_block", F.col("_n"), "_end", width=_COARSE * _FINE)
+    ends = running_sum(per_block, labels, "_block", F.col("_n"), "_end", width=_BLOCKS)
     wanted = ranks.alias("r").join(
         ends.alias("b"),
         [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in labels]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.functions.endpoint import parse_endpoint
+from hostloom.functions.endpoint import with_endpoint
 from hostloom.functions.text import SELF_SEGMENT, WHITESPACE
 from hostloom.operators.skew import spread_join
 from hostloom.sources.changes import DELETE, PUT
@@ -67,8 +67,8 @@ def watch(changes: DataFrame, key: str, prefix: bool = False, since_rev: int | N
 
 def lease_end(ts: Column, ttl_s: Column) -> Column:
     """When a lease runs out; NULL without a lease."""
-    return ts + F.make_dt_interval(
-        secs=F.greatest(ttl_s, F.lit(MIN_TTL_S)).cast("decimal(18,6)"))
+    seconds = F.greatest(ttl_s, F.lit(MIN_TTL_S)).cast("decimal(18,6)")
+    return F.when(ttl_s.isNotNull(), ts + F.make_dt_interval(secs=seconds))
 
 
 def live(changes: DataFrame, as_of: Column, keepalives: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,6 @@ def services(changes: DataFrame, root: str) -> DataFrame:
     """Instances below ``root/self/`` with their id and listen endpoint."""
     below = f"{_trimmed(root)}/{SELF_SEGMENT}/"
     rows = get_prefix(changes, below)
-    endpoint = parse_endpoint(F.col("val"))
-    return rows.withColumn("endpoint", endpoint).select(
+    return with_endpoint(rows, "val", "endpoint").select(
         F.substring(F.col("svc_key"), F.lit(len(below) + 1), F.length("svc_key")).alias("service_id"),
         "svc_key", "endpoint.protocol", "endpoint.host", "endpoint.port", "endpoint.reason")

@@ -178,10 +178,10 @@ SELECT event_id, raw % 4096 AS sequence, raw > 4095 AS overflow,
   UNION ALL SELECT * FROM (VALUES ('N', 'F', 0.0), ('R', 'O', 0.0), ('X', 'O', 0.0)) d(a, b, c)) GROUP BY 1, 2""",
     "agg_latest_snapshot": _LATEST,
     "agg_counter": "SELECT l_returnflag AS sink_type, l_linestatus AS status, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2",
-    "agg_gauge": """WITH g AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS at FROM events)
+    "agg_gauge": """WITH g AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS set_at FROM events)
 SELECT user_id AS series, round(sum(CASE WHEN event_type = 'signup' THEN value WHEN event_type = 'click' THEN 1
   WHEN event_type = 'view' THEN -1 ELSE value END), 4) AS value
-FROM g WHERE at IS NULL OR event_id >= at GROUP BY user_id""",
+FROM g WHERE set_at IS NULL OR event_id >= set_at GROUP BY user_id""",
     "agg_histogram": """WITH b AS (SELECT * FROM (VALUES ('1000', 1000.0), ('5000', 5000.0), ('10000', 10000.0), ('50000', 50000.0),
   ('100000', 100000.0), ('+Inf', 1e300)) t(le, bound))
 SELECT l_returnflag, le, count(*) FILTER (WHERE l_extendedprice <= bound) AS bucket_count, count(*) AS observed_count,

@@ -15,7 +15,7 @@ from hostloom.functions import ids
 from hostloom.functions import payload as P
 from hostloom.functions import text as X
 from hostloom.functions.duration import duration_from_json, duration_ns, uptime_label
-from hostloom.functions.endpoint import format_endpoint, host_port, parse_endpoint
+from hostloom.functions.endpoint import format_endpoint, host_port, with_endpoint
 from hostloom.operators import hosts as H
 from hostloom.operators import ingest as I
 from hostloom.operators import metrics as M
@@ -62,7 +62,8 @@ def _landed(df: DataFrame, spark: SparkSession, name: str) -> str:
 
 def _events_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = V.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    # written as a pattern, since a stream takes a plain path to be a directory
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _snapshot_out(snapshots: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def arr_nics(spark, sf_dir):
 @query
 def arr_zero_stats(spark, sf_dir):
     rows = I.well_formed(V.envelopes(spark, sf_dir))
-    stats = F.coalesce(P.decode_stats(F.col("doc")), P.zero_stats())
+    stats = F.coalesce(P.decode_stats(), P.zero_stats())
     return rows.select("seq", stats.alias("stats")).select(
         "seq", "stats.cpu", "stats.memory", "stats.hostname",
         F.size("stats.disk").cast("bigint").alias("disks"), F.size("stats.networks").cast("bigint").alias("nics"))
@@ -312,14 +313,13 @@ def arr_assemble(spark, sf_dir):
 
 @query
 def str_endpoint_parse(spark, sf_dir):
-    return V.endpoints(spark, sf_dir).select("id", parse_endpoint(F.col("input")).alias("e")).select(
+    return with_endpoint(V.endpoints(spark, sf_dir), "input", "e").select(
         "id", "e.protocol", "e.host", F.col("e.port").cast("bigint").alias("port"), "e.reason")
 
 
 @query
 def str_endpoint_format(spark, sf_dir):
-    e = V.endpoints(spark, sf_dir).select("id", parse_endpoint(F.col("input")).alias("e")).filter(
-        F.col("e.reason").isNull())
+    e = with_endpoint(V.endpoints(spark, sf_dir), "input", "e").filter(F.col("e.reason").isNull())
     return e.select("id", format_endpoint(F.col("e.protocol"), F.col("e.host"), F.col("e.port")).alias("endpoint"),
                     host_port(F.col("e.host"), F.col("e.port")).alias("host_port"))
 
@@ -356,7 +356,7 @@ def str_conn_id(spark, sf_dir):
 
 @query
 def str_access_log(spark, sf_dir):
-    return V.access_log(spark, sf_dir).select("seq", *X.access_log_fields(F.col("line"))).select(
+    return X.with_access_fields(V.access_log(spark, sf_dir)).select(
         "seq", "method", "path", "client_ip", F.col("status").cast("bigint").alias("status"), "latency_ns", "reason")
 
 
@@ -503,7 +503,7 @@ def agg_databus_metrics(spark, sf_dir):
 
 @query
 def agg_controller_metrics(spark, sf_dir):
-    requests = V.access_log(spark, sf_dir).select(*X.access_log_fields(F.col("line")))
+    requests = X.with_access_fields(V.access_log(spark, sf_dir))
     active = S.sessions(V.conn_events(spark, sf_dir)).filter(F.col("ended_by").isNull())
     return M.controller_metrics(requests, active).select("metric", _labels_text(), "value")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hostloom.session import widened
+
 ENVELOPE_KIND = """
 CASE WHEN event_id % 101 = 0 THEN 'greeting'
      WHEN event_id % 83 = 0 THEN 'empty'
@@ -62,7 +64,7 @@ def as_envelopes(events: DataFrame) -> DataFrame:
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_envelopes(table(spark, sf_dir, "events"))
+    return as_envelopes(widened(table(spark, sf_dir, "events")))
 
 
 def nics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,7 @@ def conn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return widened(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).selectExpr(
         "event_id AS seq",
         """CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END || ' /api/' || event_type || ' 10.0.0.'
              || CAST(user_id % 250 AS STRING) || ' ' || CASE WHEN event_type = 'error' THEN '500' ELSE '200' END

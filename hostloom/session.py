@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on. Values are Spark's own settings; a cluster's
 # defaults file may set others (partition counts above all).
@@ -45,6 +45,16 @@ def local_session(cores: str | int = "*", app: str = "hostloom") -> SparkSession
     return spark
 
 
+def widened(rows: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input comes in fewer splits than there are cores.
+
+    For a few small files in front of costly parsing. A table with many splits
+    is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder under the checkpoint folder all executors can reach.
 

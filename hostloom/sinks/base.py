@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hostloom.operators.ingest import classified, payload_bytes
 from hostloom.schemas import OUTCOME
+from hostloom.session import widened
 
 log = logging.getLogger(__name__)
 
@@ -51,7 +52,7 @@ def fan_out(envelopes: DataFrame, sinks: Sequence[Sink], batch: str = "0",
     and kept for all sinks; volumes are counted while they are written.
     """
     spark = envelopes.sparkSession
-    rows = judged(envelopes)
+    rows = judged(widened(envelopes))
     if not sinks:
         write_noop(rows)
         return spark.createDataFrame([], OUTCOME)

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostloom.functions.endpoint import parse_endpoint
+from hostloom.functions.endpoint import with_endpoint
 from hostloom.schemas import SNAPSHOT
 from hostloom.sinks.base import Sink
 from hostloom.sinks.kafka import kafka_sink
@@ -42,7 +42,7 @@ def _kafka(spark: SparkSession, config: Mapping) -> Sink:
 
 def _mysql(spark: SparkSession, config: Mapping) -> Sink:
     url, database = _text(config, "url"), _text(config, "database")
-    at = spark.range(1).select(parse_endpoint(F.lit(url)).alias("e")).first().e
+    at = with_endpoint(spark.range(1).select(F.lit(url).alias("url")), "url", "e").first().e
     if at.reason:
         raise SinkConfigError(f"url {url!r}: {at.reason}")
     return jdbc_sink(f"jdbc:mysql://{at.host}:{at.port}/{database}",
