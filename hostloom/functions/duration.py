@@ -25,6 +25,12 @@ _TERM = rf"({_NUMBER})({_UNIT})"
 _INT64_MAX = 9223372036854775807
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds from 1970 to a wall-clock time; the session's time zone plays no part."""
+    since = ts - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+
 def duration_ns(text: Column) -> Column:
     """``1h30m``, ``1.5s``, ``-2ms``, ``0`` → nanoseconds; NULL for other text."""
     unit_ns = F.create_map(*[F.lit(x) for kv in UNIT_NS.items() for x in kv])

@@ -6,11 +6,10 @@ import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.text import metric_name
-from hostloom.operators.blocks import running_sum
 from hostloom.operators.skew import spread_join
 
 
@@ -98,9 +97,9 @@ def summary(observations: DataFrame, labels: Sequence[str], value: str,
     """Exact quantiles per label tuple: the value at rank ``ceil(q·n)``, with sum and count.
 
     Equal values are counted first. A sketch over all rows, made when this is
-    called, gives about a thousand split points; block totals then tell in
-    which block a rank lies, and only that block is ordered. No task sorts a
-    whole label tuple.
+    called, cuts them into about a thousand blocks; the totals of a label's
+    blocks tell in which block a rank lies, and only that block is ordered. No
+    task sorts a whole label tuple.
     """
     labels = list(labels)
     rows = observations.filter(F.col(value).isNotNull())
@@ -108,33 +107,28 @@ def summary(observations: DataFrame, labels: Sequence[str], value: str,
     distinct = rows.groupBy(*labels, value).agg(F.count(F.lit(1)).alias("_n"))
     blocks = distinct.withColumn("_block", _value_block(points, F.col(value)))
 
-    totals = rows.groupBy(*labels).agg(
-        F.count(F.lit(1)).alias("observed_count"), F.sum(value).alias("observed_sum"))
-    ranks = totals.select(
-        *labels, "observed_count", "observed_sum",
-        F.explode(F.array(*[F.lit(Decimal(str(q))) for q in sorted(quantiles)])).alias("_q"))
-    ranks = ranks.withColumn("_rank", F.greatest(
-        F.ceil(F.col("_q") * F.col("observed_count")).cast("bigint"), F.lit(1).cast("bigint")))
-
-    per_block = blocks.groupBy(*labels, "_block").agg(F.sum("_n").alias("_n"))
-    ends = running_sum(per_block, labels, "_block", F.col("_n"), "_end", width=_BLOCKS)
-    wanted = ranks.alias("r").join(
-        ends.alias("b"),
-        [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in labels]
-        + [F.col("_rank") <= F.col("_end"), F.col("_rank") > F.col("_end") - F.col("_n")],
-    ).select(*[F.col(f"r.{c}") for c in labels], "_q", "_rank", "_block",
-             (F.col("_end") - F.col("_n")).alias("_before"), "observed_count", "observed_sum")
-
-    needed = wanted.select(*labels, "_block").distinct()
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*labels, "_block"]]
-    inside = blocks.alias("l").join(needed.alias("w"), on, "left_semi")
-    inside = running_sum(inside, [*labels, "_block"], value, F.col("_n"), "_upto", block=F.lit(0))
-    hit = inside.alias("l").join(
-        wanted.alias("w"),
-        on + [F.col("_rank") - F.col("_before") <= F.col("_upto"),
-              F.col("_rank") - F.col("_before") > F.col("_upto") - F.col("_n")])
-    return hit.select(*[F.col(f"w.{c}") for c in labels], F.col("_q").cast("double").alias("quantile"),
-                      F.col(f"l.{value}").alias("value"), "observed_count", "observed_sum")
+    # at most _BLOCKS rows per label tuple from here
+    totals = blocks.groupBy(*labels, "_block").agg(
+        F.sum("_n").alias("_n"), F.sum(F.col(value) * F.col("_n")).alias("_s"))
+    whole = Window.partitionBy(*labels)
+    upto = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = totals.select(
+        *labels, "_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), "_n",
+        F.sum("_n").over(whole).alias("observed_count"), F.sum("_s").over(whole).alias("observed_sum"))
+    q = F.explode(F.array(*[F.lit(Decimal(str(x))) for x in sorted(quantiles)]))
+    rank = F.greatest(F.ceil(F.col("quantile") * F.col("observed_count")).cast("bigint"), F.lit(1))
+    wanted = placed.withColumn("quantile", q).withColumn("_rank", rank - F.col("_before")).filter(
+        F.col("_rank").between(F.lit(1), F.col("_n"))).drop("_before", "_n")
+
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*labels, "_block"]]
+    inside = blocks.alias("b").join(wanted.alias("w"), same).select(
+        *[F.col(f"w.{c}") for c in wanted.columns], F.col(f"b.{value}").alias("value"), F.col("_n"))
+    ordered = Window.partitionBy(*labels, "_block", "quantile").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0)
+    hit = inside.withColumn("_upto", F.sum("_n").over(ordered)).filter(
+        F.col("_rank").between(F.col("_upto") - F.col("_n") + 1, F.col("_upto")))
+    return hit.select(*labels, F.col("quantile").cast("double").alias("quantile"), "value",
+                      "observed_count", "observed_sum")
 
 
 def summary_approx(observations: DataFrame, labels: Sequence[str], value: str,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostloom.functions.duration import epoch_micros
 from hostloom.functions.ids import MAX_SEQUENCE, encode_id
 from hostloom.operators.blocks import WIDTH, neighbour, row_number
 
@@ -17,7 +18,7 @@ def throughput(operations: DataFrame, by: Sequence[str], failed: Column, ts: str
     Only successful operations count as ``ops``; the time runs from the first
     to the last row of the group.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = epoch_micros(F.col(ts))
     seconds = (F.max(micros) - F.min(micros)) / F.lit(1_000_000.0)
     ops = F.count_if(~failed)
     return operations.groupBy(*by).agg(

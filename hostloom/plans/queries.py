@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from hostloom.functions import ids
 from hostloom.functions import payload as P
 from hostloom.functions import text as X
-from hostloom.functions.duration import duration_from_json, duration_ns, uptime_label
+from hostloom.functions.duration import duration_from_json, duration_ns, epoch_micros, uptime_label
 from hostloom.functions.endpoint import format_endpoint, host_port, with_endpoint
 from hostloom.operators import hosts as H
 from hostloom.operators import ingest as I
@@ -387,7 +387,7 @@ def mth_hash(spark, sf_dir):
 
 
 def _event_ms() -> Column:
-    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    return F.floor(epoch_micros(F.col("ts")) / 1000).cast("bigint")
 
 
 def _event_id() -> Column:

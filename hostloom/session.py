@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +30,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", app: str = "hostloom") -> SparkSession:
-    """A local session for tests and benchmarks."""
+def local_session(cores: str | int = "*", app: str = "hostloom", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; ``shared`` is its folder for intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
@@ -38,6 +39,8 @@ def local_session(cores: str | int = "*", app: str = "hostloom") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -55,6 +58,11 @@ def widened(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="hostloom-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder under the checkpoint folder all executors can reach.
 
@@ -66,6 +74,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="hostloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

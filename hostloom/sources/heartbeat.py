@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostloom.functions.duration import epoch_micros
 from hostloom.functions.payload import encode_event
 
 HEARTBEAT_PERIOD_S = 1
@@ -28,11 +29,10 @@ def heartbeats_between(agents: DataFrame, period_s: int = HEARTBEAT_PERIOD_S) ->
     The first is one period after the start. Days are unrolled before ticks, so
     no array holds more than one day of them.
     """
-    def micros(column: str):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-
     per_day = max(86400 // period_s, 1)
-    ticks = F.floor((micros("stopped_at") - micros("started_at")) / F.lit(period_s * 1_000_000)).cast("bigint")
+    ticks = F.floor(
+        (epoch_micros(F.col("stopped_at")) - epoch_micros(F.col("started_at"))) / F.lit(period_s * 1_000_000)
+    ).cast("bigint")
     spans = agents.withColumn("_ticks", ticks).filter(F.col("_ticks") >= 1).withColumn(
         "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_ticks"), F.lit(per_day).cast("bigint"))))
     rows = spans.withColumn("seq", F.explode(F.sequence(
