@@ -52,7 +52,8 @@ def widened(rows: DataFrame) -> DataFrame:
     """Deal rows over all cores when the input comes in fewer splits than there are cores.
 
     For a few small files in front of costly parsing. A table with many splits
-    is returned as it is, without a shuffle.
+    is returned as it is, without a shuffle. Meant for scans and micro-batches:
+    counting the partitions of a plan that shuffles would run it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from hostloom.operators.ingest import classified, payload_bytes
 from hostloom.schemas import OUTCOME
-from hostloom.session import widened
 
 log = logging.getLogger(__name__)
 
@@ -43,20 +42,21 @@ class FanOutError(RuntimeError):
 
 
 def fan_out(envelopes: DataFrame, sinks: Sequence[Sink], batch: str = "0",
-            on_error: str = "continue") -> DataFrame:
+            on_error: str = "continue", persist: bool = True) -> DataFrame:
     """Give every row to every sink in order; return one outcome row per sink.
 
     A failing sink does not stop the others. With ``on_error="continue"`` the
     call succeeds all the same; with ``"fail"`` it raises once all sinks have
-    been tried, so that a stream replays the batch. The rows are judged once
-    and kept for all sinks; volumes are counted while they are written.
+    been tried, so that a stream replays the batch. Volumes are counted while
+    rows are written. A micro-batch is judged once and kept for all sinks; for
+    a backfill too large to keep, ``persist=False`` judges it once per sink.
     """
     spark = envelopes.sparkSession
-    rows = judged(widened(envelopes))
+    rows = judged(envelopes)
     if not sinks:
         write_noop(rows)
         return spark.createDataFrame([], OUTCOME)
-    shared = len(sinks) > 1
+    shared = persist and len(sinks) > 1
     if shared:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     outcomes, errors = [], []

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostloom.operators.ingest import accepted, drop_greetings, reduce_to_latest, within_size
 from hostloom.operators.registry import MIN_TTL_S, watch
+from hostloom.session import widened
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.snapshots import SnapshotTable
 from hostloom.sources.changes import DELETE, PUT
@@ -36,7 +37,7 @@ def ingest(envelopes: DataFrame, sinks: Sequence[Sink], checkpoint: str,
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _batch_name(checkpoint, batch_id)
-        outcomes = fan_out(batch, sinks, name, on_error)
+        outcomes = fan_out(widened(batch), sinks, name, on_error)
         if delivery_log:
             outcomes.coalesce(1).write.mode("overwrite").parquet(f"{delivery_log.rstrip('/')}/batch={name}")
 
