@@ -196,17 +196,35 @@ def exposition(samples: DataFrame) -> DataFrame:
         F.col("metric"), labelled, F.lit(" "), format_value(F.col("value"))).alias("line"))
 
 
-# Metrics the services declare, with the label tuples that show 0 from the start.
+# Metrics the services declare, and the label tuples that show 0 from the start.
+RECORDS_WRITTEN = "databus_records_written_total"
+BYTES_WRITTEN = "databus_bytes_written_total"
+CONNECTIONS_ACTIVE = "databus_connections_active"
+REQUESTS = "controller_requests_total"
+AGENTS_ACTIVE = "controller_agent_connections_active"
 ADMIN_INFO_VERSION = "v1"
-DECLARED_RECORDS = (("kafka", "success"),)
-DECLARED_BYTES = (("kafka",),)
-DECLARED_REQUESTS = (("GET", "200"),)
-DECLARED_STATES = (("connected",),)
+DECLARED = {
+    RECORDS_WRITTEN: {"sink_type": "kafka", "status": "success"},
+    BYTES_WRITTEN: {"sink_type": "kafka"},
+    CONNECTIONS_ACTIVE: {"state": "connected"},
+    REQUESTS: {"method": "GET", "status": "200"},
+    AGENTS_ACTIVE: {"state": "connected"},
+}
 
 
-def _declared(like: DataFrame, rows: Sequence[tuple], labels: Sequence[str]) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in labels)
-    return like.sparkSession.createDataFrame(list(rows), schema)
+def _with_declared(series: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Series rows ``metric, <labels>, value`` as samples, declared tuples added.
+
+    A label that is NULL does not belong to its metric.
+    """
+    labels = [c for c in series.columns if c not in ("metric", "value")]
+    zeros = [(m, *[DECLARED[m].get(c) for c in labels]) for m in metrics]
+    declared = series.sparkSession.createDataFrame(
+        zeros, "metric string, " + ", ".join(f"{c} string" for c in labels))
+    filled = zero_fill(declared, series, ["metric", *labels])
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in labels])
+    present = F.map_from_entries(F.filter(pairs, lambda p: p["text"].isNotNull()))
+    return filled.select("metric", present.alias("labels"), "value")
 
 
 def admin_info(spark) -> DataFrame:
@@ -214,40 +232,33 @@ def admin_info(spark) -> DataFrame:
     return as_samples(row, "admin", "info", ["version"])
 
 
+def _active(metric: str, rows: DataFrame) -> DataFrame:
+    """Number of rows as a gauge with state ``connected``."""
+    return rows.groupBy(F.lit(metric).alias("metric"), F.lit("connected").alias("state")).agg(
+        F.count(F.lit(1)).cast("double").alias("value"))
+
+
 def databus_metrics(deliveries: DataFrame, active: DataFrame) -> DataFrame:
     """Ingest metrics from delivery rows ``(sink_type, status, rows, bytes)`` and open connections.
 
-    ``active`` has one row per open connection.
+    ``active`` has one row per open connection. The delivery rows are read once.
     """
-    records = deliveries.groupBy("sink_type", "status").agg(F.sum("rows").cast("double").alias("value"))
-    size = deliveries.filter(F.col("status") == "success").groupBy("sink_type").agg(
-        F.sum("bytes").cast("double").alias("value"))
-    state = active.groupBy(F.lit("connected").alias("state")).agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-    parts = (
-        (records, ["sink_type", "status"], DECLARED_RECORDS, "records_written_total"),
-        (size, ["sink_type"], DECLARED_BYTES, "bytes_written_total"),
-        (state, ["state"], DECLARED_STATES, "connections_active"),
-    )
-    out = None
-    for series, labels, declared, name in parts:
-        filled = zero_fill(_declared(series, declared, labels), series, labels)
-        rows = as_samples(filled, "databus", name, labels)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    totals = deliveries.groupBy("sink_type", "status").agg(
+        F.sum("rows").cast("double").alias("rows"), F.sum("bytes").cast("double").alias("bytes"))
+    written = F.when(F.col("status") == "success", F.col("bytes"))
+    series = totals.select(F.inline(F.array(
+        F.struct(F.lit(RECORDS_WRITTEN).alias("metric"), "sink_type", "status", F.col("rows").alias("value")),
+        F.struct(F.lit(BYTES_WRITTEN).alias("metric"), "sink_type",
+                 F.lit(None).cast("string").alias("status"), written.alias("value")),
+    ))).filter(F.col("value").isNotNull())
+    return _with_declared(series, [RECORDS_WRITTEN, BYTES_WRITTEN]).unionByName(
+        _with_declared(_active(CONNECTIONS_ACTIVE, active), [CONNECTIONS_ACTIVE]))
 
 
 def controller_metrics(requests: DataFrame, active: DataFrame) -> DataFrame:
     """Control-plane metrics from access-log rows ``(method, status)`` and open sessions."""
-    total = requests.groupBy("method", F.col("status").cast("string").alias("status")).agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-    state = active.groupBy(F.lit("connected").alias("state")).agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-    labels = ["method", "status"]
-    requests_total = as_samples(
-        zero_fill(_declared(total, DECLARED_REQUESTS, labels), total, labels),
-        "controller", "requests_total", labels)
-    connections = as_samples(
-        zero_fill(_declared(state, DECLARED_STATES, ["state"]), state, ["state"]),
-        "controller", "agent_connections_active", ["state"])
-    return requests_total.unionByName(connections)
+    total = requests.groupBy(
+        F.lit(REQUESTS).alias("metric"), "method", F.col("status").cast("string").alias("status")
+    ).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return _with_declared(total, [REQUESTS]).unionByName(
+        _with_declared(_active(AGENTS_ACTIVE, active), [AGENTS_ACTIVE]))

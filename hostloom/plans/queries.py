@@ -61,9 +61,12 @@ def _landed(df: DataFrame, spark: SparkSession, name: str) -> str:
 
 
 def _events_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = V.table(spark, sf_dir, name).schema
+    table = V.table(spark, sf_dir, name)
     # written as a pattern, since a stream takes a plain path to be a directory
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    # a table in fewer splits than cores is dealt over all of them, as in session.widened
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores) if table.rdd.getNumPartitions() < cores else stream
 
 
 def _snapshot_out(snapshots: DataFrame) -> DataFrame:

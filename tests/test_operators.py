@@ -279,3 +279,17 @@ def test_reports(spark):
     sent = spark.createDataFrame([("w1", True), ("w1", True), ("w2", True), ("w2", False)], "w string, ok boolean").withColumn("k", F.lit(1))
     row = reports.delivery(sent, ["k"], "w", F.col("ok")).first()
     assert tuple(row) == (1, 2, 1.5, 1, 2, 25.0)
+
+
+def test_service_metrics_start_at_zero(spark):
+    none = spark.createDataFrame([], "sink_type string, status string, rows long, bytes long")
+    nobody = spark.createDataFrame([], "conn string")
+    lines = [r.line for r in metrics.exposition(metrics.databus_metrics(none, nobody)).collect()]
+    assert sorted(lines) == ['databus_bytes_written_total{sink_type="kafka"} 0', 'databus_connections_active{state="connected"} 0',
+                             'databus_records_written_total{sink_type="kafka",status="success"} 0']
+    requests = spark.createDataFrame([("GET", 200), ("GET", 200), ("PUT", 500)], "method string, status int")
+    one = spark.createDataFrame([("a",)], "conn string")
+    lines = [r.line for r in metrics.exposition(metrics.controller_metrics(requests, one)).collect()]
+    assert sorted(lines) == ['controller_agent_connections_active{state="connected"} 1',
+                             'controller_requests_total{method="GET",status="200"} 2',
+                             'controller_requests_total{method="PUT",status="500"} 1']
