@@ -235,6 +235,15 @@ FROM customer LEFT JOIN s ON s.cust = c_custkey AND c_custkey % 3 = 0""",
 SELECT svc_key, rev, expires_at FROM x WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2001-08-01'""",
     "reg_services": f"""WITH {_CURRENT} SELECT CAST(cust AS VARCHAR) AS service_id, 'tcp' AS protocol, '10.0.0.' || cust % 250 AS host,
   1024 + rev % 60000 AS port FROM s WHERE cust % 3 = 0""",
+    "reg_lease_spans": f"""WITH {_CHANGES},
+ l AS (SELECT *, CASE WHEN op = 'PUT' THEN ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) ELSE ts + to_milliseconds(1) END AS until
+   FROM c WHERE ttl_s IS NOT NULL),
+ m AS (SELECT *, max(until) OVER (PARTITION BY svc_key ORDER BY ts, rev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+ g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before THEN 1 ELSE 0 END) OVER (PARTITION BY svc_key ORDER BY ts, rev) AS span FROM m)
+SELECT svc_key, min(ts) AS started_at,
+  CASE WHEN arg_max(op, rev) = 'DELETE' THEN max(ts) FILTER (WHERE op = 'DELETE') ELSE max(until) END AS ended_at,
+  CASE WHEN arg_max(op, rev) = 'DELETE' THEN 'revoked' ELSE 'expired' END AS ended_by, count(*) AS changes
+FROM g GROUP BY svc_key, span""",
     "seq_out_of_order": """WITH l AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE value < before) AS out_of_order FROM l GROUP BY user_id""",
     "lim_list_hosts": f"SELECT machine_id, host_name, updated_at FROM ({_LATEST}) ORDER BY machine_id LIMIT 10",

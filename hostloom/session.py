@@ -18,6 +18,8 @@ SETTINGS = {
     # a repeated JSON key: the last one wins, as in the collectors' own decoder
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a streaming session window merges inside each task before its shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -251,8 +251,9 @@ EARLY_SPANS = {("a", "00:00", "01:50", "expired", 2), ("a", "05:00", "06:00", "e
                ("b", "00:00", "00:20", "revoked", 2), ("c", "00:00", "00:06", "expired", 1)}
 
 
-def test_lease_spans_in_a_batch(spark):
-    assert spans(jobs.lease_spans(lease_log(spark))) == EARLY_SPANS | {("z", "23:20", "23:26", "expired", 1)}
+@pytest.mark.parametrize("block", ["second", "minute", "day"])
+def test_lease_spans_in_a_batch(spark, block):
+    assert spans(jobs.lease_spans(lease_log(spark), block=block)) == EARLY_SPANS | {("z", "23:20", "23:26", "expired", 1)}
 
 
 def test_lease_spans_on_a_stream(spark, tmp_path):
