@@ -191,7 +191,7 @@ def flt_ipv4(spark, sf_dir):
 @query
 def flt_size_cap(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    return I.within_size(docs, "text", cap=2000).select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return I.within_size(docs, "text", cap=2000).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
 @query

@@ -21,7 +21,8 @@ class Sink:
     """``take`` picks a sink's rows from judged envelopes, ``put`` writes them.
 
     Judged envelopes are envelopes with ``reason``. ``put`` gets the rows and
-    the name of the batch, and must be safe to repeat for the same batch.
+    the name of the batch. It must run an action on the rows, since they are
+    counted by it, and must be safe to repeat for the same batch.
     """
 
     type: str

@@ -126,6 +126,16 @@ def test_single_and_no_sink(env, tmp_path, spark):
     assert fan_out(env, []).count() == 0
 
 
+def test_an_empty_batch(spark, env, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    sinks = [record_files_sink(str(tmp_path / "k")), table.sink(), quarantine_sink(str(tmp_path / "q"))]
+    for rows in (spark.createDataFrame([], ENVELOPE), env.filter("seq < 0"), env.filter(F.lit(False))):
+        for persist in (True, False):
+            assert [(r.status, r.rows, r.bytes) for r in fan_out(rows, sinks, persist=persist).collect()] == [
+                ("success", 0, 0)] * 3
+    assert table.read().count() == 0
+
+
 def test_sink_plan(spark, tmp_path, caplog):
     kafka = {"type": "kafka", "config": {"brokers": ["b:9092"], "topic": "t"}}
     mysql = {"type": "mysql", "config": {"url": "tcp://127.0.0.1:3306", "database": "d"}}
