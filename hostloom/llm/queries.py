@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hostloom.llm import near_dups
+from hostloom.llm import (decontam, kneser_ney, mixing, near_dups, packing, quality, secret_scan, tool_calls, toxicity,
+                          vectors)
 from hostloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,100 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_token_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x <> 0)) > 0
+  AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT p.b, r.b FROM reach r JOIN pairs p ON p.a = r.a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(l.n), 0) AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
+FROM v JOIN reach r ON r.a = v.vec_id LEFT JOIN links l ON l.a = v.vec_id GROUP BY v.vec_id
+""")
+def op2_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_site_quality(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                          F.col("source"), F.col("lang"))
+
+
+@query()
+def op4_temperature_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] or 0
+    return mixing.stream(docs, mixing.Mix(budget=words, entropy=0.9, repeats=2.0))
+
+
+@query("""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
+calls AS (SELECT * FROM m WHERE kind = 'call'), results AS (SELECT * FROM m WHERE kind = 'result'),
+level AS (
+  SELECT conv_id, turn, 0 AS level FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM level l JOIN calls c
+    ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+rows AS (
+  SELECT c.conv_id, c.turn, c.kind, 'call-' || c.turn AS call_id, l.level, r.turn AS other_turn,
+    CASE WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    '{"role":"assistant","tool_calls":[{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn
+      || '},"id":"call-' || c.turn || '","name":"reply"}]}' AS json
+  FROM calls c JOIN level l USING (conv_id, turn)
+  LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.kind, 'call-' || (r.turn - 1), l.level, c.turn,
+    CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END,
+    '{"content":' || to_json(r.text) || ',"role":"tool","tool_call_id":"call-' || (r.turn - 1) || '"}'
+  FROM results r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1
+  LEFT JOIN level l ON l.conv_id = c.conv_id AND l.turn = c.turn
+  UNION ALL
+  SELECT conv_id, turn, kind, NULL, NULL, NULL, 'message',
+    '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' FROM m WHERE kind = 'message')
+SELECT *, true AS valid, '' AS errors FROM rows
+""")
+def op5_tool_call_linking(spark, sf_dir):
+    # the table has plain turns: a user's turn is taken as a call of the tool that replies, after the one before
+    turns = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("call-"), F.col("turn").cast("string"))
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", "turn", name.alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"),
+        F.array(F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string"))).alias("after"))
+    results = turns.filter("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"),
+        F.col("text").alias("content"))
+    rest = turns.filter("role is null or role not in ('user', 'assistant')").select(
+        "conv_id", "turn", "role", F.col("text").alias("content"))
+    schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+    return tool_calls.linked(calls, results, rest, schemas)
+
+
+@query()
+def op6_kneser_ney(spark, sf_dir):
+    return kneser_ney.scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_secret_randomness(spark, sf_dir):
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(secret_scan.spelled("base"), 256).alias("base_sha256"),
+                        secret_scan.spelled("spans").alias("spans"), "n_random")
+
+
 @query(f"""
 WITH RECURSIVE words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 sets AS (
@@ -51,3 +147,13 @@ FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """)
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), near_dups.Banding(size=3, percent=85))
+
+
+@query()
+def op9_benchmark_leaks(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
