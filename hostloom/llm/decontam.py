@@ -1,17 +1,19 @@
 """Benchmark passages in documents, found by latent semantic retrieval and checked word by word.
 
-1. Terms are the bare words of the benchmark, weighted by log(1 + N / df) over
-   all documents. No other word can bring a document nearer to an item.
+1. Terms are the bare words of the benchmark, weighted by their rarity over all
+   documents; words in more than one document of twenty keep only a trace of
+   weight. No other word can bring a document nearer to an item.
 2. A randomised SVD of the TF-IDF matrix of benchmark passages gives a latent
    space: the range of (A'A)^p G for a Gaussian G, worked out as Spark jobs
    over the rows of A, that sum one vector per term.
 3. Overlapping windows of two widths over every document are projected and
    compared with the items by cosine. Windows without enough weighted terms for
    any item are passed by.
-4. A candidate is confirmed in its place: the longest common subsequence of the
-   item and the words around the window must hold most of the item, or at least
-   half of it and the item's answer, that is most of its weight in the last
-   third of its words, must be there as well.
+4. A candidate is confirmed in its place. Some stretch around the window, half as
+   long again as the item, must hold enough of the item's weight and most of the
+   item's words in order (longest common subsequence). For paraphrases somewhat
+   fewer words do if the answer is there too: most of the weight of the last
+   third of the item.
 
 The benchmark is taken in blocks of at most ``block`` items, each searched in
 all documents, so what tasks hold is bounded. The document side needs no shuffle.
@@ -38,7 +40,8 @@ from hostloom.llm.words import PUNCTUATION, word_hashes
 
 @dataclass(frozen=True)
 class Retrieval:
-    """``near``: share of an item found in order that suffices alone; ``loose``: with its answer.
+    """``near``: share of an item found in order that suffices alone; ``loose``: with its answer. ``present``: share
+    of its weight that must be there in any case, ``answer``: of the weight of its last third.
 
     ``cosine``: least cosine of a candidate; ``energy``: least weight of a window against the lightest item.
     """
@@ -51,8 +54,9 @@ class Retrieval:
     cosine: float = 0.45
     energy: float = 0.3
     near: float = 0.7
-    loose: float = 0.5
+    loose: float = 0.55
     answer: float = 0.8
+    present: float = 0.4
     block: int = 10_000
     seed: int = 5
 
@@ -160,40 +164,69 @@ class Searcher:
                  how: Retrieval):
         self.ids, self.items, self.terms, self.how = ids, items, terms, how
         self.weights = weights
-        self.vectors = space * weights[:, None]
+        self.vectors = (space * weights[:, None]).astype(np.float32)
+        # terms with a trace of weight only cannot move a window; the last place answers for words that are no terms
+        self.telling = np.append(weights >= 0.05 * weights.max(), False)
         sums = np.stack([self.vectors[terms.find(i)].sum(0) for i in items])
-        self.directions = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        self.least = how.energy * min((weights[terms.find(i)] ** 2).sum() for i in items)
-        self.answers = []
+        self.directions = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.mass = np.array([(weights[terms.find(i)] ** 2).sum() for i in items])
+        self.least = how.energy * self.mass.min()
+        self.parts = []
         for item in items:
-            tail = np.unique(item[-max(1, len(item) // 3):])
-            self.answers.append((tail, weights[terms.find(tail)]))
+            whole, tail = np.unique(item), np.unique(item[-max(1, len(item) // 3):])
+            self.parts.append([(w, weights[terms.find(w)] ** 2) for w in (whole, tail)])
 
     def candidates(self, found: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, first word, last word, cosine) of windows near an item."""
         how = self.how
-        mass = np.zeros(len(found) + 1)
-        np.cumsum(np.where(found >= 0, self.weights[found] ** 2, 0), out=mass[1:])
+        telling = np.flatnonzero(self.telling[found])
+        term = found[telling]
+        mass = np.zeros(len(term) + 1)
+        np.cumsum(self.weights[term] ** 2, out=mass[1:])
         counts = np.diff(bounds)
         steps = np.maximum(1, -(-counts // how.step))
         text = np.repeat(np.arange(len(counts)), steps)
         first = bounds[:-1][text] + how.step * (np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps))
+        low = np.searchsorted(telling, first)
         for width in how.widths:
             last = np.minimum(first + width * how.step, bounds[1:][text])
-            picked = np.flatnonzero(mass[last] - mass[first] >= self.least)
-            for low in range(0, len(picked), 4096):
-                some = picked[low: low + 4096]
-                a, b = first[some], last[some]
-                sizes = b - a
+            high = np.searchsorted(telling, last)
+            picked = np.flatnonzero((mass[high] - mass[low] >= self.least) & (high > low))
+            for at in range(0, len(picked), 4096):
+                some = picked[at: at + 4096]
+                sizes = (high - low)[some]
                 edge = np.cumsum(sizes) - sizes
-                inside = np.arange(sizes.sum()) - np.repeat(edge - a, sizes)
-                term = found[inside]
-                rows = np.where((term >= 0)[:, None], self.vectors[term], 0)
-                sums = np.add.reduceat(rows, edge, axis=0)
-                sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+                inside = np.arange(sizes.sum()) - np.repeat(edge - low[some], sizes)
+                sums = np.add.reduceat(self.vectors[term[inside]], edge, axis=0)
                 alike = sums @ self.directions.T
-                for w, item in zip(*np.nonzero(alike >= how.cosine)):
-                    yield int(text[some[w]]), int(item), int(a[w]), int(b[w]), float(alike[w, item])
+                norm = np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
+                window, item = np.nonzero(alike >= (how.cosine * norm)[:, None])
+                own = some[window]
+                heavy = mass[high[own]] - mass[low[own]] >= how.energy * self.mass[item]
+                cosine = (alike[window, item] / norm[window])[heavy]
+                own = own[heavy]
+                yield from zip(text[own].tolist(), item[heavy].tolist(), first[own].tolist(), last[own].tolist(),
+                               cosine.tolist())
+
+    def confirmed(self, item: int, around: np.ndarray) -> tuple[int, float]:
+        """Common words and answer share of the stretch of ``around`` that holds most of the item, or zeros."""
+        how, words, best = self.how, self.items[item], (0, 0.0)
+
+        def held(part: tuple[np.ndarray, np.ndarray], stretch: np.ndarray) -> float:
+            return float(part[1][np.isin(part[0], stretch)].sum() / part[1].sum())
+
+        whole, tail = self.parts[item]
+        if held(whole, around) < how.present:
+            return 0, 0.0
+        size, step = -(-3 * len(words) // 2), max(1, len(words) // 2)
+        for at in range(0, max(1, len(around) - len(words)), step):
+            stretch = around[at: at + size]
+            if held(whole, stretch) < how.present:
+                continue
+            common, share = common_length(words, stretch), held(tail, stretch)
+            if common >= how.near * len(words) or (common >= how.loose * len(words) and share >= how.answer):
+                best = max(best, (common, share))
+        return best
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, float]]:
         """(text, item, cosine, common words, answer share) of confirmed items, the best place of each."""
@@ -204,15 +237,10 @@ class Searcher:
         for text, item, a, b, cosine in nearest:
             if (text, item) in best:
                 continue
-            words = self.items[item]
-            reach = len(words)
+            reach = len(self.items[item])
             around = hashes[max(bounds[text], a - reach): min(bounds[text + 1], b + reach)]
-            common = common_length(words, around)
-            if common < how.loose * len(words):
-                continue
-            tail, weight = self.answers[item]
-            share = float(weight[np.isin(tail, around)].sum() / weight.sum())
-            if common >= how.near * len(words) or share >= how.answer:
+            common, share = self.confirmed(item, around)
+            if common:
                 best[text, item] = (text, item, cosine, common, share)
         return list(best.values())
 
@@ -232,7 +260,8 @@ def searchers(docs: DataFrame, items: DataFrame, how: Retrieval = Retrieval(),
             continue
         terms = Terms(hashes)
         held, n = _document_counts(docs, terms, text_col)
-        weights = np.log1p(n / np.maximum(held, 1))
+        rarity = np.log(np.maximum(n, 1) / np.maximum(held, 1))
+        weights = 0.1 * np.log(2) + 0.1 * rarity + np.maximum(rarity - np.log(20), 0)
         sparse = []
         for _, words in pairs:
             t, c = np.unique(terms.find(words), return_counts=True)
