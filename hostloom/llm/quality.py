@@ -37,7 +37,7 @@ class Quality:
     """``threshold``: least posterior kept; ``sample``: bound of labelled rows for the fit."""
 
     threshold: float = 0.3
-    sample: int = 50_000
+    sample: int = 20_000
     ridge: float = 1.0
 
 
@@ -207,3 +207,12 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how:
     posterior = 1 / (1 + F.exp(-(_logit(own) + _logit(F.col("path_share")) - _logit(prior))))
     return out.select("doc_id", "host", "path", F.col("p").alias("doc_score"), "host_share", "path_share",
                       posterior.alias("posterior"), (posterior >= how.threshold).alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how: Quality = Quality(),
+         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without ids all of whose rows are rejected; rows without id stay, as nothing can name them."""
+    marks = scored(docs, labels, host, path, how, id_col, text_col).filter("doc_id is not null")
+    bad = settle(marks.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("keep").alias("_keep")).filter("not _keep")
+                 .select(id_col), "rejected")
+    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
