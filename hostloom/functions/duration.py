@@ -20,7 +20,6 @@ UNIT_NS = {
 
 _UNIT = "(?:" + "|".join(sorted(UNIT_NS, key=len, reverse=True)) + ")"
 _NUMBER = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
-_WHOLE = rf"^[+-]?(?:0|(?:{_NUMBER}{_UNIT})+)$"
 _TERM = rf"({_NUMBER})({_UNIT})"
 _INT64_MAX = 9223372036854775807
 
@@ -32,7 +31,14 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def duration_ns(text: Column) -> Column:
-    """``1h30m``, ``1.5s``, ``-2ms``, ``0`` → nanoseconds; NULL for other text."""
+    """``1h30m``, ``1.5s``, ``-2ms``, ``0`` → nanoseconds; NULL for other text.
+
+    The text is whole when its terms fill it. No pattern repeats a group, since
+    the regex engine takes a stack frame for each repetition.
+    """
+    body = F.regexp_replace(text, "^[+-]", "")
+    parts = F.regexp_extract_all(text, F.lit(_TERM), 0)
+    filled = F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
     unit_ns = F.create_map(*[F.lit(x) for kv in UNIT_NS.items() for x in kv])
     numbers = F.regexp_extract_all(text, F.lit(_TERM), 1)
     units = F.regexp_extract_all(text, F.lit(_TERM), 2)
@@ -44,7 +50,8 @@ def duration_ns(text: Column) -> Column:
         terms, F.lit(0).cast("decimal(38,0)"),
         lambda acc, x: (acc + x.cast("decimal(38,0)")).cast("decimal(38,0)"),
     )
-    ok = F.rlike(text, F.lit(_WHOLE)) & (total <= F.lit(_INT64_MAX))
+    whole = (body == "0") | ((F.size(parts) > 0) & (filled == F.length(body)))
+    ok = whole & (total <= F.lit(_INT64_MAX))
     signed = F.when(F.startswith(text, F.lit("-")), -total).otherwise(total)
     return F.when(ok, signed.try_cast("bigint"))
 

@@ -43,7 +43,8 @@ def _is_text(v: str) -> str:
 
 
 def _is_number(v: str) -> str:
-    return f"{_kind(v)} RLIKE '^(BIGINT|DOUBLE|DECIMAL|VOID)'"
+    finite = f"abs(try_variant_get({v}, '$', 'double')) < double('Infinity')"
+    return f"({_kind(v)} = 'VOID' OR ({_kind(v)} RLIKE '^(BIGINT|DOUBLE|DECIMAL)' AND {finite}))"
 
 
 def _is_uint64(v: str) -> str:
@@ -83,22 +84,31 @@ def _fits_sample(text: str) -> str:
     sample = " AND ".join([_is_object("doc"), _is_text(_member("doc", "PluginName")),
                            _is_text(_member("doc", "EventName")), data])
     value = f"try_variant_get(try_parse_json('[' || {text} || ']'), '$[0]', 'variant')"
+    # a variant forgets how a number was written, the raw text does not
+    plain = " AND ".join(f"coalesce(get_json_object({text}, '$.Data.networks[*].{name}') NOT RLIKE '[.eE]', true)"
+                         for name in COUNTER_FIELDS)
     single = f"size(json_object_keys('{{\"w\":' || {text} || '}}')) = 1"
-    return f"coalesce({single} AND " + _let("doc", value, f"doc IS NOT NULL AND {sample}") + ", false)"
+    return f"coalesce({single} AND {plain} AND " + _let("doc", value, f"doc IS NOT NULL AND {sample}") + ", false)"
+
+
+NESTED_KEYS = tuple(dict.fromkeys(
+    ("cpu", "memory", "disk", "networks", "uptime", "hostname", "os", "arch", "kernel", "mountpoint", "used_percent",
+     "mac", "ips", "if_name", *COUNTER_FIELDS)))
+_KEYS = TOP_KEYS + NESTED_KEYS
+_RESPELT = rf'"(?!(?:{"|".join(_KEYS)})")(?i:{"|".join(_KEYS)})"\s*:'
 
 
 def canonical_keys(text: Column) -> Column:
-    """Spell the three top-level keys exactly; their letter case is free on the wire.
+    """Spell all known keys, at any level, exactly; their letter case is free on the wire.
 
     A quoted word before a colon is always a key, as quotes inside a JSON
-    string are escaped. Texts with the exact keys are left alone.
+    string are escaped. Texts with exact keys only are left alone. Of keys that
+    become equal the last one counts, as for the original's decoder.
     """
-    exact = F.lit(True)
     respelt = text
-    for key in TOP_KEYS:
-        exact = exact & F.contains(text, F.lit(f'"{key}"'))
+    for key in _KEYS:
         respelt = F.regexp_replace(respelt, rf'(?i)"{key}"(\s*:)', f'"{key}"$1')
-    return F.when(exact, text).otherwise(respelt)
+    return F.when(F.rlike(text, F.lit(_RESPELT)), respelt).otherwise(text)
 
 
 def payload_text(payload: Column) -> Column:
@@ -124,11 +134,11 @@ def document(text: Column) -> Column:
     )
 
 
-_STRING = r'"[^"\\]*"\s*'
 _NOT_TEXT = r'[^"\s]'
-_NOT_NUMBER = r"[^-0-9\s]"
+_NOT_NUMBER = r"(?:[^-0-9\s]|-?[0-9.]{300}|-?[0-9.]+[eE])"
 _NOT_UINT64 = r"(?![0-9]{1,19}\s*[,}])"
-_NOT_TEXTS = r"(?!\[\s*(?:" + _STRING + r"(?:,\s*" + _STRING + r")*)?\])"
+# a list of texts has quotes at both ends, no escapes and only quotes behind its commas; no group repeats
+_NOT_TEXTS = r'(?:(?!\[\s*(?:"[^\]\\]*"\s*)?\])|\[[^\]]*,\s*[^"\s])'
 _WRONG_VALUE = {
     **dict.fromkeys(("PluginName", "EventName", "mountpoint", "mac", "if_name", "uptime",
                      "hostname", "os", "arch", "kernel"), _NOT_TEXT),

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from hostloom.functions import payload as P
 from hostloom.bind import bind
 
-# Fixed value: the transport refuses larger messages.
+# Fixed value: the transport refuses larger messages. It is the one limit of all
+# paths: larger payloads are never written as snapshots and end in quarantine.
 MAX_MESSAGE_BYTES = 10 * 1024 * 1024
 
 # Reasons a row does not reach the snapshot table, in the order they are checked.
 EMPTY_PAYLOAD = "empty_payload"
+TOO_LARGE = "too_large"
 MALFORMED = "malformed"
 OTHER_PLUGIN = "plugin"
 NO_CLIENT = "no_client"
 NULL_DATA = "null_data"
-REASONS = (EMPTY_PAYLOAD, MALFORMED, OTHER_PLUGIN, NO_CLIENT, NULL_DATA)
+REASONS = (EMPTY_PAYLOAD, TOO_LARGE, MALFORMED, OTHER_PLUGIN, NO_CLIENT, NULL_DATA)
 
 
 def payload_bytes(column: str = "payload") -> Column:
@@ -53,6 +55,7 @@ def reject_reason() -> Column:
     doc = F.col("doc")
     return (
         F.when(payload_bytes() == 0, F.lit(EMPTY_PAYLOAD))
+        .when(payload_bytes() > MAX_MESSAGE_BYTES, F.lit(TOO_LARGE))
         .when(~P.is_sound("text", "doc"), F.lit(MALFORMED))
         .when(P.plugin_name(doc) != P.HOST_PLUGIN, F.lit(OTHER_PLUGIN))
         .when(client_id() == "", F.lit(NO_CLIENT))
@@ -70,7 +73,7 @@ def well_formed(envelopes: DataFrame) -> DataFrame:
     """Non-empty payloads that decode, with ``doc``; the others are in ``quarantine``."""
     reason = F.col("reason")
     return classified(envelopes).filter(
-        reason.isNull() | ~reason.isin(EMPTY_PAYLOAD, MALFORMED)).drop("reason")
+        reason.isNull() | ~reason.isin(EMPTY_PAYLOAD, TOO_LARGE, MALFORMED)).drop("reason")
 
 
 def host_plugin_only(decoded: DataFrame) -> DataFrame:

@@ -181,3 +181,10 @@ def test_not_found_can_be_an_error(spark):
     df = spark.createDataFrame([(1.0, "record not found")], "ms double, err string")
     label = X.statement_log_class(F.col("ms"), F.col("err"), ignore_not_found=False)
     assert df.select(label.alias("c")).first().c == "error"
+
+
+def test_long_durations_leave_the_session_alive(spark):
+    from hostloom.functions.duration import duration_ns
+    rows = spark.createDataFrame([("1s" * 100_000,), ("1s" * 100_000 + "x",), ("9" * 1_000_000 + "s",)], "t string")
+    assert [r[0] for r in rows.select(duration_ns(rows.t)).collect()] == [100_000 * 10**9, None, None]
+    assert spark.range(3).count() == 3

@@ -27,6 +27,8 @@ ACCEPTED = [
     nic('{"rx_bytes":18446744073709551615}'),
     nic('null,{"ips":null}'),
     nic('{"ips":["10.0.0.1",null]}'),
+    nic('{"ips":["a,b","c]d", "e"]}'), nic('{"IPS":["x"],"RX_Bytes":7}'), host('{"CPU":5.5,"HostName":"n1"}'),
+    '{"PluginName":"file","pluginname":"host","Data":{}}', host('{"cpu":1e3}'),
 ]
 MALFORMED = [
     "{bad", "[]", "5", '"text"', "{'PluginName':'host'}",
@@ -40,7 +42,8 @@ MALFORMED = [
     host('{"disk":[{"used_percent":"9"}]}'),
     nic('{"rx_bytes":18446744073709551616}'), nic('{"rx_bytes":-1}'), nic('{"rx_bytes":1.5}'),
     nic('{"tx_fifo":"5"}'), nic('{"tx_errors":1e3}'), nic('{"mac":7}'), nic('{"ips":"10.0.0.1"}'),
-    nic('{"ips":[1]}'), nic("5"), host('{"host\\u006eame":5}'),
+    nic('{"ips":[1]}'), nic('{"ips":["a",1]}'), nic('{"ips":["a]",1]}'), nic("5"), nic('{"rx_bytes":1.0}'),
+    host('{"cpu":1e400}'), host('{"CPU":"x"}'), nic('{"Mac":7}'), host('{"host\\u006eame":5}'),
 ]
 OTHER = {
     "": I.EMPTY_PAYLOAD,
@@ -50,6 +53,7 @@ OTHER = {
     '{"PluginName":"Host","Data":{}}': I.OTHER_PLUGIN,
     '{"PluginName":"file","EventName":"file","Data":null}': I.OTHER_PLUGIN,
     '{"PluginName":"host","PluginName":"file","Data":{}}': I.OTHER_PLUGIN,
+    '{"PluginName":"host","pluginname":"file","Data":{}}': I.OTHER_PLUGIN,
     '{"PluginName":"file","Data":[1]}': I.MALFORMED,
     host("null"): I.NULL_DATA,
     '{"PluginName":"host"}': I.NULL_DATA,
@@ -168,3 +172,21 @@ def test_reason_is_computed_once(spark):
     plan = I.latest_snapshots(envelopes(spark, [host("{}")]))._jdf.queryExecution().executedPlan().toString()
     before_shuffle = plan[plan.index("Exchange"):]
     assert before_shuffle.count("from_json(") == 1
+
+
+def test_keys_of_any_case_reach_the_sample(spark):
+    rows = I.samples(envelopes(spark, [host('{"CPU":5.5,"HostName":"n1","NETWORKS":[{"If_Name":"e"}]}')]))
+    stats = rows.first().stats
+    assert (stats.cpu, stats.hostname, stats.networks[0].if_name) == (5.5, "n1", "e")
+
+
+def test_huge_payloads_leave_the_session_alive(spark):
+    many = nic('{"ips":[' + ",".join(f'"10.0.{i % 250}.1"' for i in range(100_000)) + "]}")
+    mixed = nic('{"ips":[' + ",".join(['"a"'] * 50_000) + ",5]}")
+    large = host('{"os":"' + "x" * (10 * 1024 * 1024) + '"}')
+    near = host('{"os":"' + "x" * (10 * 1024 * 1024 - 100) + '"}')
+    got = I.classified(envelopes(spark, [many, mixed, large, near])).orderBy("seq").select("reason").collect()
+    assert [r.reason for r in got] == [None, I.MALFORMED, I.TOO_LARGE, None]
+    assert I.quarantine(envelopes(spark, [large])).count() == 1
+    assert I.latest_snapshots(envelopes(spark, [large])).count() == 0
+    assert spark.range(3).count() == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_payload import envelopes
 
 from hostloom.operators import ingest as I
+from hostloom.functions.payload import NESTED_KEYS
 from hostloom.schemas import COUNTER_FIELDS, UINT64_MAX
 
 TEXTS = ("uptime", "hostname", "os", "arch", "kernel")
@@ -22,7 +23,14 @@ def need(ok):
 
 
 def is_number(v):
-    return v is None or (isinstance(v, (int, float)) and not isinstance(v, bool))
+    return v is None or (isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < 1e308)
+
+
+KNOWN = {k.lower(): k for k in ("PluginName", "EventName", "Data", *NESTED_KEYS)}
+
+
+def by_any_case(pairs):
+    return {KNOWN.get(k.lower(), k): v for k, v in pairs}
 
 
 def is_text(v):
@@ -71,7 +79,7 @@ def model(text, client="c"):
     if not text:
         return I.EMPTY_PAYLOAD
     try:
-        doc = json.loads(text, parse_constant=refuse)
+        doc = json.loads(text, parse_constant=refuse, object_pairs_hook=by_any_case)
         check_object(doc, {"PluginName": is_text, "EventName": is_text, "Data": check_data})
     except (ValueError, RecursionError):
         return I.MALFORMED
@@ -115,6 +123,9 @@ def sample(rng):
 def payload(rng):
     text = json.dumps(sample(rng), ensure_ascii=rng.random() < 0.5,
                       separators=rng.choice([(",", ":"), (", ", ": "), (" ,\n", "\t: ")]))
+    if rng.random() < 0.2:
+        key = rng.choice(list(KNOWN.values()))
+        text = text.replace(f'"{key}"', f'"{rng.choice([key.upper(), key.lower(), key.title()])}"')
     if rng.random() < 0.3:
         at = rng.randrange(len(text) + 1)
         text = rng.choice([
