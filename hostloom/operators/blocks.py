@@ -27,23 +27,35 @@ def _same_block(keys: Sequence[str]) -> list[Column]:
         F.col(f"l.{_BLOCK}") == F.col(f"r.{_BLOCK}")]
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, amount: Column, out: str,
-                width: int = WIDTH, block: Column | None = None) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over rows of the same key up to and with this one."""
+def _running(df: DataFrame, keys: Sequence[str], order: str, amount: Column, out: str, width: int,
+             block: Column | None, fold, join) -> DataFrame:
+    """Add ``out``: ``fold`` of ``amount`` over the key's rows up to this one, put together by ``join``.
+
+    One exchange brings a block's rows together; their totals are taken from
+    there, and only those meet the other blocks of the key.
+    """
     keys = list(keys)
-    block = block_of(order, width) if block is None else block
-    rows = df.withColumn(_BLOCK, block).withColumn("_amount", amount)
-    totals = rows.groupBy(*keys, _BLOCK).agg(F.sum("_amount").alias("_total"))
+    rows = df.withColumn(_BLOCK, block_of(order, width) if block is None else block).withColumn("_amount", amount)
+    totals = rows.groupBy(*keys, _BLOCK).agg(fold("_amount").alias("_total"))
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _BLOCK,
-                            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*keys, _BLOCK, fold("_total").over(before).alias("_offset"))
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_inner", F.sum("_amount").over(inside))
-    return (
-        rows.alias("l").join(offsets.alias("r"), _same_block(keys), "left")
-        .select(*[F.col(f"l.{c}") for c in df.columns],
-                (F.col("_inner") + F.col("_offset")).alias(out))
-    )
+    rows = rows.withColumn("_inner", fold("_amount").over(inside))
+    return rows.alias("l").join(offsets.alias("r"), _same_block(keys), "left").select(
+        *[F.col(f"l.{c}") for c in df.columns], join(F.col("_inner"), F.col("_offset")).alias(out))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, amount: Column, out: str,
+                width: int = WIDTH, block: Column | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over rows of the same key up to and with this one."""
+    return _running(df, keys, order, amount, out, width, block, F.sum,
+                    lambda inner, offset: inner + F.coalesce(offset, F.lit(0)))
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, amount: Column, out: str,
+                width: int = WIDTH, block: Column | None = None) -> DataFrame:
+    """Add ``out``: the greatest ``amount`` of the key's rows up to and with this one."""
+    return _running(df, keys, order, amount, out, width, block, F.max, F.greatest)
 
 
 def row_number(df: DataFrame, keys: Sequence[str], order: str, out: str,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.functions.netfilter import ipv4_of, is_physical
-from hostloom.operators.skew import spread_join
 from hostloom.schemas import COUNTER_FIELDS
 
 
@@ -38,13 +37,13 @@ def with_counters(nics: DataFrame, counters: DataFrame, keys: Sequence[str],
     it the keys of ``counters`` must be unique.
     """
     right = last_per_key(counters, keys, order) if order else counters
-    joined = spread_join(nics, right.select(*keys, *fields), keys, "left")
+    joined = nics.join(right.select(*keys, *fields), list(keys), "left")
     return joined.select(*nics.columns, *[F.coalesce(F.col(f), F.lit(0)).alias(f) for f in fields])
 
 
 def with_usage(partitions: DataFrame, usage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Partitions with their usage; a partition without one is dropped."""
-    return spread_join(partitions, usage, keys, "inner")
+    return partitions.join(usage, list(keys), "inner")
 
 
 def assemble(scalars: DataFrame, disks: DataFrame, nics: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def gauge(ops: DataFrame, series: Sequence[str] = ("series",), order: str = "seq
         .when(F.col("op") == "add", F.col("value"))
     )
     changes = ops.filter(~is_set).select(*series, order, change.alias("_change"))
-    behind = spread_join(changes, last_set.select(*series, "_set_at"), series, "left").filter(
+    behind = spread_join(changes, last_set.select(*series, "_set_at"), series, "left", [order]).filter(
         F.col("_set_at").isNull() | (F.col(order) > F.col("_set_at")))
     parts = behind.select(*series, F.col("_change").alias("_part")).unionByName(
         last_set.select(*series, F.col("_base").alias("_part")))
@@ -136,7 +136,7 @@ def summary_approx(observations: DataFrame, labels: Sequence[str], value: str,
     """Quantiles within a tolerance each (``{0.99: 0.001}``), from mergeable sketches in one pass."""
     ordered = sorted(objectives.items())
     wide = observations.groupBy(*labels).agg(
-        *[F.percentile_approx(value, q, -int(-1 // tol)).alias(f"_q{i}")
+        *[F.percentile_approx(value, q, -int(-2 // tol)).alias(f"_q{i}")
           for i, (q, tol) in enumerate(ordered)],
         F.count(value).alias("observed_count"), F.sum(value).alias("observed_sum"))
     cells = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"_q{i}").alias("value"))
@@ -144,6 +144,19 @@ def summary_approx(observations: DataFrame, labels: Sequence[str], value: str,
     return wide.select(*labels, F.inline(cells), "observed_count", "observed_sum")
 
 
+def rank_error(observations: DataFrame, answers: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
+    """Add to rows of ``summary_approx`` how far each answer is from its rank, as a share of the observations."""
+    labels = list(labels)
+    counted = observations.join(answers.select(*labels, "quantile", F.col("value").alias("_answer")), labels)
+    places = counted.groupBy(*labels, "quantile").agg(
+        F.count_if(F.col(value) < F.col("_answer")).alias("_below"),
+        F.count_if(F.col(value) <= F.col("_answer")).alias("_upto"))
+    rank = F.ceil(F.col("quantile") * F.col("observed_count"))
+    away = F.greatest(F.col("_below") + 1 - rank, rank - F.col("_upto"), F.lit(0))
+    return answers.join(places, [*labels, "quantile"]).withColumn(
+        "rank_error", away / F.col("observed_count")).drop("_below", "_upto")
+
+
 def zero_fill(declared: DataFrame, observed: DataFrame, labels: Sequence[str],
               value: str = "value") -> DataFrame:
     """Observed series plus declared label tuples, which show 0 before any update.
@@ -186,14 +199,58 @@ def _escaped(text: Column) -> Column:
     return F.replace(text, F.lit('"'), F.lit('\\"'))
 
 
-def exposition(samples: DataFrame) -> DataFrame:
-    """One ``line`` of text per series: ``name{label="value",…} number``."""
+def _line(samples: DataFrame) -> Column:
     pairs = F.array_join(F.transform(
         F.array_sort(F.map_entries("labels")),
         lambda e: F.concat(e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"'))), ",")
     labelled = F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(F.lit(""))
-    return samples.select(F.concat(
-        F.col("metric"), labelled, F.lit(" "), format_value(F.col("value"))).alias("line"))
+    return F.concat(F.col("metric"), labelled, F.lit(" "), format_value(F.col("value")))
+
+
+def _family(subsystem: str, name: str) -> Column:
+    return metric_name(F.lit(subsystem), F.lit(name))
+
+
+def histogram_samples(buckets: DataFrame, subsystem: str, name: str, labels: Sequence[str]) -> DataFrame:
+    """Rows of ``histogram`` as samples: ``_bucket`` with ``le``, ``_sum`` and ``_count``."""
+    cells = as_samples(buckets, subsystem, f"{name}_bucket", [*labels, "le"], "bucket_count")
+    return cells.unionByName(_totals(buckets.filter("le = '+Inf'"), subsystem, name, labels))
+
+
+def summary_samples(quantiles: DataFrame, subsystem: str, name: str, labels: Sequence[str]) -> DataFrame:
+    """Rows of ``summary`` as samples: one per ``quantile``, ``_sum`` and ``_count``."""
+    shown = quantiles.withColumn("quantile", format_value(F.col("quantile")))
+    one = quantiles.groupBy(*labels).agg(F.max("observed_sum").alias("observed_sum"),
+                                         F.max("observed_count").alias("observed_count"))
+    return as_samples(shown, subsystem, name, [*labels, "quantile"]).unionByName(
+        _totals(one, subsystem, name, labels))
+
+
+def _totals(rows: DataFrame, subsystem: str, name: str, labels: Sequence[str]) -> DataFrame:
+    return as_samples(rows, subsystem, f"{name}_sum", labels, "observed_sum").unionByName(
+        as_samples(rows, subsystem, f"{name}_count", labels, "observed_count"))
+
+
+def exposition(samples: DataFrame, families: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """The text form: ``family, place, line``, to be written in this order.
+
+    ``families`` gives the type and help text of each metric family; its
+    ``# HELP`` and ``# TYPE`` lines stand before its series. The series of a
+    histogram or summary belong to the family without their suffix.
+    """
+    families = dict(families or {})
+    name = F.col("metric")
+    for suffix in ("_bucket", "_sum", "_count"):
+        base = F.regexp_replace("metric", f"{suffix}$", "")
+        owned = [f for f, (kind, _) in families.items() if kind in ("histogram", "summary")]
+        name = F.when(F.endswith("metric", F.lit(suffix)) & base.isin(owned), base).otherwise(name)
+    lines = samples.select(name.alias("family"), F.lit(2).alias("place"), _line(samples).alias("line"))
+    heads = [row for f, (kind, text) in families.items()
+             for row in ((f, 0, f"# HELP {f} " + text.replace("\\", "\\\\").replace("\n", "\\n")),
+                         (f, 1, f"# TYPE {f} {kind}"))]
+    if not heads:
+        return lines
+    return samples.sparkSession.createDataFrame(heads, "family string, place int, line string").unionByName(lines)
 
 
 # Metrics the services declare, and the label tuples that show 0 from the start.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.endpoint import with_endpoint
 from hostloom.functions.text import SELF_SEGMENT, WHITESPACE
-from hostloom.operators.skew import spread_join
+from hostloom.operators.blocks import neighbour, running_sum
 from hostloom.sources.changes import DELETE, PUT
 
 # Fixed value: the shortest lease, in seconds.
@@ -38,10 +38,11 @@ def get(changes: DataFrame, key: str) -> DataFrame:
 def get_many(changes: DataFrame, requests: DataFrame) -> DataFrame:
     """Answer lookups ``(request_id, svc_key)``: ``status`` is ``ok`` or ``not_found``."""
     asked = requests.withColumn("svc_key", F.btrim("svc_key", F.lit(WHITESPACE)))
-    found = spread_join(asked, current(changes).select("svc_key", "val"), ["svc_key"], "left")
+    # one row per key on the right; Spark splits a hot key's requests by measured size
+    found = asked.join(current(changes).select("svc_key", "val", F.lit(True).alias("_found")), "svc_key", "left")
     return found.select(
         *requests.columns, "val",
-        F.when(F.col("val").isNull(), F.lit("not_found")).otherwise(F.lit("ok")).alias("status"))
+        F.when(F.col("_found"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status"))
 
 
 def get_prefix(changes: DataFrame, prefix: str) -> DataFrame:
@@ -56,7 +57,7 @@ def watch(changes: DataFrame, key: str, prefix: bool = False, since_rev: int | N
     """
     key = _trimmed(key)
     if not key:
-        raise EmptyKey("watched key is required but got an empty string")
+        raise EmptyKey("a watch needs a key")
     name = F.col("svc_key")
     rows = changes.filter(F.startswith(name, F.lit(key)) if prefix else name == key)
     rows = rows.filter(F.col("op").isin(PUT, DELETE))
@@ -74,9 +75,10 @@ def lease_end(ts: Column, ttl_s: Column) -> Column:
 def live(changes: DataFrame, as_of: Column, keepalives: DataFrame | None = None) -> DataFrame:
     """Keys whose lease holds at ``as_of``, or that have none.
 
-    ``keepalives`` (``svc_key, ts``) extend a lease from their own time.
+    Only changes and ``keepalives`` (``svc_key, ts``) up to ``as_of`` count; a
+    keepalive extends a lease from its own time.
     """
-    state = current(changes)
+    state = current(changes.filter(F.col("ts") <= as_of))
     if keepalives is not None:
         last = keepalives.filter(F.col("ts") <= as_of).groupBy("svc_key").agg(F.max("ts").alias("_kept"))
         state = state.join(last, "svc_key", "left").withColumn(
@@ -85,10 +87,38 @@ def live(changes: DataFrame, as_of: Column, keepalives: DataFrame | None = None)
     return state.withColumn("expires_at", end).filter(end.isNull() | (end >= as_of))
 
 
-def services(changes: DataFrame, root: str) -> DataFrame:
-    """Instances below ``root/self/`` with their id and listen endpoint."""
+def services(changes: DataFrame, root: str, as_of: Column, keepalives: DataFrame | None = None) -> DataFrame:
+    """Instances below ``root/self/`` alive at ``as_of``, with their id and listen endpoint."""
     below = f"{_trimmed(root)}/{SELF_SEGMENT}/"
-    rows = get_prefix(changes, below)
+    rows = live(changes.filter(F.startswith("svc_key", F.lit(below))), as_of, keepalives)
     return with_endpoint(rows, "val", "endpoint").select(
         F.substring(F.col("svc_key"), F.lit(len(below) + 1), F.length("svc_key")).alias("service_id"),
         "svc_key", "endpoint.protocol", "endpoint.host", "endpoint.port", "endpoint.reason")
+
+
+def lease_spans(changes: DataFrame, width: int | None = None) -> DataFrame:
+    """Times in which a key was held by a lease: (svc_key, started_at, ended_at, ended_by, puts).
+
+    Changes count in order of ``rev``, along which ``ts`` does not fall. A put
+    with a lease holds its key until the lease ends or the key's next change
+    comes, whichever is first, so a later put may also shorten the time. A put
+    without a lease ends the span but not the key, a delete ends both. Holds
+    that touch are one span. ``ended_by`` is ``revoked`` (a delete), ``kept``
+    (a put without a lease) or ``expired``.
+    """
+    options = {} if width is None else {"width": width}
+    rows = changes.filter(F.col("op").isin(PUT, DELETE))
+    rows = neighbour(rows, ["svc_key"], "rev", {"_next": "ts", "_op": "op", "_ttl": "ttl_s"}, following=True, **options)
+    end = lease_end(F.col("ts"), F.col("ttl_s"))
+    cut = F.col("_next").isNotNull() & (F.col("_next") <= end)
+    holds = rows.filter((F.col("op") == PUT) & F.col("ttl_s").isNotNull()).select(
+        "svc_key", "rev", F.col("ts").alias("_from"), F.when(cut, F.col("_next")).otherwise(end).alias("_to"),
+        F.when(~cut, "expired").when(F.col("_op") == DELETE, "revoked").when(
+            F.col("_ttl").isNull(), "kept").otherwise("renewed").alias("_by"))
+    # a hold that is not renewed ends its span; the number of ends before a hold names the span
+    ends = (F.col("_by") != "renewed").cast("bigint")
+    spans = running_sum(holds, ["svc_key"], "rev", ends, "_ends", **options).withColumn("_span", F.col("_ends") - ends)
+    return spans.groupBy("svc_key", "_span").agg(
+        F.min("_from").alias("started_at"), F.max("_to").alias("ended_at"),
+        F.max(F.when(F.col("_by") != "renewed", F.col("_by"))).alias("ended_by"),
+        F.count(F.lit(1)).alias("puts")).drop("_span")

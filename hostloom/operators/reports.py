@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.duration import epoch_micros
 from hostloom.functions.ids import MAX_SEQUENCE, encode_id
-from hostloom.operators.blocks import WIDTH, neighbour, row_number
+from hostloom.operators.blocks import WIDTH, neighbour, row_number, running_max
 
 
 def throughput(operations: DataFrame, by: Sequence[str], failed: Column, ts: str = "ts") -> DataFrame:
@@ -52,17 +52,23 @@ def out_of_order(events: DataFrame, key: str, order: str, value: str, width: int
 
 def assign_ids(rows: DataFrame, machine: str, unix_ms: str, order: str, epoch_ms: int,
                width: int = WIDTH) -> DataFrame:
-    """Give rows time-ordered ids: add ``sequence``, ``id`` and ``overflow``.
+    """Give rows time-ordered ids: add ``id``, ``sequence`` and ``waited``.
 
     A millisecond starts at the low bits of its own offset and counts up to
-    4095. Rows behind that would need the next millisecond; they are marked and
-    get no id, so none is given twice.
+    4095. Rows behind that wait for the next one, as does a row whose clock is
+    behind an id already given; ``waited`` marks rows with a later time than their own.
+
+    With slots counted through all milliseconds, a row's slot is the greater of
+    the one after the row before and the first of its own millisecond, which is
+    its row number plus a running maximum.
     """
+    numbered = row_number(rows, [machine], order, "_n", width)
     offset_ms = F.col(unix_ms) - F.lit(epoch_ms)
-    numbered = row_number(rows, [machine, unix_ms], order, "_n", width)
-    raw = offset_ms.bitwiseAND(F.lit(MAX_SEQUENCE)) + F.col("_n") - 1
-    overflow = raw > MAX_SEQUENCE
-    sequence = raw.bitwiseAND(F.lit(MAX_SEQUENCE))
-    return numbered.select(
-        *rows.columns, sequence.alias("sequence"), overflow.alias("overflow"),
-        F.when(~overflow, encode_id(F.col(unix_ms), F.col(machine), sequence, epoch_ms)).alias("id"))
+    first = offset_ms * (MAX_SEQUENCE + 1) + offset_ms.bitwiseAND(F.lit(MAX_SEQUENCE))
+    placed = running_max(numbered, [machine], order, first - F.col("_n"), "_ahead", width)
+    slot = F.col("_ahead") + F.col("_n")
+    at_ms = F.floor(slot / F.lit(MAX_SEQUENCE + 1)).cast("bigint") + F.lit(epoch_ms)
+    sequence = F.pmod(slot, F.lit(MAX_SEQUENCE + 1))
+    return placed.select(
+        *rows.columns, sequence.alias("sequence"), (at_ms > F.col(unix_ms)).alias("waited"),
+        encode_id(at_ms, F.col(machine), sequence, epoch_ms).alias("id"))

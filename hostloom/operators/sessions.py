@@ -45,8 +45,8 @@ def active_curve(events: DataFrame, conn: str, listener: str, every: str = "hour
 def open_connections(events: DataFrame, conn: str) -> DataFrame:
     """Connections open at the end: their last open or close event is an open."""
     edges = events.filter(F.col("what").isin("open", "close"))
-    return edges.groupBy(conn).agg(F.max_by("what", "seq").alias("_last")).filter(
-        F.col("_last") == "open").drop("_last")
+    last = F.max(F.col("seq") * 2 + (F.col("what") == "open").cast("bigint"))
+    return edges.groupBy(conn).agg(last.alias("_last")).filter(F.col("_last") % 2 != 0).drop("_last")
 
 
 def connection_clients(events: DataFrame, conn: str) -> DataFrame:
@@ -56,24 +56,29 @@ def connection_clients(events: DataFrame, conn: str) -> DataFrame:
         F.when(named.isNotNull(), F.col("client_id")), named).alias("client_id"))
 
 
-def sessions(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Control sessions, one per open event.
+def sessions(events: DataFrame, conn: str, width: int = WIDTH) -> DataFrame:
+    """Control sessions, one per open event of a connection.
 
-    A new session with the same client id closes the one before. A client
-    without an id gets ``client-<seq>``. ``ended_by`` is ``superseded``,
-    ``closed`` or NULL while the session is open.
+    A client without an id gets ``client-<seq>``. A session ends with the first
+    of these: its own connection closes (``closed``), its connection is opened
+    again, or a newer session with the same client id starts anywhere
+    (``superseded``). A close of another connection leaves it alone, so the
+    newest session of a client stays. ``ended_by`` is NULL while it is open.
     """
-    edges = events.filter(F.col("what").isin("open", "close")).withColumn(
-        "client_id",
-        F.when(F.coalesce(F.col("client_id"), F.lit("")) == "",
-               F.concat(F.lit("client-"), F.col("seq").cast("string"))).otherwise(F.col("client_id")))
-    edges = neighbour(edges, ["client_id"], "seq", {"_next": "what", "closed_at": "ts"},
-                      following=True, width=width)
-    ended_by = F.when(F.col("_next") == "open", F.lit("superseded")).when(
-        F.col("_next") == "close", F.lit("closed"))
-    return edges.filter(F.col("what") == "open").select(
+    edges = events.filter(F.col("what").isin("open", "close"))
+    edges = neighbour(edges, [conn], "seq", {"_what": "what", "_seq": "seq", "_ts": "ts"}, following=True, width=width)
+    named = F.coalesce(F.col("client_id"), F.lit("")) != ""
+    opens = edges.filter(F.col("what") == "open").withColumn(
+        "client_id", F.when(named, F.col("client_id")).otherwise(
+            F.concat(F.lit("client-"), F.col("seq").cast("string"))))
+    opens = neighbour(opens, ["client_id"], "seq", {"_newer": "seq", "_newer_ts": "ts"}, following=True, width=width)
+    own_first = F.col("_seq").isNotNull() & (F.col("_newer").isNull() | (F.col("_seq") <= F.col("_newer")))
+    ended_by = F.when(own_first & (F.col("_what") == "close"), F.lit("closed")).when(
+        own_first | F.col("_newer").isNotNull(), F.lit("superseded"))
+    return opens.select(
         F.col("seq").alias("session"), "client_id", F.col("ts").alias("opened_at"),
-        "closed_at", ended_by.alias("ended_by"))
+        F.when(own_first, F.col("_ts")).otherwise(F.col("_newer_ts")).alias("closed_at"),
+        ended_by.alias("ended_by"))
 
 
 def session_activity(messages: DataFrame, session: str) -> DataFrame:

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is spread. At most rows/HOT_ROWS keys can be
 # hot, so the table of hot keys is small by construction: 10^12 rows give at
-# most 10^5 of them, a few megabytes.
+# most 10^5 of them, a few megabytes. A hot key is dealt over as many partitions
+# as its rows ask for, so a task never gets more than about this many of them.
 HOT_ROWS = 10_000_000
-SPREAD = 64
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                 deal_by: Sequence[str] | None = None,
-                hot_rows: int = HOT_ROWS, spread: int = SPREAD) -> DataFrame:
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``left`` (any number of rows per key) with ``right`` (few rows per key).
 
-    Rows of a hot key on the left are dealt over ``spread`` partitions and the
-    key's rows on the right are repeated for each. Other keys are untouched.
+    Rows of a hot key on the left are dealt over one partition per ``hot_rows``
+    of them, and the key's rows on the right are repeated for each. Other keys
+    are untouched. For joins whose result is shuffled again by the same key;
+    elsewhere Spark splits skewed joins by itself.
     ``deal_by`` names left columns that tell rows of one key apart (all columns
     by default). ``how`` is ``inner`` or ``left``.
     """
@@ -30,16 +32,16 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     hot = (
         left.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
+        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_hot"))
     )
-    deal = F.pmod(F.xxhash64(*(deal_by or left.columns)), F.lit(spread)).cast("int")
+    deal = F.pmod(F.xxhash64(*(deal_by or left.columns)), F.coalesce("_hot", F.lit(64))).cast("int")
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
     # broadcast: bounded by rows / hot_rows, see HOT_ROWS
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_slot", F.when(F.col("_hot") | no_key, deal).otherwise(F.lit(0))).drop("_hot")
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+        "_slot", F.when(F.col("_hot").isNotNull() | no_key, deal).otherwise(F.lit(0))).drop("_hot")
+    slots = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
     repeated = right.join(F.broadcast(hot), on, "left").withColumn(
         "_slot", F.explode(slots)).drop("_hot")
     return dealt.join(repeated, [*on, "_slot"], how).drop("_slot")

@@ -29,7 +29,7 @@ SELECT 'host-' || user_id AS machine_id, 'node-' || user_id AS host_name, {_IPS}
   value AS cpu, CAST(event_id % 100 AS DOUBLE) AS memory, event_id % 3 AS nics,
   first_ts AS created_at, ts AS updated_at FROM h WHERE rn = 1"""
 
-_CHANGES = """c AS (SELECT o_orderkey AS rev, o_orderdate AS ts,
+_CHANGES = """c AS (SELECT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 10000000 + o_orderkey AS rev, o_orderdate AS ts,
   '/registry/' || CASE WHEN o_custkey % 3 = 0 THEN 'databus' WHEN o_custkey % 3 = 1 THEN 'controller' ELSE 'admin' END
     || '/self/' || o_custkey AS svc_key, o_custkey AS cust,
   CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS op,
@@ -48,10 +48,20 @@ _DELTAS = f"""{_CONN}, d AS (
                  WHEN what = 'close' AND before = 'open' THEN -1 ELSE 0 END AS delta
   FROM (SELECT *, lag(what) OVER (PARTITION BY client ORDER BY seq) AS before FROM c WHERE what <> 'message'))"""
 
-_SESSIONS = f"""{_CONN}, s AS (SELECT * FROM (
-  SELECT seq, cid, ts, what, lead(what) OVER w AS nxt, lead(ts) OVER w AS nxt_ts
-  FROM (SELECT *, CASE WHEN client_id = '' THEN 'client-' || seq ELSE client_id END AS cid FROM c WHERE what <> 'message')
-  WINDOW w AS (PARTITION BY cid ORDER BY seq)) WHERE what = 'open')"""
+_SESSIONS = f"""{_CONN},
+ t AS (SELECT *, lead(what) OVER w AS own_what, lead(seq) OVER w AS own_seq, lead(ts) OVER w AS own_ts
+   FROM c WHERE what <> 'message' WINDOW w AS (PARTITION BY client ORDER BY seq)),
+ o AS (SELECT *, CASE WHEN client_id = '' THEN 'client-' || seq ELSE client_id END AS cid FROM t WHERE what = 'open'),
+ n AS (SELECT o.*, (SELECT min(x.seq) FROM o x WHERE x.cid = o.cid AND x.seq > o.seq) AS new_seq FROM o),
+ s AS (SELECT n.seq, n.cid, n.ts,
+     CASE WHEN own_seq <= coalesce(new_seq, own_seq) THEN own_ts ELSE e.ts END AS ended_at,
+     CASE WHEN own_what = 'close' AND own_seq <= coalesce(new_seq, own_seq) THEN 'closed'
+          WHEN own_seq IS NOT NULL OR new_seq IS NOT NULL THEN 'superseded' END AS ended_by
+   FROM n LEFT JOIN c e ON e.seq = n.new_seq)"""
+
+_LIVE = f"""{_CHANGES}, s AS (SELECT *, ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) AS expires_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY svc_key ORDER BY rev DESC) AS rn FROM c WHERE ts <= TIMESTAMP '1996-07-01')
+  WHERE rn = 1 AND op = 'PUT' AND (ttl_s IS NULL OR ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) >= TIMESTAMP '1996-07-01'))"""
 
 _PHYSICAL = """p_size % 5 <> 0 AND p_partkey % 15 IN (1, 5, 7, 8, 11, 13)"""
 
@@ -68,18 +78,36 @@ _FNV = """xor(CAST(('0x' || substr(h, 1, 16)) AS UBIGINT)::HUGEINT, list_reduce(
   list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, 32), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS HUGEINT))),
   lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))"""
 
-_RECORD_LINES = """SELECT 'databus_records_written_total{sink_type="' || l_returnflag || '",status="' || l_linestatus || '"} '
-  || CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS line FROM lineitem GROUP BY l_returnflag, l_linestatus
-UNION ALL SELECT 'admin_info{version="v1"} 1' AS line"""
+_RECORD_LINES = """SELECT family, place, line FROM (VALUES
+  ('databus_records_written_total', 0, '# HELP databus_records_written_total Records written by sink and status.'),
+  ('databus_records_written_total', 1, '# TYPE databus_records_written_total counter'),
+  ('admin_info', 0, '# HELP admin_info Version of the service.'), ('admin_info', 1, '# TYPE admin_info gauge'),
+  ('admin_info', 2, 'admin_info{version="v1"} 1'),
+  ('databus_batch_size', 0, '# HELP databus_batch_size Rows in a batch.'), ('databus_batch_size', 1, '# TYPE databus_batch_size histogram'),
+  ('databus_queue_length', 0, '# HELP databus_queue_length Rows waiting.'), ('databus_queue_length', 1, '# TYPE databus_queue_length summary')
+  ) h(family, place, line)
+UNION ALL SELECT 'databus_records_written_total', 2, 'databus_records_written_total{sink_type="' || l_returnflag || '",status="' || l_linestatus || '"} '
+  || CAST(sum(l_quantity) AS BIGINT) FROM lineitem GROUP BY l_returnflag, l_linestatus
+UNION ALL SELECT 'databus_batch_size', 2, 'databus_batch_size_bucket{l_returnflag="' || l_returnflag || '",le="' || le || '"} '
+  || count(*) FILTER (WHERE l_quantity <= bound) FROM lineitem, (VALUES ('10', 10.0), ('25', 25.0), ('+Inf', 1e300)) b(le, bound)
+  GROUP BY l_returnflag, le
+UNION ALL SELECT 'databus_batch_size', 2, 'databus_batch_size_sum{l_returnflag="' || l_returnflag || '"} ' || CAST(sum(l_quantity) AS BIGINT)
+  FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'databus_batch_size', 2, 'databus_batch_size_count{l_returnflag="' || l_returnflag || '"} ' || count(*)
+  FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'databus_queue_length', 2, 'databus_queue_length{l_linestatus="' || l_linestatus || '",quantile="0.5"} '
+  || CAST(quantile_disc(l_quantity, 0.5) AS BIGINT) FROM lineitem GROUP BY l_linestatus
+UNION ALL SELECT 'databus_queue_length', 2, 'databus_queue_length{l_linestatus="' || l_linestatus || '",quantile="0.9"} '
+  || CAST(quantile_disc(l_quantity, 0.9) AS BIGINT) FROM lineitem GROUP BY l_linestatus
+UNION ALL SELECT 'databus_queue_length', 2, 'databus_queue_length_sum{l_linestatus="' || l_linestatus || '"} ' || CAST(sum(l_quantity) AS BIGINT)
+  FROM lineitem GROUP BY l_linestatus
+UNION ALL SELECT 'databus_queue_length', 2, 'databus_queue_length_count{l_linestatus="' || l_linestatus || '"} ' || count(*)
+  FROM lineitem GROUP BY l_linestatus"""
 
 ORACLES = {
     "src_envelopes": f"""WITH {_V} SELECT seq, ts AS arrival_ts,
   '10.0.0.' || user_id % 4 || ':5000#' || user_id % 8 AS conn_id, client_id, payload FROM v""",
     "src_union": f"""WITH {_V} SELECT seq, '10.0.0.' || user_id % 4 || ':5000#' || user_id % 8 AS conn_id, client_id FROM v""",
-    "src_heartbeat": """WITH a AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY user_id),
- t AS (SELECT user_id, t0, unnest(range(1, (epoch_us(t1) - epoch_us(t0)) // 3600000000 + 1)) AS seq FROM a)
-SELECT 'host-' || user_id AS client_id, seq, t0 + to_hours(CAST(seq AS INTEGER)) AS ts,
-  '{"PluginName":"file","EventName":"file","Data":null}' AS payload FROM t""",
     "src_changes": f"WITH {_CHANGES} SELECT rev, ts, svc_key, op, val, CAST(ttl_s AS BIGINT) AS ttl_s FROM c",
     "snk_kafka_rows": f"WITH {_V} SELECT client_id AS key, payload AS value FROM v WHERE payload <> ''",
     "snk_upsert": _LATEST,
@@ -166,10 +194,11 @@ FROM (SELECT user_id, {_FNV} AS f FROM (SELECT DISTINCT user_id, sha256('host-'
     "mth_snowflake_encode": f"SELECT event_id, CASE WHEN user_id <= 1023 THEN {_EVENT_ID} END AS id FROM events",
     "mth_snowflake_decode": """SELECT event_id, CASE WHEN user_id <= 1023 THEN epoch_us(ts) // 1000 END AS unix_ms,
   CASE WHEN user_id <= 1023 THEN user_id END AS machine, CASE WHEN user_id <= 1023 THEN event_id % 4096 END AS sequence FROM events""",
-    "mth_snowflake_assign": """WITH n AS (SELECT event_id, user_id % 4 AS machine, event_id // 100 AS ms,
-  (event_id // 100) % 4096 + row_number() OVER (PARTITION BY user_id % 4, event_id // 100 ORDER BY event_id) - 1 AS raw FROM events)
-SELECT event_id, raw % 4096 AS sequence, raw > 4095 AS overflow,
-  CASE WHEN raw <= 4095 THEN (ms << 22) | (machine << 12) | raw END AS id FROM n""",
+    "mth_snowflake_assign": """WITH n AS (SELECT event_id, user_id % 2 AS machine, event_id // 10000 AS ms,
+  row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) AS n FROM events),
+ r AS (SELECT *, n + max(ms * 4096 + ms % 4096 - n) OVER (PARTITION BY machine ORDER BY event_id) AS slot FROM n)
+SELECT event_id, slot % 4096 AS sequence, slot // 4096 > ms AS waited,
+  ((slot // 4096) << 22) | (machine << 12) | (slot % 4096) AS id FROM r""",
     "jon_nic_counters": f"""SELECT p_partkey % 50 AS host, p_partkey AS nic_id, {_NIC_NAME} AS if_name,
   CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS BIGINT) * 1000 ELSE 0 END AS rx_bytes FROM part""",
     "jon_disk_usage": "SELECT p_partkey AS nic_id, p_partkey % 50 AS host, CAST(p_size AS DOUBLE) AS used_percent FROM part WHERE p_partkey % 7 <> 0",
@@ -192,6 +221,8 @@ SELECT l_returnflag, le, count(*) FILTER (WHERE l_extendedprice <= bound) AS buc
  q AS (SELECT * FROM (VALUES (50), (90), (99)) t(p))
 SELECT event_type, CAST(p AS DOUBLE) / 100 AS quantile, value, observed_count, observed_sum
 FROM r JOIN q ON rn = (p * n + 99) // 100 JOIN s USING (event_type)""",
+    "agg_summary_approx": """SELECT event_type, quantile, count(*) AS observed_count, round(sum(value), 2) AS observed_sum,
+  true AS within_tolerance FROM events, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) q(quantile) GROUP BY event_type, quantile""",
     "agg_databus_metrics": f"""WITH {_V}, r AS (SELECT * FROM v WHERE kind <> 'greeting'), {_CONN}
 SELECT 'databus_records_written_total' AS metric, 'sink_type=kafka,status=success' AS labels, CAST(count(*) AS DOUBLE) AS value FROM r WHERE payload <> ''
 UNION ALL SELECT 'databus_records_written_total', 'sink_type=mysql,status=success', count(*) FROM r WHERE kind = 'host'
@@ -204,10 +235,10 @@ UNION ALL SELECT 'databus_connections_active', 'state=connected', count(*) FROM
   CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status FROM events)
 SELECT 'controller_requests_total' AS metric, 'method=' || method || ',status=' || status AS labels, CAST(count(*) AS DOUBLE) AS value
 FROM q GROUP BY method, status
-UNION ALL SELECT 'controller_agent_connections_active', 'state=connected', count(*) FROM s WHERE nxt IS NULL""",
+UNION ALL SELECT 'controller_agent_connections_active', 'state=connected', count(*) FROM s WHERE ended_by IS NULL""",
     "met_exposition": _RECORD_LINES,
     "ext_custom_metrics": f"""{_RECORD_LINES}
-UNION ALL SELECT 'custom_events{{event_type="' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type""",
+UNION ALL SELECT 'custom_events', 2, 'custom_events{{event_type="' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type""",
     "agg_throughput": """SELECT user_id % 4 AS level, event_type AS kind, count(*) FILTER (WHERE event_id % 37 <> 0) AS ops,
   count(*) FILTER (WHERE event_id % 37 = 0) AS errors,
   round(count(*) FILTER (WHERE event_id % 37 <> 0) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0), 9) AS ops_per_second
@@ -222,28 +253,26 @@ SELECT topic, count(*) AS watchers, round(avg(got), 4) AS avg_received, min(got)
 SELECT listener, bucket, CAST(sum(delta) OVER (PARTITION BY listener ORDER BY bucket) AS BIGINT) AS active FROM b""",
     "sta_conn_client": """SELECT user_id AS client, CASE WHEN count(*) FILTER (WHERE event_id % 4 <> 0) > 0 THEN 'host-' || user_id END AS client_id
 FROM events GROUP BY user_id""",
-    "sta_sessions": f"""WITH {_SESSIONS} SELECT seq AS session, cid AS client_id, ts AS opened_at, nxt_ts AS closed_at,
-  CASE nxt WHEN 'open' THEN 'superseded' WHEN 'close' THEN 'closed' END AS ended_by FROM s""",
+    "sta_sessions": f"""WITH {_SESSIONS} SELECT seq AS session, cid AS client_id, ts AS opened_at, ended_at AS closed_at,
+  ended_by FROM s""",
     "sta_last_active": f"""WITH {_CONN} SELECT client, arg_min(what, seq) AS first_what, CAST(min(seq) AS VARCHAR) AS first_seq,
   max(ts) AS last_active FROM c GROUP BY client""",
     "reg_current": f"WITH {_CURRENT} SELECT svc_key, rev, val FROM s",
     "reg_get": f"""WITH {_CURRENT} SELECT c_custkey AS request_id, CASE WHEN s.val IS NULL THEN 'not_found' ELSE 'ok' END AS status, s.val
 FROM customer LEFT JOIN s ON s.cust = c_custkey AND c_custkey % 3 = 0""",
     "reg_prefix": f"WITH {_CURRENT} SELECT svc_key, val FROM s WHERE cust % 3 = 1 AND CAST(cust AS VARCHAR) LIKE '1%'",
-    "reg_watch": f"WITH {_CHANGES} SELECT rev, op AS event, svc_key, val FROM c WHERE cust % 3 = 2 AND rev > 100",
-    "reg_live": f"""WITH {_CURRENT}, x AS (SELECT svc_key, rev, ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) AS expires_at FROM s)
-SELECT svc_key, rev, expires_at FROM x WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2001-08-01'""",
-    "reg_services": f"""WITH {_CURRENT} SELECT CAST(cust AS VARCHAR) AS service_id, 'tcp' AS protocol, '10.0.0.' || cust % 250 AS host,
-  1024 + rev % 60000 AS port FROM s WHERE cust % 3 = 0""",
+    "reg_watch": f"WITH {_CHANGES} SELECT rev, op AS event, svc_key, val FROM c WHERE cust % 3 = 2 AND rev > 10000000000",
+    "reg_live": f"WITH {_LIVE} SELECT svc_key, rev, expires_at FROM s",
+    "reg_services": f"""WITH {_LIVE} SELECT CAST(cust AS VARCHAR) AS service_id, 'tcp' AS protocol, '10.0.0.' || cust % 250 AS host,
+  1024 + rev % 10000000 % 60000 AS port FROM s WHERE cust % 3 = 0""",
     "reg_lease_spans": f"""WITH {_CHANGES},
- l AS (SELECT *, CASE WHEN op = 'PUT' THEN ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) ELSE ts + to_milliseconds(1) END AS until
-   FROM c WHERE ttl_s IS NOT NULL),
- m AS (SELECT *, max(until) OVER (PARTITION BY svc_key ORDER BY ts, rev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
- g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before THEN 1 ELSE 0 END) OVER (PARTITION BY svc_key ORDER BY ts, rev) AS span FROM m)
-SELECT svc_key, min(ts) AS started_at,
-  CASE WHEN arg_max(op, rev) = 'DELETE' THEN max(ts) FILTER (WHERE op = 'DELETE') ELSE max(until) END AS ended_at,
-  CASE WHEN arg_max(op, rev) = 'DELETE' THEN 'revoked' ELSE 'expired' END AS ended_by, count(*) AS changes
-FROM g GROUP BY svc_key, span""",
+ n AS (SELECT *, ts + to_days(CAST(ttl_s // 86400 AS INTEGER)) AS until, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op,
+   lead(ttl_s) OVER w AS next_ttl FROM c WINDOW w AS (PARTITION BY svc_key ORDER BY rev)),
+ h AS (SELECT svc_key, rev, ts, least(until, coalesce(next_ts, until)) AS held_to,
+   CASE WHEN next_ts IS NULL OR next_ts > until THEN 'expired' WHEN next_op = 'DELETE' THEN 'revoked'
+     WHEN next_ttl IS NULL THEN 'kept' END AS ended FROM n WHERE op = 'PUT' AND ttl_s IS NOT NULL),
+ g AS (SELECT *, count(ended) OVER (PARTITION BY svc_key ORDER BY rev) - CAST(ended IS NOT NULL AS INTEGER) AS span FROM h)
+SELECT svc_key, min(ts) AS started_at, max(held_to) AS ended_at, max(ended) AS ended_by, count(*) AS puts FROM g GROUP BY svc_key, span""",
     "seq_out_of_order": """WITH l AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE value < before) AS out_of_order FROM l GROUP BY user_id""",
     "lim_list_hosts": f"SELECT machine_id, host_name, updated_at FROM ({_LATEST}) ORDER BY machine_id LIMIT 10",

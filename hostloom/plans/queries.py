@@ -30,7 +30,6 @@ from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
 from hostloom.sinks.snapshots import SnapshotTable, quarantine_sink
 from hostloom.sources.changes import read_changes
 from hostloom.sources.envelopes import read_envelopes, read_sources
-from hostloom.sources.heartbeat import heartbeats_between
 from hostloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +37,7 @@ QUERIES: dict[str, Query] = {}
 
 # 2024-01-01T00:00:00Z, before the first event
 EPOCH_2024_MS = 1704067200000
-AS_OF = "2001-08-01"
+AS_OF = "1996-07-01"
 
 
 def query(fn: Query) -> Query:
@@ -64,9 +63,7 @@ def _events_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = V.table(spark, sf_dir, name)
     # written as a pattern, since a stream takes a plain path to be a directory
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    # a table in fewer splits than cores is dealt over all of them, as in session.widened
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(cores) if table.rdd.getNumPartitions() < cores else stream
+    return V.dealt(stream)
 
 
 def _snapshot_out(snapshots: DataFrame) -> DataFrame:
@@ -93,14 +90,6 @@ def src_union(spark, sf_dir):
     return read_sources(spark, configs).select("seq", "conn_id", "client_id")
 
 
-@query
-def src_heartbeat(spark, sf_dir):
-    agents = V.table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min("ts").alias("started_at"), F.max("ts").alias("stopped_at")
-    ).withColumn("client_id", F.concat(F.lit("host-"), F.col("user_id").cast("string")))
-    return heartbeats_between(agents, period_s=3600).select("client_id", "seq", "ts", "payload")
-
-
 @query
 def src_changes(spark, sf_dir):
     return read_changes(spark, _landed(V.changes(spark, sf_dir), spark, "changes"))
@@ -136,7 +125,7 @@ def snk_fanout_counts(spark, sf_dir):
         SnapshotTable(spark, f"{base}/snapshots").sink(),
         quarantine_sink(f"{base}/quarantine"),
     ]
-    outcomes = fan_out(I.drop_greetings(V.envelopes(spark, sf_dir)), sinks)
+    outcomes = fan_out(I.drop_greetings(V.envelopes(spark, sf_dir)), sinks, persist=False)
     return outcomes.select("sink_type", "status", "rows", "bytes")
 
 
@@ -411,9 +400,9 @@ def mth_snowflake_decode(spark, sf_dir):
 @query
 def mth_snowflake_assign(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id % 4 AS machine", f"{EPOCH_2024_MS} + event_id div 100 AS unix_ms")
+        "event_id", "user_id % 2 AS machine", f"{EPOCH_2024_MS} + event_id div 10000 AS unix_ms")
     return RP.assign_ids(e, "machine", "unix_ms", "event_id", EPOCH_2024_MS).select(
-        "event_id", "sequence", "overflow", "id")
+        "event_id", "sequence", "waited", "id")
 
 
 # --- joins -----------------------------------------------------------------
@@ -481,7 +470,11 @@ def agg_summary(spark, sf_dir):
 @query
 def agg_summary_approx(spark, sf_dir):
     rows = V.table(spark, sf_dir, "events")
-    return M.summary_approx(rows, ["event_type"], "value", OBJECTIVES)
+    answers = M.summary_approx(rows, ["event_type"], "value", OBJECTIVES)
+    allowed = F.create_map(*[F.lit(float(x)) for pair in OBJECTIVES.items() for x in pair])
+    return M.rank_error(rows, answers, ["event_type"], "value").select(
+        "event_type", "quantile", "observed_count", F.round("observed_sum", 2).alias("observed_sum"),
+        (F.col("rank_error") <= allowed[F.col("quantile")]).alias("within_tolerance"))
 
 
 def _labels_text() -> Column:
@@ -507,19 +500,33 @@ def agg_databus_metrics(spark, sf_dir):
 @query
 def agg_controller_metrics(spark, sf_dir):
     requests = X.with_access_fields(V.access_log(spark, sf_dir))
-    active = S.sessions(V.conn_events(spark, sf_dir)).filter(F.col("ended_by").isNull())
+    active = S.sessions(V.conn_events(spark, sf_dir), "client").filter(F.col("ended_by").isNull())
     return M.controller_metrics(requests, active).select("metric", _labels_text(), "value")
 
 
 def _exposed(spark, sf_dir) -> DataFrame:
     labels = ["sink_type", "status"]
+    items = V.table(spark, sf_dir, "lineitem")
     total = M.counter(V.counter_deltas(spark, sf_dir), labels)
-    return M.as_samples(total, "databus", "records_written_total", labels).unionByName(M.admin_info(spark))
+    sizes = M.histogram(items, ["l_returnflag"], "l_quantity", [10, 25])
+    spread = M.summary(items, ["l_linestatus"], "l_quantity", [0.5, 0.9])
+    return (M.as_samples(total, "databus", "records_written_total", labels)
+            .unionByName(M.admin_info(spark))
+            .unionByName(M.histogram_samples(sizes, "databus", "batch_size", ["l_returnflag"]))
+            .unionByName(M.summary_samples(spread, "databus", "queue_length", ["l_linestatus"])))
+
+
+FAMILIES = {
+    "databus_records_written_total": ("counter", "Records written by sink and status."),
+    "admin_info": ("gauge", "Version of the service."),
+    "databus_batch_size": ("histogram", "Rows in a batch."),
+    "databus_queue_length": ("summary", "Rows waiting."),
+}
 
 
 @query
 def met_exposition(spark, sf_dir):
-    return M.exposition(_exposed(spark, sf_dir))
+    return M.exposition(_exposed(spark, sf_dir), FAMILIES).select("family", "place", "line")
 
 
 @query
@@ -527,7 +534,7 @@ def ext_custom_metrics(spark, sf_dir):
     extra = V.table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).cast("double").alias("value"))
     return M.exposition(_exposed(spark, sf_dir).unionByName(
-        M.as_samples(extra, "custom", "events", ["event_type"])))
+        M.as_samples(extra, "custom", "events", ["event_type"])), FAMILIES).select("family", "place", "line")
 
 
 @query
@@ -568,7 +575,7 @@ def sta_conn_client(spark, sf_dir):
 
 @query
 def sta_sessions(spark, sf_dir):
-    return S.sessions(V.conn_events(spark, sf_dir))
+    return S.sessions(V.conn_events(spark, sf_dir), "client")
 
 
 @query
@@ -599,7 +606,7 @@ def reg_prefix(spark, sf_dir):
 
 @query
 def reg_watch(spark, sf_dir):
-    return R.watch(V.changes(spark, sf_dir), " /registry/admin/ ", prefix=True, since_rev=100)
+    return R.watch(V.changes(spark, sf_dir), " /registry/admin/ ", prefix=True, since_rev=1000 * 10_000_000)
 
 
 @query
@@ -610,13 +617,14 @@ def reg_live(spark, sf_dir):
 
 @query
 def reg_services(spark, sf_dir):
-    return R.services(V.changes(spark, sf_dir), "/registry/databus").select(
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    return R.services(V.changes(spark, sf_dir), "/registry/databus", as_of).select(
         "service_id", "protocol", "host", F.col("port").cast("bigint").alias("port"))
 
 
 @query
 def reg_lease_spans(spark, sf_dir):
-    return jobs.lease_spans(V.changes(spark, sf_dir))
+    return R.lease_spans(V.changes(spark, sf_dir), width=30 * 10_000_000)
 
 
 @query

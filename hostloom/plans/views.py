@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostloom.session import widened
-
 ENVELOPE_KIND = """
 CASE WHEN event_id % 101 = 0 THEN 'greeting'
      WHEN event_id % 83 = 0 THEN 'empty'
@@ -45,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as ``spark.hostloom.view.partitions`` says; as they are where it is unset."""
+    n = rows.sparkSession.conf.get("spark.hostloom.view.partitions", None)
+    return rows.repartition(int(n)) if n else rows
+
+
 def as_envelopes(events: DataFrame) -> DataFrame:
     """Events as envelopes; works on a batch or a streaming DataFrame."""
     kinds = events.selectExpr("*", f"{ENVELOPE_KIND} AS kind", f"{NIC1} AS nic1", f"{NIC2} AS nic2")
@@ -64,7 +68,7 @@ def as_envelopes(events: DataFrame) -> DataFrame:
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_envelopes(widened(table(spark, sf_dir, "events")))
+    return as_envelopes(dealt(table(spark, sf_dir, "events")))
 
 
 def nics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,8 @@ def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_changes(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
-        "o_orderkey AS rev", "o_orderdate AS ts",
+        # revisions rise with time
+        "CAST(datediff(CAST(o_orderdate AS DATE), DATE'1992-01-01') AS BIGINT) * 10000000 + o_orderkey AS rev", "o_orderdate AS ts",
         "'/registry/' || CASE WHEN o_custkey % 3 = 0 THEN 'databus' WHEN o_custkey % 3 = 1 THEN 'controller' "
         "ELSE 'admin' END || '/self/' || CAST(o_custkey AS STRING) AS svc_key",
         "CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS op",
@@ -130,7 +135,7 @@ def conn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return widened(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).selectExpr(
+    return dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).selectExpr(
         "event_id AS seq",
         """CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END || ' /api/' || event_type || ' 10.0.0.'
              || CAST(user_id % 250 AS STRING) || ' ' || CASE WHEN event_type = 'error' THEN '500' ELSE '200' END

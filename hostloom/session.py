@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # What the jobs rely on. Values are Spark's own settings; a cluster's
 # defaults file may set others (partition counts above all).
@@ -40,6 +40,8 @@ def local_session(cores: str | int = "*", app: str = "hostloom", shared: str | N
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        # test tables are single files; views deal them over that many tasks
+        .config("spark.hostloom.view.partitions", "8")
     )
     if shared:
         builder = builder.config("spark.checkpoint.dir", shared)
@@ -50,17 +52,6 @@ def local_session(cores: str | int = "*", app: str = "hostloom", shared: str | N
     return spark
 
 
-def widened(rows: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input comes in fewer splits than there are cores.
-
-    For a few small files in front of costly parsing. A table with many splits
-    is returned as it is, without a shuffle. Meant for scans and micro-batches:
-    counting the partitions of a plan that shuffles would run it.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 @cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="hostloom-")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from hostloom.functions.payload import json_value
 from hostloom.operators.ingest import as_snapshots, merge_latest, reduce_to_latest
-from hostloom.sinks.base import Sink
+from hostloom.sinks.base import Sink, write_noop
 
 # Fixed value: name of the table.
 TABLE = "t_host_snapshots"
@@ -34,7 +34,9 @@ class SnapshotTable:
     part; a reader folds the parts by recency. A micro-batch thus never
     rewrites the fleet. The fold takes a minimum and a maximum, so a replayed,
     late or twice-stored batch changes nothing. ``compact`` folds the parts
-    into one when there are many.
+    into one when there are many. A part counts once it is committed: a folder
+    without Spark's success mark is being written or was given up. A repeat of a
+    batch whose part is committed writes nothing, so readers never see it go.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -46,11 +48,18 @@ class SnapshotTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _committed(self, part: str) -> bool:
+        fs, p = self._fs(f"{part}/_SUCCESS")
+        return fs.exists(p)
+
     def _write(self, reduced: DataFrame, part: str) -> None:
+        if self._committed(f"{self.path}/part={part}"):
+            write_noop(reduced)  # the caller counts rows by this action
+            return
         reduced.select(*REDUCED.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/part={part}")
 
     def upsert(self, rows: DataFrame, batch: str) -> None:
-        """Apply accepted envelope rows. ``batch`` names the part; a repeat replaces it."""
+        """Apply accepted envelope rows. ``batch`` names the part and always means the same rows."""
         self._write(reduce_to_latest(rows), batch)
 
     def upsert_reduced(self, reduced: DataFrame, batch: str) -> None:
@@ -60,8 +69,9 @@ class SnapshotTable:
         fs, root = self._fs(self.path)
         if not fs.exists(root):
             return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(root)
-                      if s.getPath().getName().startswith("part="))
+        found = (s.getPath() for s in fs.listStatus(root))
+        return sorted(p.toString() for p in found
+                      if p.getName().startswith("part=") and self._committed(p.toString()))
 
     def reduced(self) -> DataFrame:
         parts = self.parts()
@@ -101,14 +111,19 @@ def snapshot_columns(snapshots: DataFrame) -> DataFrame:
 
 
 def merge_statements(table: str, stage: str) -> list[str]:
-    """SQL that applies a staging table: update known machines, insert new ones."""
+    """SQL that applies a staging table: update machines to newer samples, insert new ones.
+
+    Late and replayed batches change nothing, and the first one dates a machine.
+    """
     return [
         f"UPDATE {table} t JOIN {stage} s ON t.machine_id = s.machine_id "
-        "SET t.host_name = s.host_name, t.ips = s.ips, t.stats = s.stats, t.updated_at = s.updated_at",
+        "SET t.created_at = LEAST(t.created_at, s.created_at)",
+        f"UPDATE {table} t JOIN {stage} s ON t.machine_id = s.machine_id "
+        "SET t.host_name = s.host_name, t.ips = s.ips, t.stats = s.stats, t.updated_at = s.updated_at "
+        "WHERE s.updated_at > t.updated_at",
         f"INSERT INTO {table} (machine_id, host_name, ips, stats, created_at, updated_at) "
         "SELECT s.machine_id, s.host_name, s.ips, s.stats, s.created_at, s.updated_at "
         f"FROM {stage} s LEFT JOIN {table} t ON t.machine_id = s.machine_id WHERE t.machine_id IS NULL",
-        f"DROP TABLE {stage}",
     ]
 
 
@@ -120,14 +135,21 @@ def jdbc_sink(url: str, user: str, password: str, table: str = TABLE, writers: i
     def put(rows: DataFrame, batch: str) -> None:
         stage = f"{table}_stage_{batch.replace('-', '_')}"
         staged = snapshot_columns(as_snapshots(reduce_to_latest(rows)))
-        (staged.coalesce(writers).write.format("jdbc").mode("overwrite")
+        (staged.repartition(writers).write.format("jdbc").mode("overwrite")
          .option("url", url).option("dbtable", stage)
          .option("user", user).option("password", password).save())
         jvm = rows.sparkSession.sparkContext._jvm
         connection = jvm.java.sql.DriverManager.getConnection(url, user, password)
         try:
+            connection.setAutoCommit(False)
             for sql in merge_statements(table, stage):
                 connection.createStatement().executeUpdate(sql)
+            connection.commit()
+            connection.createStatement().executeUpdate(f"DROP TABLE {stage}")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
         finally:
             connection.close()
 

@@ -6,15 +6,12 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hostloom.operators.ingest import accepted, drop_greetings, reduce_to_latest, within_size
-from hostloom.operators.registry import MIN_TTL_S, watch
-from hostloom.session import widened
+from hostloom.operators.ingest import accepted, drop_greetings, reduce_to_latest
+from hostloom.operators.registry import watch
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.snapshots import SnapshotTable
-from hostloom.sources.changes import DELETE, PUT
 
 
 def _batch_name(checkpoint: str, batch_id: int) -> str:
@@ -37,11 +34,11 @@ def ingest(envelopes: DataFrame, sinks: Sequence[Sink], checkpoint: str,
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _batch_name(checkpoint, batch_id)
-        outcomes = fan_out(widened(batch), sinks, name, on_error)
+        outcomes = fan_out(batch, sinks, name, on_error)
         if delivery_log:
             outcomes.coalesce(1).write.mode("overwrite").parquet(f"{delivery_log.rstrip('/')}/batch={name}")
 
-    rows = drop_greetings(within_size(envelopes))
+    rows = drop_greetings(envelopes)
     return _start(rows.writeStream.foreachBatch(each), checkpoint, available_now)
 
 
@@ -62,44 +59,15 @@ def watch_events(changes: DataFrame, key: str, out: str, checkpoint: str, prefix
     return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)
 
 
-def _joined_spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge rows ``at, gap`` of a key that overlap into spans."""
-    return rows.groupBy(F.session_window("at", F.col("gap")).alias("span"), *keys).agg(
-        F.max("last").alias("last"), F.max("deleted").alias("deleted"), F.sum("changes").alias("changes"))
+def compact(table: SnapshotTable, name: str, at_least: int = 32, retire: bool = False) -> list[str]:
+    """Scheduled upkeep: fold the parts of ``table`` into one when there are ``at_least`` of them.
 
-
-def lease_spans(changes: DataFrame, lateness: str = "1 minute", block: str = "day") -> DataFrame:
-    """Spans in which a leased key was kept alive; works on streams and tables.
-
-    A put keeps its key for its time to live, so a span is a session window
-    whose gap is that time, and it ends when the lease runs out. On a stream in
-    append mode a span comes out once the watermark has passed its end.
-    ``ended_by`` is ``revoked`` when a delete was the last event.
-
-    A session window brings all rows of a key to one task. A table is therefore
-    merged inside blocks of time first; only the spans of a block meet the
-    other blocks of their key.
+    Returns the parts folded; ``retire`` removes them at once, for tables
+    without readers of older lists.
     """
-    # a session window needs an instant, not a wall-clock time
-    at = F.col("ts").cast("timestamp")
-    is_put = F.col("op") == PUT
-    ttl = F.greatest(F.col("ttl_s"), F.lit(MIN_TTL_S)).cast("string")
-    leased = changes.filter(F.col("ttl_s").isNotNull() & F.col("op").isin(PUT, DELETE)).select(
-        "svc_key", at.alias("at"),
-        F.when(is_put, F.concat(ttl, F.lit(" seconds"))).otherwise(F.lit("1 millisecond")).alias("gap"),
-        F.struct("rev", "op").alias("last"), F.when(~is_put, at).alias("deleted"),
-        F.lit(1).cast("bigint").alias("changes"))
-    if changes.isStreaming:
-        spans = _joined_spans(leased.withWatermark("at", lateness), ["svc_key"])
-    else:
-        parts = _joined_spans(leased.withColumn("_block", F.date_trunc(block, "at")), ["svc_key", "_block"])
-        length = F.unix_micros("span.end") - F.unix_micros("span.start")
-        spans = _joined_spans(parts.select(
-            "svc_key", F.col("span.start").alias("at"),
-            F.concat(length.cast("string"), F.lit(" microseconds")).alias("gap"),
-            "last", "deleted", "changes"), ["svc_key"])
-    revoked = F.col("last.op") == DELETE
-    return spans.select(
-        "svc_key", F.col("span.start").cast("timestamp_ntz").alias("started_at"),
-        F.when(revoked, F.col("deleted")).otherwise(F.col("span.end")).cast("timestamp_ntz").alias("ended_at"),
-        F.when(revoked, F.lit("revoked")).otherwise(F.lit("expired")).alias("ended_by"), "changes")
+    if len(table.parts()) < at_least:
+        return []
+    old = table.compact(name)
+    if retire:
+        table.remove(old)
+    return old

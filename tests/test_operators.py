@@ -55,7 +55,7 @@ def test_spread_join_equals_join(spark, keyed, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, w long")
     left = keyed.union(spark.createDataFrame([(9999, None, 1)], keyed.schema))
     want = sorted(map(tuple, left.join(right, ["k"], how).select("seq", "k", "v", "w").collect()), key=repr)
-    got = spread_join(left, right, ["k"], how, hot_rows=50, spread=5)
+    got = spread_join(left, right, ["k"], how, hot_rows=50)
     assert sorted(map(tuple, got.select("seq", "k", "v", "w").collect()), key=repr) == want
 
 
@@ -64,7 +64,7 @@ def test_spread_join_deals_the_hot_key(spark, keyed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = spread_join(keyed, right, ["k"], "inner", hot_rows=50, spread=16)
+        rows = spread_join(keyed, right, ["k"], "inner", hot_rows=10)
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -184,6 +184,8 @@ def test_registry_state_and_lookups(spark):
     asked = spark.createDataFrame([(1, " /r/a"), (2, "/r/b"), (3, "/r/a")], "request_id long, svc_key string")
     assert sorted((r.request_id, r.status, r.val) for r in registry.get_many(log, asked).collect()) == [
         (1, "ok", "2"), (2, "not_found", None), (3, "ok", "2")]
+    nothing = changes(spark, [(1, 0, "/r/b", "PUT", None, None)])
+    assert {r.status for r in registry.get_many(nothing, asked).collect()} == {"ok", "not_found"}
     assert [r.rev for r in registry.watch(log, "/r/a").orderBy("rev").collect()] == [1, 2]
     assert [r.rev for r in registry.watch(log, "/r/", True, since_rev=2).orderBy("rev").collect()] == [3, 4, 5]
     with pytest.raises(registry.EmptyKey):
@@ -203,6 +205,40 @@ def test_lease_floor_and_keepalive(spark):
     assert alive(12, kept) == {"long", "free"}
 
 
+LEASES = [(1, 0, "a", "PUT", "", 60), (2, 50, "a", "PUT", "", 60), (3, 300, "a", "PUT", "", 60),
+          (4, 310, "b", "PUT", "", 600), (5, 330, "b", "DELETE", "", None), (6, 400, "b", "PUT", "", 600),
+          (7, 410, "b", "PUT", "", 30), (8, 500, "c", "DELETE", "", None), (9, 600, "c", "PUT", "", 1),
+          (10, 700, "d", "PUT", "", 600), (11, 720, "d", "PUT", "", None), (12, 800, "free", "PUT", "", None)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 10**6])
+def test_lease_spans(spark, width):
+    got = {(r.svc_key, r.started_at.strftime("%M:%S"), r.ended_at.strftime("%M:%S"), r.ended_by, r.puts)
+           for r in registry.lease_spans(changes(spark, LEASES), width).collect()}
+    assert got == {("a", "00:00", "01:50", "expired", 2), ("a", "05:00", "06:00", "expired", 1),
+                   ("b", "05:10", "05:30", "revoked", 1), ("b", "06:40", "07:20", "expired", 2),
+                   ("c", "10:00", "10:06", "expired", 1), ("d", "11:40", "12:00", "kept", 1)}
+
+
+def test_live_agrees_with_lease_spans(spark):
+    log = changes(spark, LEASES)
+    spans = registry.lease_spans(log).collect()
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    for second in (1, 55, 111, 301, 320, 331, 415, 445, 603, 705, 900):
+        alive = registry.live(log, start + F.make_dt_interval(secs=F.lit(second)))
+        leased = {r.svc_key for r in alive.filter("expires_at is not null").collect()}
+        at = [s for s in spans if (s.started_at.minute * 60 + s.started_at.second) <= second
+              < s.ended_at.minute * 60 + s.ended_at.second]
+        assert leased == {s.svc_key for s in at}, second
+
+
+def test_services_leave_out_dead_instances(spark):
+    log = changes(spark, [(1, 0, "/r/self/1", "PUT", "tcp://h:1", 6), (2, 0, "/r/self/2", "PUT", "tcp://h:2", 600),
+                          (3, 90, "/r/self/3", "PUT", "tcp://h:3", 600)])
+    at = F.expr("timestamp_ntz'2024-01-01 00:01:00'")
+    assert [r.service_id for r in registry.services(log, "/r", at).collect()] == ["2"]
+
+
 def test_registry_filters_reach_the_scan(spark, tmp_path):
     changes(spark, [(1, 0, "/r/a", "PUT", "1", None)]).write.parquet(str(tmp_path / "c"))
     log = spark.read.parquet(str(tmp_path / "c"))
@@ -236,13 +272,16 @@ def test_first_client_id_stays(spark):
     assert {r.conn: r.client_id for r in got} == {"a": "x", "b": None}
 
 
-def test_sessions_supersede(spark):
-    rows = [(1, "1", "open", "a"), (2, "2", "open", ""), (3, "3", "open", "a"), (4, "3", "close", "a"), (5, "4", "open", None), (6, "5", "open", "b")]
+def test_sessions_end_by_their_own_connection(spark):
+    rows = [(1, "1", "open", "a"), (2, "2", "open", ""), (3, "3", "open", "a"), (4, "1", "close", "a"), (5, "4", "open", None),
+            (6, "5", "open", "b"), (7, "2", "close", ""), (8, "5", "close", "b"), (9, "4", "open", "x")]
     for width in (1, 2, 10**6):
-        got = sessions.sessions(conn_events(spark, rows), width).orderBy("session").collect()
+        got = sessions.sessions(conn_events(spark, rows), "conn", width).orderBy("session").collect()
+        # session 3 is the newest of client a: the close of connection 1 leaves it alone
         assert [(r.session, r.client_id, r.ended_by) for r in got] == [
-            (1, "a", "superseded"), (2, "client-2", None), (3, "a", "closed"), (5, "client-5", None), (6, "b", None)]
-        assert [r.closed_at and r.closed_at.second for r in got] == [3, None, 4, None, None]
+            (1, "a", "superseded"), (2, "client-2", "closed"), (3, "a", None), (5, "client-5", "superseded"),
+            (6, "b", "closed"), (9, "x", None)]
+        assert [r.closed_at and r.closed_at.second for r in got] == [3, 7, None, 9, 8, None]
 
 
 def test_session_activity(spark):
@@ -252,16 +291,19 @@ def test_session_activity(spark):
     assert row.metadata == {"n": "1"} and row.last_active.second == 9
 
 
-def test_assigned_ids_are_unique_and_overflow_is_marked(spark):
+def test_ids_past_a_full_millisecond_wait(spark):
     # the millisecond offset 4094 leaves room for two ids, offset 4096 for 4096
     rows = [(i, 1, 4094) for i in range(5)] + [(10 + i, 1, 4096) for i in range(5000)] + [(9000, 2, 4094)]
     df = spark.createDataFrame(rows, "seq long, machine long, ms long")
     for width in (100, 10**6):
-        got = reports.assign_ids(df, "machine", "ms", "seq", 0, width).collect()
-        given = [r.id for r in got if r.id is not None]
-        assert len(given) == len(set(given)) == 2 + 4096 + 1
-        assert sum(r.overflow for r in got) == 3 + 904
-        assert {r.seq: r.sequence for r in got if r.seq < 2} == {0: 4094, 1: 4095}
+        got = sorted(reports.assign_ids(df, "machine", "ms", "seq", 0, width).collect(), key=lambda r: r.seq)
+        slot, want = {}, []
+        for r in got:
+            slot[r.machine] = max(slot.get(r.machine, -1) + 1, r.ms * 4096 + r.ms % 4096)
+            at = slot[r.machine] >> 12
+            want.append((slot[r.machine] % 4096, at > r.ms, at << 22 | r.machine << 12 | slot[r.machine] % 4096))
+        assert [(r.sequence, r.waited, r.id) for r in got] == want
+        assert len({r.id for r in got}) == len(rows) and sum(r.waited for r in got) > 900
 
 
 def test_out_of_order(spark):
@@ -281,6 +323,19 @@ def test_reports(spark):
     assert tuple(row) == (1, 2, 1.5, 1, 2, 25.0)
 
 
+def test_exposition_of_histograms_and_summaries(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("a", 9.0)], "k string, v double")
+    samples = metrics.histogram_samples(metrics.histogram(rows, ["k"], "v", [2, 5]), "s", "size", ["k"]).unionByName(
+        metrics.summary_samples(metrics.summary(rows, ["k"], "v", [0.5]), "s", "wait", ["k"]))
+    families = {"s_size": ("histogram", "A \\ and\na line."), "s_wait": ("summary", "Waiting.")}
+    got = [r.line for r in metrics.exposition(samples, families).orderBy("family", "place", "line").collect()]
+    assert got == [
+        "# HELP s_size A \\\\ and\\na line.", "# TYPE s_size histogram", 's_size_bucket{k="a",le="+Inf"} 3',
+        's_size_bucket{k="a",le="2"} 1', 's_size_bucket{k="a",le="5"} 2', 's_size_count{k="a"} 3', 's_size_sum{k="a"} 12.5',
+        "# HELP s_wait Waiting.", "# TYPE s_wait summary", 's_wait_count{k="a"} 3', 's_wait_sum{k="a"} 12.5',
+        's_wait{k="a",quantile="0.5"} 2.5']
+
+
 def test_service_metrics_start_at_zero(spark):
     none = spark.createDataFrame([], "sink_type string, status string, rows long, bytes long")
     nobody = spark.createDataFrame([], "conn string")

@@ -11,7 +11,6 @@ from hostloom.sinks.config import SinkConfigError, ensure_tables, plan_sinks
 from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
 from hostloom.sinks.snapshots import SnapshotTable, merge_statements, quarantine_sink, snapshot_columns
 from hostloom.sources.envelopes import UnsupportedSource, envelopes_from_kafka, read_envelopes, read_sources
-from hostloom.sources.heartbeat import heartbeat, heartbeats_between
 from hostloom.streaming import jobs
 
 
@@ -59,17 +58,6 @@ def test_kafka_records_become_envelopes(spark):
     assert {(r.client_id, r.conn_id, r.headers["h"]) for r in rows} == {("c", "t#0", "v"), ("c", "t#1", "v")}
 
 
-def test_heartbeats(spark):
-    agents = spark.createDataFrame([("a", 2.5), ("b", 0.5)], "client_id string, up double").selectExpr(
-        "client_id", "timestamp_ntz'2024-01-01 00:00:00' AS started_at",
-        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, up) AS stopped_at")
-    rows = heartbeats_between(agents).orderBy("seq").collect()
-    assert [(r.client_id, r.seq, r.ts.second) for r in rows] == [("a", 1, 1), ("a", 2, 2)]
-    assert rows[0].payload == '{"PluginName":"file","EventName":"file","Data":null}'
-    stream = heartbeat(spark)
-    assert stream.isStreaming and "payload" in stream.columns
-
-
 # --- sinks -----------------------------------------------------------------
 
 
@@ -159,8 +147,10 @@ def test_sink_plan(spark, tmp_path, caplog):
 def test_snapshot_columns_and_merge_sql(env):
     row = snapshot_columns(I.latest_snapshots(env)).first()
     assert row.stats.startswith('{"cpu":') and row.ips.startswith("[")
-    update, insert, drop = merge_statements("t", "s")
-    assert update.startswith("UPDATE t") and "WHERE t.machine_id IS NULL" in insert and drop == "DROP TABLE s"
+    date, update, insert = merge_statements("t", "s")
+    assert "LEAST(t.created_at, s.created_at)" in date
+    assert update.startswith("UPDATE t") and update.endswith("WHERE s.updated_at > t.updated_at")
+    assert "WHERE t.machine_id IS NULL" in insert
 
 
 def test_ensure_tables_adds_missing_columns(spark):
@@ -252,30 +242,24 @@ def lease_log(spark):
         (6, 0, "c", "PUT", "", 1), (7, 0, "free", "PUT", "", None), (8, 5000, "z", "PUT", "", 6)])
 
 
-def spans(df):
-    return {(r.svc_key, r.started_at.strftime("%M:%S"), r.ended_at.strftime("%M:%S"), r.ended_by, r.changes)
-            for r in df.collect()}
-
-
-EARLY_SPANS = {("a", "00:00", "01:50", "expired", 2), ("a", "05:00", "06:00", "expired", 1),
-               ("b", "00:00", "00:20", "revoked", 2), ("c", "00:00", "00:06", "expired", 1)}
-
-
-@pytest.mark.parametrize("block", ["second", "minute", "day"])
-def test_lease_spans_in_a_batch(spark, block):
-    assert spans(jobs.lease_spans(lease_log(spark), block=block)) == EARLY_SPANS | {("z", "23:20", "23:26", "expired", 1)}
+def test_unfinished_parts_are_not_read(spark, env, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.upsert(I.accepted(env).drop("doc"), "1")
+    first = rows_of(table.read())
+    land(env.limit(5), str(tmp_path / "t" / "part=2"))
+    (tmp_path / "t" / "part=2" / "_SUCCESS").unlink()
+    assert len(table.parts()) == 1 and rows_of(table.read()) == first
 
 
-def test_lease_spans_on_a_stream(spark, tmp_path):
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    lease_log(spark).coalesce(1).write.parquet(src)
-    from hostloom.sources.changes import read_changes
-    stream = jobs.lease_spans(read_changes(spark, src, streaming=True))
-    query = (stream.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    # the last lease is still running when the log ends
-    assert spans(spark.read.parquet(out)) == EARLY_SPANS
+def test_compaction_folds_many_parts(spark, env, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    rows = I.accepted(env).drop("doc")
+    for i in range(3):
+        table.upsert(rows.filter(F.col("seq") % 3 == i), str(i))
+    want = rows_of(table.read())
+    assert jobs.compact(table, "all", at_least=4) == [] and len(table.parts()) == 3
+    assert len(jobs.compact(table, "all", at_least=3, retire=True)) == 3
+    assert len(table.parts()) == 1 and rows_of(table.read()) == want
 
 
 def test_watch_stream(spark, tmp_path):
