@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import map_batches, settle, slices
-from hostloom.llm.words import PUNCTUATION, word_hashes
+from hostloom.llm.words import PUNCTUATION, mix, word_hashes
 
 GRADES = 4
 
@@ -116,23 +116,26 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float
 
 
 def _word_lists(rows: DataFrame) -> DataFrame:
-    """(y, n, words, counts) of each labelled text: its distinct bare words."""
+    """(y, n, mark, words, counts) of each labelled text: its distinct bare words, and a minhash of its triples."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        sizes, words, counts = [], [], []
+        sizes, words, counts, marks = [], [], [], []
         for a, b in slices(texts):
             hashes, bounds = word_hashes(texts[a:b], PUNCTUATION)
+            triples = mix(mix(hashes[:-2]) + mix(hashes[1:-1] ^ np.uint64(1)) + hashes[2:])
             for i in range(b - a):
+                own = triples[bounds[i]:max(bounds[i + 1] - 2, bounds[i])]
+                marks.append(int((own if len(own) else hashes[bounds[i]:bounds[i + 1]]).min(initial=2**64 - 1) >> np.uint64(1)))
                 w, c = np.unique(hashes[bounds[i]:bounds[i + 1]], return_counts=True)
                 sizes.append(bounds[i + 1] - bounds[i])
                 words.append(w.view(np.int64))
                 counts.append(c)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())),
-             pa.array(counts, pa.list_(pa.int64()))], names=["y", "n", "words", "counts"])
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.int64())),
+             pa.array(counts, pa.list_(pa.int64()))], names=["y", "n", "mark", "words", "counts"])
 
-    return map_batches(rows, count, "y int, n bigint, words array<bigint>, counts array<bigint>")
+    return map_batches(rows, count, "y int, n bigint, mark bigint, words array<bigint>, counts array<bigint>")
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Toxicity, id_col: str, text_col: str) -> Model | float:
@@ -148,21 +151,35 @@ def train(docs: DataFrame, labels: DataFrame, how: Toxicity, id_col: str, text_c
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return (bad + 0.5) / (bad + good + 1)
-    held = lists.select("y", F.explode("words").alias("w")).groupBy("w").agg(
+    # copies of one text count once: texts are told apart by a minhash of their word triples
+    held = lists.select("y", "mark", F.explode("words").alias("w")).groupBy(
+        "w", "y", "mark").agg(F.lit(1).alias("one")).groupBy("w").agg(
         F.sum("y").alias("a"), F.count(F.lit(1)).alias("c")).filter(F.col("a") >= how.least_texts)
+    marks = lists.groupBy("y").agg(F.count_distinct("mark").alias("c")).collect()
+    bad, good = (next((r["c"] for r in marks if r["y"] == k), 0) for k in (1, 0))
     a, b = F.col("a") + 0.5, F.col("c") - F.col("a") + 0.5
-    odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
+    odds = F.log(a / (bad + 1 - F.least(a, F.lit(bad + 0.5)))) - F.log(b / (good + 1 - F.least(b, F.lit(good + 0.5))))
     telling = held.filter(odds / F.sqrt(1 / a + 1 / b) >= how.evidence).select("w")
     # words of a bounded sample
     model = Model(telling.toPandas()["w"].to_numpy(dtype=np.int64).view(np.uint64), np.zeros(0), np.zeros(0))
-    wanted = lists.select(F.monotonically_increasing_id().alias("i"), "y", "n", F.arrays_zip("words", "counts").alias("z"))
-    listed = F.array(*[F.lit(int(w)) for w in model.words.view(np.int64)]).cast("array<bigint>")
-    rows = wanted.select("y", "n", F.filter("z", lambda x: F.array_contains(listed, x["words"])).alias("z")).toPandas()
-    place = {int(w): k for k, w in enumerate(model.words.view(np.int64))}
-    counts = np.zeros((len(rows), len(place)))
-    for i, hits in enumerate(rows["z"]):
-        for hit in hits:
-            counts[i, place[hit["words"]]] = hit["counts"]
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, counts = [], []
+        for words, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            w = np.array(words, dtype=np.int64).view(np.uint64)
+            at = np.minimum(np.searchsorted(model.words, w), max(len(model.words) - 1, 0))
+            hit = np.flatnonzero(model.words[at] == w) if len(model.words) else np.zeros(0, dtype=np.int64)
+            places.append(at[hit].tolist())
+            counts.append(np.array(n)[hit].tolist())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64())),
+             pa.array(counts, pa.list_(pa.int64()))], names=["y", "n", "places", "counts"])
+
+    rows = map_batches(lists.select("y", "n", "words", "counts"), pick,
+                       "y int, n bigint, places array<bigint>, counts array<bigint>").toPandas()
+    counts = np.zeros((len(rows), len(model.words)))
+    for i, (places, amounts) in enumerate(zip(rows["places"], rows["counts"])):
+        counts[i, places] = amounts
     sizes, y = rows["n"].to_numpy(), rows["y"].to_numpy()
     rate = counts.sum(1) / np.maximum(sizes, 1)
     dense = rate[(y == 1) & (rate > 0)]
