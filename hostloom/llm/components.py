@@ -26,9 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return onward.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node without any: then each component is a star."""
+    upper = edges.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    return upper.join(edges.select(F.col("b").alias("a"), F.lit(2).alias("r")).distinct(), "a", "left").filter(
+        "c > 1 or r = 2").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -40,12 +42,7 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = settle(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(),
         "edges")
-    before = _mark(edges)
-    while before[0]:
+    while not _settled(edges):
         edges = settle(_small_star(_large_star(edges)), "stars")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

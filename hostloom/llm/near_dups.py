@@ -6,18 +6,19 @@ small groups of ``rows`` minhashes are drawn for each of two sides, and table
 one. ``bands ** 2`` tables then cost only ``2 * bands * rows`` minhashes. Two
 texts meet in a table as soon as they agree in any left and any right group, so
 texts of similarity s miss each other with a chance of at most
-``2 * (1 - s ** rows) ** bands``: 1.5e-5 at s = 0.85 with the standard values.
+``2 * (1 - s ** rows) ** bands``: 2.1e-5 at s = 0.8 with three rows, 1.5e-5 at s = 0.85 with four.
 
 How the work stays bounded whatever the sizes of groups:
 
 * Texts with equal shingle sets become one node before anything is compared.
 * A table key can hold two nodes only if both of its groups are shared, so only
   shared groups are combined into keys; most texts never get to that point.
-* Within a bucket nodes are compared with pivots, not with each other. Nodes
-  already in one component need no comparison. Round after round, those outside
-  a bucket's largest component take their turn as pivots, four times as many
-  each round, until every two nodes of a bucket are in one component or have
-  been compared. No bucket is capped and none is collected.
+* Shingles that no other candidate has bound what a candidate can share with any
+  other, and drop candidates and pairs without a possible link before their texts meet.
+* Within a bucket all nodes are first compared with one hub. Nodes of one
+  component need no more comparing. Only those outside a bucket's largest part
+  then meet the others, each pair once, in the first bucket it shares. No bucket
+  is capped and none is collected.
 
 Rows are documents, also when ids repeat. A null id never names a component:
 a row without id gets the least id among its near-duplicates, or null.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import list_array, map_batches, settle, slices
@@ -44,7 +45,7 @@ class Banding:
     size: int = 5
     percent: int = 80
     bands: int = 16
-    rows: int = 4
+    rows: int = 3
     seed: int = 71
 
 
@@ -119,17 +120,46 @@ def signatures(docs: DataFrame, how: Banding, id_col: str = "doc_id", text_col:
                        sign, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>")
 
 
-def _shared_keys(nodes: DataFrame, how: Banding) -> DataFrame:
-    """(key, node, n) for table keys held by two nodes or more."""
+def _shared_groups(nodes: DataFrame, how: Banding) -> DataFrame:
+    """(node, n, left, right) of nodes with a shared minhash group on each side: those groups."""
     groups = nodes.select("node", "n", F.posexplode("bands").alias("g", "h"))
     shared = groups.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     left = F.array_sort(F.collect_list(F.when(F.col("g") < how.bands, F.col("h"))))
     right = F.array_sort(F.collect_list(F.when(F.col("g") >= how.bands, F.col("h"))))
     sides = groups.join(shared, "h").groupBy("node", "n").agg(left.alias("left"), right.alias("right"))
+    return settle(sides.filter("size(left) > 0 and size(right) > 0"), "groups")
+
+
+def _support(texts: DataFrame, groups: DataFrame, how: Banding) -> DataFrame:
+    """(node, n, shared) of nodes that can have a link at all.
+
+    ``shared`` counts the shingles that some other candidate has too. A link
+    needs ``percent`` of a text's shingles to be shared, so most texts that only
+    have a passage in common with others end here, at the cost of one count.
+    """
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        found = [shingles(texts[a:b], how.size) for a, b in slices(texts)]
+        sets = np.concatenate([s for s, _ in found]).view(np.int64)
+        sizes = np.concatenate([np.diff(b) for _, b in found])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), sizes))),
+                                           pa.array(sets)], names=["node", "shingle"])
+
+    rows = map_batches(texts.select("node", "text"), cut, "node bigint, shingle bigint")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter(
+        "c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    out = groups.select("node", "n").join(alone, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return settle(out.filter(100 * F.col("shared") >= how.percent * F.col("n")), "support")
+
+
+def _buckets(groups: DataFrame, support: DataFrame) -> DataFrame:
+    """(key, node, n, shared) for table keys held by two nodes or more."""
+    sides = groups.select("node", "left", "right").join(support, "node")
     keys = settle(
-        sides.select("node", "n", F.explode("left").alias("l"), "right")
-        .select(F.explode("right").alias("r"), "l", "node", "n")
-        .select(F.xxhash64("l", "r").alias("key"), "node", "n"), "keys")
+        sides.withColumn("l", F.explode("left")).withColumn("r", F.explode("right"))
+        .select(F.xxhash64("l", "r").alias("key"), "node", "n", "shared"), "keys")
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     return settle(keys.join(held, "key"), "buckets")
 
@@ -173,50 +203,52 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, how: Banding, id_col: str, tex
     return map_batches(found, name, "node bigint, text string").dropDuplicates(["node"])
 
 
-def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_col: str) -> DataFrame | None:
+def _possible(how: Banding) -> Column:
+    """Whether a row and a pivot, with what each can share, may link."""
+    most = F.least("shared", "ps")
+    return 100 * most >= how.percent * (F.col("n") + F.col("pn") - most)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of all nodes that have links to other nodes."""
-    open_keys = _shared_keys(nodes, how)
-    members = open_keys.select("node").distinct()
-    chosen = members.join(nodes.select("node", F.col("rep")), "node")
+    groups = _shared_groups(nodes, how)
+    chosen = groups.select("node").join(nodes.select("node", "rep"), "node")
     texts = settle(_texts_of(docs, chosen, how, id_col, text_col), "texts")
-    links = labels = tested = done = None
-    spread = 1
-    while True:
-        rows = open_keys
-        if labels is None:
-            rows = rows.withColumn("component", F.col("node"))
-        else:
-            rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        tops = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "c").alias("top"))
-        rows = settle(rows.join(tops.filter("parts > 1").drop("parts"), "key"), "open")
-        outside = rows.filter("component <> top")
-        if done is not None:
-            outside = outside.join(done, ["key", "node"], "left_anti")
-        pivots = settle(
-            outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(spread)).alias("_turn"))
-            .agg(F.min_by(F.struct("node", "component", "n"), "node").alias("p"))
-            .select("key", F.col("p.node").alias("p"), F.col("p.component").alias("pc"), F.col("p.n").alias("pn")),
-            "pivots")
-        if pivots.isEmpty():
-            return labels
-        met = rows.join(pivots, "key").filter(
-            (F.col("component") != F.col("pc"))
-            & (100 * F.least("n", "pn") >= how.percent * F.greatest("n", "pn")))
-        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        turn = pivots.select("key", F.col("p").alias("node"))
-        done = turn if done is None else done.union(turn)
-        if not pairs.isEmpty():
-            found = settle(_confirm(pairs, texts, how), "links")
-            tested = pairs if tested is None else tested.union(pairs)
-            links = found if links is None else links.union(found)
-            if not found.isEmpty():
-                labels = settle(connected(links), "labels")
-        open_keys = rows.drop("component", "top")
-        spread *= 4
+    rows = _buckets(groups, _support(texts, groups, how))
+
+    # first every node of a bucket with its hub, the node with the fewest shingles of its own
+    hubs = rows.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("shared"), "node", "n", "shared")).alias("p"))
+    hubs = hubs.select("key", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"))
+    met = rows.join(hubs, "key").filter((F.col("node") != F.col("p")) & _possible(how))
+    tested = settle(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
+    links = settle(_confirm(tested, texts, how), "links")
+
+    # nodes of one component need no more comparing
+    labels = settle(connected(links), "labels")
+    rows = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
+    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    rows = settle(rows.join(tops.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key"), "open")
+
+    # then those outside a bucket's largest part with all others, each pair in the first of the buckets it shares
+    rows = rows.join(groups.select("node", "left", "right"), "node")
+    pivots = rows.filter("label <> top").select(
+        "key", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("shared").alias("ps"),
+        F.col("left").alias("pleft"), F.col("right").alias("pright"))
+    first = F.xxhash64(F.array_min(F.array_intersect("left", "pleft")), F.array_min(F.array_intersect("right", "pright")))
+    once = (F.col("label") == F.col("top")) | (F.col("node") < F.col("p"))
+    met = rows.join(pivots, "key").filter(
+        (F.col("label") != F.col("pl")) & once & _possible(how) & (first == F.col("key")))
+    # a bucket may hold a pair that is outside in one and inside in another
+    pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return labels
+    more = settle(_confirm(pairs, texts, how), "links")
+    if more.isEmpty():
+        return labels
+    return settle(connected(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
 
 
 def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "doc_id",
@@ -233,11 +265,8 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
         rows.filter("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n"), "bands")
         .agg(F.min("doc_id").alias("rep")), "nodes")
     labels = _links(docs, nodes, how, id_col, text_col)
-    places = nodes.select("node", "rep")
-    if labels is None:
-        places = places.withColumn("component", F.col("node"))
-    else:
-        places = places.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    places = nodes.select("node", "rep").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
     least = places.groupBy("component").agg(F.min("rep").alias("component_id"))
     places = places.join(least, "component").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(places, "node", "left")

@@ -38,10 +38,10 @@ def op1_token_packing(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x <> 0)) > 0
-  AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -146,7 +146,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """)
 def op8_minhash_near_dedup(spark, sf_dir):
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), near_dups.Banding(size=3, percent=85))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), near_dups.Banding(size=3, percent=85, rows=4))
 
 
 @query()
