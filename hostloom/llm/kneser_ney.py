@@ -15,7 +15,7 @@ Pairs of a very frequent first word are spread over all shards by their key, and
 only its three sums are added up afterwards, so no shard is hot.
 
 Scoring maps the arrays into memory. A task looks up the sorted distinct words
-and pairs of some two million tokens at a time, shard after shard, so it reads
+and pairs of some million tokens at a time, shard after shard, so it reads
 forward through the files and holds one batch whatever the size of the model.
 
 Texts are cut as in the base score: words lower-cased in A-Z, then one end,
@@ -47,12 +47,18 @@ from hostloom.llm.words import mix, word_hashes
 from hostloom.session import shared_dir
 
 END = np.uint64(0x9A3C5E7F12345679)  # stands for the end of a text among word hashes
-_BATCH = 1 << 21  # tokens worked on at a time
-_SHARD = 1 << 22  # tokens a shard is meant for
-_HOT = 1 << 20  # a first word seen more often is spread over all shards
+_BATCH = 1 << 20  # tokens worked on at a time
 _U32 = np.uint64(32)
 
 
+@dataclass(frozen=True)
+class Counting:
+    """``shard``: tokens a shard is meant for; a first word seen more than ``hot`` times is spread over all shards."""
+
+    shard: int = 1 << 22
+    hot: int = 1 << 20
+
+
 @dataclass(frozen=True)
 class Discounts:
     one: float
@@ -83,6 +89,7 @@ class Store:
 
     folder: str
     bits: int
+    spread_above: int
     offsets: np.ndarray | None = None  # number of the first word of each shard, then the number of words
     tokens: int = 0
     texts: int = 0
@@ -170,7 +177,7 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """Tokens, bounds and the Arrow slices of the other columns, some two million tokens at a time."""
+    """Tokens, bounds and the Arrow slices of the other columns, some million tokens at a time."""
     tokens, sizes, rows, held = [], [], [], 0
     for batch in batches:
         texts = batch.column(column).to_pylist()
@@ -222,7 +229,7 @@ def _count_words(training: DataFrame, store: Store) -> DataFrame:
         keys, counts = _merged(table)
         store.write("words", shard, keys)
         store.write("word_counts", shard, counts)
-        often = np.flatnonzero(counts > _HOT)
+        often = np.flatnonzero(counts > store.spread_above)
         ends = counts[keys == END].sum()
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())],
                          "texts": [int(ends)], "often": pa.array([often.tolist()], pa.list_(pa.int64()))})
@@ -296,16 +303,16 @@ def _summed(rows: list, width: int) -> np.ndarray:
     return np.array([r["sums"] for r in rows], dtype=np.int64).reshape(-1, width).sum(0)
 
 
-def train(docs: DataFrame) -> Store:
+def train(docs: DataFrame, how: Counting = Counting()) -> Store:
     """Count and store the model of the texts of ``docs(text, learns)`` that learn."""
     spark = docs.sparkSession
     place = urlparse(shared_dir(spark, "llm-kneser-ney"))
     if place.scheme not in ("", "file"):
         raise ValueError("the model is mapped into memory: spark.checkpoint.dir must name a mounted folder")
     training = docs.filter("learns")
-    # about _SHARD tokens each, going by some 512 tokens a text
-    shards = max(1, docs.count() // (_SHARD // 512))
-    store = Store(place.path, max(0, int(shards - 1).bit_length()))
+    # going by some 512 tokens a text
+    shards = max(1, docs.count() * 512 // how.shard)
+    store = Store(place.path, max(0, int(shards - 1).bit_length()), how.hot)
     ship_code(spark)
     # one row per shard
     rows = _count_words(training, store).collect()
@@ -398,12 +405,12 @@ def log_probabilities(tokens: np.ndarray, bounds: np.ndarray, store: Store) -> t
     return np.log10(pair / history + back_off[head_back] * lowest[word_back]), count
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, how: Counting = Counting(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row of ``docs``."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held_out"),
                        F.col(text_col).alias("text"))
-    store = train(rows.select("text", (~F.col("held_out")).alias("learns")))
+    store = train(rows.select("text", (~F.col("held_out")).alias("learns")), how)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = 0.1 * (store.words + 1) + store.tokens
