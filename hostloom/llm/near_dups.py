@@ -165,26 +165,26 @@ def _buckets(groups: DataFrame, support: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
-    """Of ``pairs(a, b)`` those similar enough on their full shingle sets."""
+    """``pairs(a, b)`` with their Jaccard distance on full shingle sets, and whether they link."""
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        alike = np.zeros(batch.num_rows, dtype=bool)
+        alike, distance = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows)
         for at, stop in slices([x + y for x, y in zip(left, right)]):
             sets, bounds = shingles(left[at:stop] + right[at:stop], how.size)
             for i in range(stop - at):
                 j = i + stop - at
                 one, two = sets[bounds[i]:bounds[i + 1]], sets[bounds[j]:bounds[j + 1]]
                 both = len(np.intersect1d(one, two, assume_unique=True))
-                alike[at + i] = 100 * both >= how.percent * (len(one) + len(two) - both)
-        mask = pa.array(alike)
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
-                                          names=["a", "b"])
+                every = len(one) + len(two) - both
+                alike[at + i], distance[at + i] = 100 * both >= how.percent * every, 1 - both / every
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike), pa.array(distance)],
+                                          names=["a", "b", "alike", "distance"])
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "left", "right")
-    return map_batches(both, measure, "a bigint, b bigint")
+    return map_batches(both, measure, "a bigint, b bigint, alike boolean, distance double")
 
 
 def _texts_of(docs: DataFrame, chosen: DataFrame, how: Banding, id_col: str, text_col: str) -> DataFrame:
@@ -221,7 +221,8 @@ def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_co
     hubs = hubs.select("key", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"))
     met = rows.join(hubs, "key").filter((F.col("node") != F.col("p")) & _possible(how))
     tested = settle(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
-    links = settle(_confirm(tested, texts, how), "links")
+    measured = settle(_confirm(tested, texts, how), "links")
+    links = measured.filter("alike").select("a", "b")
 
     # nodes of one component need no more comparing
     labels = settle(connected(links), "labels")
@@ -229,23 +230,30 @@ def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_co
         "label", F.coalesce("label", "node"))
     parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     tops = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    rows = settle(rows.join(tops.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key"), "open")
+    rows = rows.join(tops.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key").join(
+        hubs.select("key", F.col("p").alias("hub")), "key")
+    # distances to a common hub bound the distance of two nodes, as Jaccard distance is a metric
+    away = measured.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "distance")
+    rows = rows.join(away, (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b")), "left")
+    away = F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("distance"))
+    rows = settle(rows.withColumn("away", away).drop("hub", "_a", "_b", "distance"), "open")
 
     # then those outside a bucket's largest part with all others, each pair in the first of the buckets it shares
     rows = rows.join(groups.select("node", "left", "right"), "node")
     pivots = rows.filter("label <> top").select(
         "key", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("shared").alias("ps"),
-        F.col("left").alias("pleft"), F.col("right").alias("pright"))
+        F.col("left").alias("pleft"), F.col("right").alias("pright"), F.col("away").alias("paway"))
+    near = F.coalesce(F.abs(F.col("away") - F.col("paway")) <= 1 - how.percent / 100 + 1e-9, F.lit(True))
     first = F.xxhash64(F.array_min(F.array_intersect("left", "pleft")), F.array_min(F.array_intersect("right", "pright")))
     once = (F.col("label") == F.col("top")) | (F.col("node") < F.col("p"))
     met = rows.join(pivots, "key").filter(
-        (F.col("label") != F.col("pl")) & once & _possible(how) & (first == F.col("key")))
+        (F.col("label") != F.col("pl")) & once & _possible(how) & near & (first == F.col("key")))
     # a bucket may hold a pair that is outside in one and inside in another
     pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
     pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return labels
-    more = settle(_confirm(pairs, texts, how), "links")
+    more = settle(_confirm(pairs, texts, how).filter("alike").select("a", "b"), "links")
     if more.isEmpty():
         return labels
     return settle(connected(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
