@@ -31,7 +31,8 @@ def test_entry_has_stable_columns(spark):
     assert df.columns == ["machine_id", "host_name", "ips", "cpu", "memory", "nics", "created_at", "updated_at"]
 
 
-LAZY = [n for n in NAMES if not n.startswith(("stm_", "snk_fanout", "snk_upsert"))]
+# the optional queries run jobs while they are built; their plans are looked at in their own tests
+LAZY = [n for n in NAMES if not n.startswith(("stm_", "snk_fanout", "snk_upsert", "op", "pipeline"))]
 
 
 @pytest.mark.parametrize("name", LAZY)
