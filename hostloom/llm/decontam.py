@@ -9,6 +9,11 @@
 3. Overlapping windows of two widths over every document are projected and
    compared with the items by cosine. Windows without enough weighted terms for
    any item are passed by.
+   Words that are frequent over the documents cannot tell windows apart, so each
+   item is also looked for by its runs of three words, however frequent: a
+   stretch that may hold the item and has a seventh of its runs, or two if that
+   is more, is a candidate too. Copies word for word are always candidates;
+   of reworded items those made of frequent words need that many whole runs.
 4. A candidate is confirmed in its place. Some stretch around the window, half as
    long again as the item, must hold enough of the item's weight and most of the
    item's words in order (longest common subsequence). For paraphrases somewhat
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import map_batches, ship_code, slices
-from hostloom.llm.words import PUNCTUATION, word_hashes
+from hostloom.llm.words import PUNCTUATION, mix, segment_ids, word_hashes
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,7 @@ class Retrieval:
     of its weight that must be there in any case, ``answer``: of the weight of its last third.
 
     ``cosine``: least cosine of a candidate; ``energy``: least weight of a window against the lightest item.
+    ``run``: words in a row that are looked up as they are; ``runs``: share of an item's runs that makes a candidate.
     """
 
     rank: int = 64
@@ -59,6 +65,8 @@ class Retrieval:
     present: float = 0.4
     block: int = 10_000
     seed: int = 5
+    run: int = 3
+    runs: float = 1 / 7
 
 
 class Terms:
@@ -157,6 +165,65 @@ def common_length(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def _run_hashes(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each start."""
+    out = mix(hashes[starts])
+    for k in range(1, size):
+        out = mix(out + hashes[starts + k])
+    return out
+
+
+class Runs:
+    """Runs of words of all items: which items hold each. Items shorter than a run are a run of their own."""
+
+    def __init__(self, items: list[np.ndarray], how: Retrieval):
+        self.lengths = np.array([len(i) for i in items])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for at, item in enumerate(items):
+            size = min(how.run, len(item))
+            runs = np.unique(_run_hashes(item, np.arange(len(item) - size + 1), size))
+            held.setdefault(size, []).append((runs, np.full(len(runs), at)))
+        self.tables = []
+        for size, parts in sorted(held.items()):
+            runs, owner = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(runs, kind="stable")
+            known = Terms(runs)
+            edges = np.searchsorted(runs[order], known.hashes)
+            self.tables.append((size, known, np.append(edges, len(runs)), owner[order]))
+        count = np.maximum(self.lengths - how.run + 1, 1)
+        self.need = np.minimum(np.maximum(np.ceil(how.runs * count).astype(np.int64), 2), count)
+
+    def candidates(self, hashes: np.ndarray, found: np.ndarray,
+                   bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, last word) around stretches with enough runs of an item."""
+        text = segment_ids(bounds)
+        for size, known, edges, owner in self.tables:
+            starts = np.arange(max(0, len(found) - size + 1))
+            whole = text[starts] == text[starts + size - 1]
+            for k in range(size):
+                whole &= found[starts + k] >= 0
+            starts = starts[whole]
+            run = known.find(_run_hashes(hashes, starts, size))
+            starts, run = starts[run >= 0], run[run >= 0]
+            many = edges[run + 1] - edges[run]
+            at = np.repeat(starts, many)
+            item = owner[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - edges[run], many)]
+            own = text[at] * len(self.lengths) + item
+            order = np.argsort(own, kind="stable")
+            at, item, own = at[order], item[order], own[order]
+            end = np.arange(len(at)) + self.need[item] - 1
+            inside = end < len(at)
+            end = np.minimum(end, len(at) - 1)
+            length = self.lengths[item]
+            enough = inside & (own[end] == own) & (at[end] - at + size <= -(-3 * length // 2))
+            # one candidate for all such places in a cell as long as the item
+            cells = np.unique(np.stack([own[enough], at[enough] // length[enough]]), axis=1)
+            for pair, cell in cells.T.tolist():
+                where, which = divmod(pair, len(self.lengths))
+                long = int(self.lengths[which])
+                yield where, which, cell * long - long // 2 - 1, (cell + 1) * long + long // 2 + 1
+
+
 class Searcher:
     """Finds one block of items in texts."""
 
@@ -169,6 +236,7 @@ class Searcher:
         self.telling = np.append(weights >= 0.05 * weights.max(), False)
         sums = np.stack([self.vectors[terms.find(i)].sum(0) for i in items])
         self.directions = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.runs = Runs(items, how)
         self.mass = np.array([(weights[terms.find(i)] ** 2).sum() for i in items])
         self.least = how.energy * self.mass.min()
         self.parts = []
@@ -228,6 +296,11 @@ class Searcher:
                 best = max(best, (common, share))
         return best
 
+    def cosine(self, item: int, found: np.ndarray) -> float:
+        """Cosine of a stretch with an item."""
+        stretch = self.vectors[found[found >= 0]].sum(0)
+        return float(stretch @ self.directions[item] / max(np.linalg.norm(stretch), 1e-12))
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, float]]:
         """(text, item, cosine, common words, answer share) of confirmed items, the best place of each."""
         how, best = self.how, {}
@@ -242,6 +315,14 @@ class Searcher:
             common, share = self.confirmed(item, around)
             if common:
                 best[text, item] = (text, item, cosine, common, share)
+        for text, item, a, b in self.runs.candidates(hashes, found, bounds):
+            if (text, item) in best:
+                continue
+            reach = len(self.items[item])
+            a, b = max(bounds[text], a - reach), min(bounds[text + 1], b + reach)
+            common, share = self.confirmed(item, hashes[a:b])
+            if common:
+                best[text, item] = (text, item, self.cosine(item, found[a:b]), common, share)
         return list(best.values())
 
 

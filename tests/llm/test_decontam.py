@@ -82,3 +82,30 @@ def test_hard_documents_and_empty_tables(spark, hard, nothing, planted):
 def test_items_are_not_found_by_common_words():
     hashes, bounds = word_hashes(["the of and to", "of the and to"], PUNCTUATION)
     assert decontam.common_length(hashes[:4], hashes[4:]) == 3 and list(bounds) == [0, 4, 8]
+
+
+def test_frequent_passages_are_found(spark):
+    """One item copied into a third of the documents, one of words that most documents have, one with rare words."""
+    rng = random.Random(5)
+    common = [f"common{i}" for i in range(40)]
+    items = [(1, prose(rng, 30)), (2, " ".join(rng.choice(common) for _ in range(25))), (3, "zyx " + prose(rng, 20)),
+             (4, "common1 common2")]
+    docs, leaks = [], set()
+    for i in range(300):
+        words = [w for w in prose(rng, 200).split()]
+        for w in common:
+            words.insert(rng.randrange(len(words)), w)
+        text = " ".join(words)
+        for item, every in ((1, 3), (2, 50), (3, 100)):
+            if i % every == 0:
+                text = f"{text[:500]} {items[item - 1][1].upper()} {text[500:]}"
+                leaks.add((i, item))
+        if " common1 common2 " in f" {text} ":
+            leaks.add((i, 4))
+        docs.append((i, text))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert leaks <= got and {x for x in got if x[1] != 4} == {x for x in leaks if x[1] != 4}
+    kept = {d for d, _ in texts_of(decontam.decontaminated(docs, items))}
+    assert kept == set(range(300)) - {d for d, _ in got}
