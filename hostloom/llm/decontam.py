@@ -8,7 +8,8 @@
    over the rows of A, that sum one vector per term.
 3. Overlapping windows of two widths over every document are projected and
    compared with the items by cosine. Windows without enough weighted terms for
-   any item are passed by.
+   any item are passed by. Items longer than the wider window take part as
+   overlapping pieces of its width; a piece stands for its whole item.
    Words that are frequent over the documents cannot tell windows apart, so each
    item is also looked for by its runs of three words, however frequent: a
    stretch that may hold the item and has a seventh of its runs, or two if that
@@ -20,8 +21,8 @@
    fewer words do if the answer is there too: most of the weight of the last
    third of the item.
 
-The benchmark is taken in blocks of at most ``block`` items, each searched in
-all documents, so what tasks hold is bounded. The document side needs no shuffle.
+The benchmark is taken in blocks of about ``block`` items, or as many pieces of
+text where items are long, each searched in all documents, so what tasks hold is bounded. The document side needs no shuffle.
 
 Null and empty texts contain nothing; items without words are in no document.
 Repeated rows and items are answered as often as they come; null ids are kept
@@ -224,6 +225,14 @@ class Runs:
                 yield where, which, cell * long - long // 2 - 1, (cell + 1) * long + long // 2 + 1
 
 
+def pieces(items: list[np.ndarray], how: Retrieval) -> tuple[list[np.ndarray], np.ndarray]:
+    """Items cut into overlapping pieces of at most the wider window, and the item of each piece."""
+    width = how.step * max(how.widths)
+    cut = [(at, item[a: a + width]) for at, item in enumerate(items)
+           for a in [*range(0, max(len(item) - width, 0), width // 2), max(len(item) - width, 0)]]
+    return [p for _, p in cut], np.array([at for at, _ in cut])
+
+
 class Searcher:
     """Finds one block of items in texts."""
 
@@ -234,10 +243,11 @@ class Searcher:
         self.vectors = (space * weights[:, None]).astype(np.float32)
         # terms with a trace of weight only cannot move a window; the last place answers for words that are no terms
         self.telling = np.append(weights >= 0.05 * weights.max(), False)
-        sums = np.stack([self.vectors[terms.find(i)].sum(0) for i in items])
+        cut, self.owner = pieces(items, how)
+        sums = np.stack([self.vectors[terms.find(p)].sum(0) for p in cut])
         self.directions = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         self.runs = Runs(items, how)
-        self.mass = np.array([(weights[terms.find(i)] ** 2).sum() for i in items])
+        self.mass = np.array([(weights[terms.find(p)] ** 2).sum() for p in cut])
         self.least = how.energy * self.mass.min()
         self.parts = []
         for item in items:
@@ -260,20 +270,22 @@ class Searcher:
             last = np.minimum(first + width * how.step, bounds[1:][text])
             high = np.searchsorted(telling, last)
             picked = np.flatnonzero((mass[high] - mass[low] >= self.least) & (high > low))
-            for at in range(0, len(picked), 4096):
-                some = picked[at: at + 4096]
+            # the products of one round take the same room however many pieces there are
+            round_ = max(1, min(4096, (4096 * 10_000) // len(self.owner)))
+            for at in range(0, len(picked), round_):
+                some = picked[at: at + round_]
                 sizes = (high - low)[some]
                 edge = np.cumsum(sizes) - sizes
                 inside = np.arange(sizes.sum()) - np.repeat(edge - low[some], sizes)
                 sums = np.add.reduceat(self.vectors[term[inside]], edge, axis=0)
                 alike = sums @ self.directions.T
                 norm = np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-                window, item = np.nonzero(alike >= (how.cosine * norm)[:, None])
+                window, piece = np.nonzero(alike >= (how.cosine * norm)[:, None])
                 own = some[window]
-                heavy = mass[high[own]] - mass[low[own]] >= how.energy * self.mass[item]
-                cosine = (alike[window, item] / norm[window])[heavy]
+                heavy = mass[high[own]] - mass[low[own]] >= how.energy * self.mass[piece]
+                cosine = (alike[window, piece] / norm[window])[heavy]
                 own = own[heavy]
-                yield from zip(text[own].tolist(), item[heavy].tolist(), first[own].tolist(), last[own].tolist(),
+                yield from zip(text[own].tolist(), self.owner[piece[heavy]].tolist(), first[own].tolist(), last[own].tolist(),
                                cosine.tolist())
 
     def confirmed(self, item: int, around: np.ndarray) -> tuple[int, float]:
@@ -297,9 +309,10 @@ class Searcher:
         return best
 
     def cosine(self, item: int, found: np.ndarray) -> float:
-        """Cosine of a stretch with an item."""
+        """Cosine of a stretch with the nearest piece of an item."""
         stretch = self.vectors[found[found >= 0]].sum(0)
-        return float(stretch @ self.directions[item] / max(np.linalg.norm(stretch), 1e-12))
+        near = (self.directions[self.owner == item] @ stretch).max()
+        return float(near / max(np.linalg.norm(stretch), 1e-12))
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, float]]:
         """(text, item, cosine, common words, answer share) of confirmed items, the best place of each."""
@@ -330,10 +343,11 @@ def searchers(docs: DataFrame, items: DataFrame, how: Retrieval = Retrieval(),
               text_col: str = "text") -> Iterator[Searcher]:
     """One searcher for each block of ``items(item_id, text)``."""
     spark = docs.sparkSession
-    blocks = max(1, math.ceil(items.count() / how.block))
+    # about as many characters as a piece has; an item that is shorter counts as one
+    sizes = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 400))
+    blocks = max(1, math.ceil((items.agg(F.sum(sizes)).first()[0] or 0) / how.block))
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        # about how.block items
         rows = part.select("item_id", "text").orderBy("item_id", "text").collect()
         hashes, bounds = word_hashes([r["text"] for r in rows], PUNCTUATION)
         pairs = [(r["item_id"], hashes[a:b]) for r, a, b in zip(rows, bounds, bounds[1:]) if b > a]
@@ -344,7 +358,7 @@ def searchers(docs: DataFrame, items: DataFrame, how: Retrieval = Retrieval(),
         rarity = np.log(np.maximum(n, 1) / np.maximum(held, 1))
         weights = 0.1 * np.log(2) + 0.1 * rarity + np.maximum(rarity - np.log(20), 0)
         sparse = []
-        for _, words in pairs:
+        for words in pieces([w for _, w in pairs], how)[0]:
             t, c = np.unique(terms.find(words), return_counts=True)
             w = c * weights[t]
             sparse.append((t.tolist(), (w / max(np.linalg.norm(w), 1e-12)).tolist()))

@@ -109,3 +109,24 @@ def test_frequent_passages_are_found(spark):
     assert leaks <= got and {x for x in got if x[1] != 4} == {x for x in leaks if x[1] != 4}
     kept = {d for d, _ in texts_of(decontam.decontaminated(docs, items))}
     assert kept == set(range(300)) - {d for d, _ in got}
+
+
+def test_long_passages_are_found(spark):
+    """Items of 100, 300 and 2,000 words, word for word and reworded."""
+    rng = random.Random(6)
+    items = [(n, prose(rng, n)) for n in (100, 300, 2000)]
+    docs = [(i, prose(rng, 400)) for i in range(30)]
+    for n, text in items:
+        reworded = " ".join(prose(rng, 1) if k % 4 == 3 else w for k, w in enumerate(text.split()))
+        sparse = " ".join(prose(rng, 1) if k % 3 == 2 and k < 0.85 * n else w for k, w in enumerate(text.split()))
+        docs += [(10 * n + k, f"{prose(rng, 77)} {t} {prose(rng, 133)}") for k, t in enumerate((text, reworded, sparse))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    how = decontam.Retrieval()
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, how).collect()}
+    assert got == {(10 * n + k, n) for n in (100, 300, 2000) for k in range(3)}
+    # the windows find them without the runs
+    searcher = next(decontam.searchers(docs, items, how))
+    for d, text in texts_of(docs.filter("doc_id >= 1000")):
+        hashes, bounds = word_hashes([text], PUNCTUATION)
+        assert d // 10 in {searcher.ids[c[1]] for c in searcher.candidates(searcher.terms.find(hashes), bounds)}
