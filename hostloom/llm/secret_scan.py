@@ -1,16 +1,22 @@
 """Secrets in texts: fixed patterns plus a randomness battery over unexplained tokens.
 
 Everything is built from Spark's own functions. One pass over the texts finds
-the spans of the fixed patterns and of long unbroken tokens. For each token the
-encoding is inferred (hexadecimal, base32, base36, base62 or base64) and three
-tests ask whether its symbols could be uniform random draws:
+the spans of the fixed patterns and of long unbroken tokens; an equals sign
+belongs to a token only as padding at its end. For each token the encoding is
+inferred (hexadecimal, base32, base36, base62, base64 or the signs of both
+base64 forms together) and three tests ask whether its symbols could be uniform
+random draws:
 
 * chi-squared of the symbol counts against a uniform alphabet, with the
   Wilson-Hilferty cube root, which holds for short tokens too;
 * the number of runs in the upper and lower half of the alphabet;
 * the correlation of each symbol with the next.
 
-Fisher's method joins the three into one p-value. Words and names in code
+Fisher's method joins the three into one p-value. A token with ``+ / _ -`` is
+also read without these separators, as keys in groups are; the greater p-value
+counts. If the token is dismissed its long parts between separators are judged
+by themselves, as for a key in a path. Tokens without a letter are numbers and
+are left to the fixed patterns. Words and names in code
 reject randomness, keys do not. Which tokens may be dismissed as not random is
 decided by the Benjamini-Hochberg rule separately in each band of lengths,
 since short tokens carry less evidence: of those dismissed at most the share
@@ -97,33 +103,33 @@ def _tail(z: Column) -> Column:
 
 
 def encoding_of(token: Column) -> Column:
-    """Name of the narrowest alphabet that explains a token; null for words, numbers and the rest."""
+    """Name of the narrowest alphabet that explains a token; null for numbers."""
     bare = F.regexp_replace(token, "=+$", "")
-    digit, lower, upper = (bare.rlike(p) for p in ("[0-9]", "[a-z]", "[A-Z]"))
     return (
-        F.when(~digit, None)
-        .when(~lower & ~upper, None)
+        F.when(~bare.rlike("[A-Za-z]"), None)
         .when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(bare.rlike("^[A-Z2-7]+$"), "base32")
         .when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36")
-        .when(~(lower & upper), None)
         .when(bare.rlike("^[A-Za-z0-9]+$"), "base62")
-        .when(bare.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64"))
+        .when(bare.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64")
+        .when(bare.rlike("^[A-Za-z0-9+/_-]+$"), "base66"))
 
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
-             "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/"}
+             "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/",
+             "base66": _UPPER + _LOWER + _DIGITS + "+/-_"}
 
 
 def randomness(token: Column, encoding: Column) -> Column:
     """Joint p-value of the battery for a token under its encoding: small when it is not random."""
-    bare = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    bare = F.regexp_replace(token, "=+$", "")
+    bare = F.when(encoding == "base64", F.translate(bare, "-_", "+/")).otherwise(bare)
     bare = F.when(encoding.isin("hex", "base36"), F.lower(bare)).otherwise(bare)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), encoding)
     known = F.struct(
-        F.transform(F.sequence(F.lit(1), F.length(bare)), lambda i: F.instr(alphabet, F.substr(bare, i, F.lit(1)))
-                    .cast("double")).alias("x"), F.length(alphabet).cast("double").alias("k"))
+        F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
+        .alias("x"), F.length(alphabet).cast("double").alias("k"))
 
     def test(v: Column) -> Column:
         x, k = v["x"], v["k"]
@@ -155,7 +161,40 @@ def _band(length: Column, how: Battery) -> Column:
 
 
 def _token_pattern(how: Battery) -> str:
-    return r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % how.least
+    return r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % how.least
+
+
+def _parts(token: Column, how: Battery) -> Column:
+    """Spans of the parts of a token between separators that are long enough to test; none if it has no separator."""
+    empty = F.array().cast(_SPANS)
+
+    def step(acc: Column, x: Column) -> Column:
+        span = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(x)).alias("e"), x.alias("g"))
+        out = F.when(F.length(F.regexp_replace(x, "=+$", "")) >= how.least,
+                     F.concat(acc["out"], F.array(span).cast(_SPANS))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(x) + 1).alias("at"), out.alias("out"))
+
+    start = F.struct(token["s"].alias("at"), empty.alias("out"))
+    return F.when(token["g"].rlike("[+/_-]"), F.aggregate(F.split(token["g"], "[+/_-]", -1), start, step)["out"]
+                  ).otherwise(empty)
+
+
+def _read(span: Column, token: Column, how: Battery) -> Column:
+    """A span with its token's span and its two readings, as it is and without separators; null where not to be tested."""
+    as_is, closed = span["g"], F.translate(span["g"], "+/_-", "")
+
+    def usable(text: Column) -> Column:
+        return F.when(F.length(F.regexp_replace(text, "=+$", "")) >= how.least, text)
+
+    return F.struct(span["s"].alias("s"), span["e"].alias("e"), token["s"].alias("ts"), token["e"].alias("te"),
+                    _band(F.length(as_is), how).alias("band"), usable(as_is).alias("g1"),
+                    F.when(as_is.rlike("[+/_-]"), usable(closed)).alias("g2"))
+
+
+def _bin(reading: Column, how: Battery) -> Column:
+    """Place on the grid of p-values, null for no reading."""
+    return F.when(reading["enc"].isNotNull(), F.floor(
+        -F.log10(randomness(reading["g"], reading["enc"])) * how.grid).cast("int"))
 
 
 def examined(docs: DataFrame, how: Battery, id_col: str, text_col: str) -> DataFrame:
@@ -179,18 +218,24 @@ def examined(docs: DataFrame, how: Battery, id_col: str, text_col: str) -> DataF
             x["s"].alias("s"), F.lit(KINDS.index(name)).alias("k"), x["e"].alias("e")))
 
     base = F.array_sort(F.concat(kind("assign"), kind("access"), kind("hex")))
-    coded = F.filter(F.transform("f.tokens", lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), x["g"].alias("g"), encoding_of(x["g"]).alias("enc"))),
-        lambda x: x["enc"].isNotNull() & (F.length(F.regexp_replace(x["g"], "=+$", "")) >= how.least))
     rows = found.select(
         "doc_id", *[F.size(f"f.{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base"),
-        coded.alias("coded"))
-    # a token that a pattern already covers needs no test
-    free = F.filter("coded", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    tested = F.transform(free, lambda c: F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), _band(F.length(c["g"]), how).alias("band"),
-        F.floor(-F.log10(randomness(c["g"], c["enc"])) * how.grid).cast("int").alias("bin")))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS[:3]], "base", tested.alias("tested"))
+        F.flatten(F.transform("f.tokens", lambda x: F.transform(
+            F.concat(F.array(x), _parts(x, how)), lambda y: _read(y, x, how)))).alias("read"))
+    # what a pattern already covers needs no test
+    free = F.filter("read", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    kept = ["doc_id", *[f"n_{k}" for k in KINDS[:3]], "base"]
+    # the battery nests deeply already: its arguments come from generators, which Spark does not merge with it
+    rows = rows.select(*kept, F.explode(F.array(free)).alias("read"))
+    texts = [F.transform(f"read.{g}", lambda t: F.struct(t.alias("g"), encoding_of(t).alias("enc"))).alias(g)
+             for g in ("g1", "g2")]
+    rows = rows.select(*kept, "read", F.explode(F.array(F.struct(*texts))).alias("c"))
+    bins = [F.transform(f"c.{g}", lambda x: _bin(x, how)).alias(g) for g in ("g1", "g2")]
+    rows = rows.select(*kept, "read", F.explode(F.array(F.struct(*bins))).alias("b"))
+    tested = F.transform(F.arrays_zip(F.col("read").alias("r"), F.col("b.g1").alias("a"), F.col("b.g2").alias("b")),
+                         lambda x: F.struct(*[x["r"][k].alias(k) for k in ("s", "e", "ts", "te", "band")],
+                                            F.least(x["a"], x["b"]).alias("bin")))
+    return rows.select(*kept, F.filter(tested, lambda t: t["bin"].isNotNull()).alias("tested"))
 
 
 def dismissal(tested: DataFrame, how: Battery) -> DataFrame:
@@ -212,8 +257,13 @@ def secret_spans(docs: DataFrame, how: Battery = Battery(), id_col: str = "doc_i
     rows = settle(examined(docs, how, id_col, text_col), "secrets")
     cuts = dismissal(rows, how).scalar()
     kept = F.filter("tested", lambda t: F.coalesce(t["bin"] < F.element_at(F.col("cuts"), t["band"]), F.lit(True)))
+    rows = rows.withColumn("cuts", cuts).withColumn("kept", kept)
+    rows = rows.withColumn("whole", F.transform(F.filter(
+        "kept", lambda t: (t["s"] == t["ts"]) & (t["e"] == t["te"])), lambda t: t["s"]))
+    # parts count where their token does not
+    kept = F.filter("kept", lambda t: ((t["s"] == t["ts"]) & (t["e"] == t["te"])) | ~F.array_contains("whole", t["ts"]))
     random = F.transform(kept, lambda t: F.struct(t["s"].alias("s"), F.lit(3).alias("k"), t["e"].alias("e")))
-    return (rows.withColumn("cuts", cuts).withColumn("random", random)
+    return (rows.withColumn("random", random)
             .select("doc_id", *[f"n_{k}" for k in KINDS[:3]], F.size("random").cast("bigint").alias("n_random"),
                     "base", F.array_sort(F.concat("base", "random")).alias("spans")))
 

@@ -82,3 +82,39 @@ def test_plan_is_native_and_tables_may_be_hard(spark, hard, nothing):
     assert got.count() == hard.count() and got.filter("spans is null").count() == 0
     assert secret_scan.secret_spans(nothing).count() == 0
     assert {(r.doc_id, len(r.base)) for r in got.collect()} == {(d, len(base(t or ""))) for d, t in texts_of(hard)}
+
+
+def test_keys_in_assignments_paths_and_one_case(spark):
+    rng = random.Random(9)
+    lower = string.ascii_lowercase + string.digits
+    hexed = lambda *sizes: "-".join(secret(rng, "0123456789abcdef", n) for n in sizes)
+    kinds = {
+        "name": lambda: ("AWS_SECRET_ACCESS_KEY=", secret(rng, B62 + "+/", 40), " "),
+        "sign": lambda: ("https://host.example/a?sig=", secret(rng, B62, 43) + "=", "&x=1"),
+        "path": lambda: ("/srv/my-app_data/", secret(rng, B62, 40), "/some-file_name"),
+        "live": lambda: ("", "sk_live_" + secret(rng, lower, 24), ""),
+        "uuid": lambda: ("", hexed(8, 4, 4, 4, 12), ""),
+        "upper": lambda: ("", "-".join(secret(rng, string.ascii_uppercase + string.digits, 6) for _ in range(5)), ""),
+        "letters": lambda: ("", secret(rng, string.ascii_letters, 24), ""),
+        "mixed": lambda: ("", secret(rng, B62 + "+/-_", 44), "")}
+    rows, want = [], {}
+    for i in range(320):
+        kind = list(kinds)[i % len(kinds)]
+        before, key, after = kinds[kind]()
+        rows.append((i, f"see {before}{key}{after} here"))
+        want[i] = (kind, 4 + len(before), 4 + len(before) + len(key))
+    names = [f"{a}_{b}/{c}-{d}" for a in ("application", "configuration", "controller") for b in ("settings", "parameters")
+             for c in ("Manager", "handler", "version") for d in ("internationalization", "collection", "service-definition")]
+    names += [f"{a.upper()}_{b.upper()}={c}" for a in ("application", "configuration") for b in ("settings", "parameters")
+              for c in ("internationalization", "responsibilities-of-the-manager", "true")]
+    rows += [(1000 + i, f"see {t} here") for i, t in enumerate(names)]
+    rows += [(2000, "on 2024-01-01-2024-12-31-00000 ---------------------------------- ====================================")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.spans] for r in secret_scan.secret_spans(df).collect()}
+    for kind in kinds:
+        mine = [(s, e, got[i]) for i, (k, s, e) in want.items() if k == kind]
+        assert sum(any(a <= s and e <= b for a, b in spans) for s, e, spans in mine) >= 0.85 * len(mine), kind
+    exact = [(s, e) in got[i] for i, (k, s, e) in want.items() if k in ("name", "sign")]
+    assert sum(exact) > 0.85 * len(exact)
+    # names of some 20 letters carry little evidence
+    assert sum(bool(got[1000 + i]) for i in range(len(names))) < 0.2 * len(names) and not got[2000]
