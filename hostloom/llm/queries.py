@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import (decontam, kneser_ney, mixing, near_dups, packing, quality, secret_scan, tool_calls, toxicity,
-                          vectors)
+from hostloom.llm import (decontam, infilling, kneser_ney, mixing, near_dups, packing, quality, secret_scan, sharding,
+                          tool_calls, toxicity, vectors, whitening)
 from hostloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,67 @@ def op9_benchmark_leaks(spark, sf_dir):
 @query()
 def op10_toxicity(spark, sf_dir):
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# the network of sharding.py round by round: a row that ends outside starts over from where it is
+@query("""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS row
+  FROM documents),
+size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM t),
+sides AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM size),
+walk AS (
+  SELECT row, 0 AS j, row % a AS l, row // a AS r FROM t, sides
+  UNION ALL
+  SELECT row, CASE WHEN j < 8 THEN j + 1 ELSE 1 END,
+    CASE WHEN j < 8 THEN r ELSE (r * a + l) // a END,
+    CASE WHEN j < 8 THEN (l + CAST('0x' || substr(md5('0:' || j || ':' || r), 1, 15) AS BIGINT) % side) % side
+      ELSE ((r * a + l) % a + CAST('0x' || substr(md5('0:0:' || ((r * a + l) // a)), 1, 15) AS BIGINT) % a) % a END
+  FROM (SELECT w.*, s.*, CASE WHEN j % 2 = 0 THEN a ELSE b END AS side FROM walk w, sides s)
+  WHERE j < 8 OR r * a + l >= n),
+placed AS (SELECT row, r * a + l AS p FROM walk, sides WHERE j = 8 AND r * a + l < n),
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs),
+bytes AS (SELECT row, list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM t),
+sums AS (SELECT row, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+  lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8))) AS crc FROM bytes, bits)
+SELECT doc_id, strlen(text) + 8 AS size, crc AS text_crc32, 'rows' AS law, CAST(p % 24 AS INTEGER) AS shard, p // 24 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM t JOIN placed USING (row) JOIN sums USING (row)
+""")
+def op11_feistel_sharding(spark, sf_dir):
+    placed = sharding.sharded(table(spark, sf_dir, "documents"), sharding.Shuffle(shards=24), columns=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.ROWS_LAW).alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS units,
+  CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+  array_to_string(units[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+""")
+def op12_fill_in_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infilling.infilled(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.rebuilt(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), components=8)
