@@ -207,7 +207,7 @@ class Fit:
     def basis(self) -> np.ndarray:
         """Columns that take a centred vector to its whitened coordinates."""
         size = len(self.sums)
-        return np.array([c.vector / np.sqrt(c.value) for c in self.components]).reshape(-1, size).T
+        return np.array([c.vector / np.sqrt(c.value) for c in self.components]).reshape(len(self.components), size).T
 
 
 def _summed(parts: DataFrame) -> np.ndarray:

@@ -39,7 +39,7 @@ def test_ranks_equal_counts():
 
 def test_classes_name_what_ends():
     codes = np.frombuffer("Hi you.\nNo".encode("utf-32-le"), "<u4")
-    assert char_classes(codes, np.array([0])).tolist() == [0, 2, 0, 0, 0, 2, 6, 1, 0, 2]
+    assert char_classes(codes, np.array([0])).tolist() == [0, 2, 0, 0, 0, 0, 6, 1, 0, 2]
 
 
 @pytest.mark.parametrize("unit", ["line", "word"])
