@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.endpoint import with_endpoint
 from hostloom.functions.text import SELF_SEGMENT, WHITESPACE
-from hostloom.operators.blocks import neighbour, running_sum
+from hostloom.functions.order import place_of
+from hostloom.operators.scan import RUN, across, earlier, inside, stored, with_outside
 from hostloom.sources.changes import DELETE, PUT
 
 # Fixed value: the shortest lease, in seconds.
@@ -96,7 +97,7 @@ def services(changes: DataFrame, root: str, as_of: Column, keepalives: DataFrame
         "svc_key", "endpoint.protocol", "endpoint.host", "endpoint.port", "endpoint.reason")
 
 
-def lease_spans(changes: DataFrame, width: int | None = None) -> DataFrame:
+def lease_spans(changes: DataFrame, runs: int | None = None) -> DataFrame:
     """Times in which a key was held by a lease: (svc_key, started_at, ended_at, ended_by, puts).
 
     Changes count in order of ``rev``, along which ``ts`` does not fall. A put
@@ -105,20 +106,47 @@ def lease_spans(changes: DataFrame, width: int | None = None) -> DataFrame:
     without a lease ends the span but not the key, a delete ends both. Holds
     that touch are one span. ``ended_by`` is ``revoked`` (a delete), ``kept``
     (a put without a lease) or ``expired``.
+
+    One scan: a run hands on how many spans end in it before its last change and what
+    that last change is; whether the last one ends a span depends on the next run.
     """
-    options = {} if width is None else {"width": width}
-    rows = changes.filter(F.col("op").isin(PUT, DELETE))
-    rows = neighbour(rows, ["svc_key"], "rev", {"_next": "ts", "_op": "op", "_ttl": "ttl_s"}, following=True, **options)
-    end = lease_end(F.col("ts"), F.col("ttl_s"))
-    cut = F.col("_next").isNotNull() & (F.col("_next") <= end)
-    holds = rows.filter((F.col("op") == PUT) & F.col("ttl_s").isNotNull()).select(
-        "svc_key", "rev", F.col("ts").alias("_from"), F.when(cut, F.col("_next")).otherwise(end).alias("_to"),
-        F.when(~cut, "expired").when(F.col("_op") == DELETE, "revoked").when(
-            F.col("_ttl").isNull(), "kept").otherwise("renewed").alias("_by"))
+    keys, order = ["svc_key"], ["rev"]
+    parts = stored(changes.filter(F.col("op").isin(PUT, DELETE)).select(
+        "svc_key", "rev", "ts", (F.col("op") == DELETE).alias("_deletes"), "ttl_s"), keys, order, runs)
+    change = ("ts", "_deletes", "ttl_s")
+    here = parts.withColumn("_next", F.lead(F.struct(*change)).over(inside(keys, order)))
+    ends = F.col("_next").isNotNull() & (_ended_by(F.col("_next")) != RENEWED)
+    at = place_of(parts, order)
+    edges = here.groupBy(*keys, RUN).agg(
+        F.count_if(ends).alias("_inner"),
+        *[pick(c, at).alias(f"{c}{name}") for name, pick in (("", F.max_by), ("_first", F.min_by)) for c in change])
+    follower = F.lead(F.struct(*[F.col(f"{c}_first").alias(c) for c in change])).over(across(keys))
+    edges = edges.withColumn("_follower", follower)
+    total = F.col("_inner") + (_ended_by(F.col("_follower")) != RENEWED).cast("bigint")
+    outside = edges.select(*keys, RUN, "_follower", F.coalesce(
+        F.sum(total).over(earlier(across(keys))), F.lit(0)).alias("_earlier"))
     # a hold that is not renewed ends its span; the number of ends before a hold names the span
-    ends = (F.col("_by") != "renewed").cast("bigint")
-    spans = running_sum(holds, ["svc_key"], "rev", ends, "_ends", **options).withColumn("_span", F.col("_ends") - ends)
-    return spans.groupBy("svc_key", "_span").agg(
-        F.min("_from").alias("started_at"), F.max("_to").alias("ended_at"),
-        F.max(F.when(F.col("_by") != "renewed", F.col("_by"))).alias("ended_by"),
+    counted = here.withColumn("_ended", F.count_if(ends).over(earlier(inside(keys, order))))
+    rows = with_outside(counted, outside, keys).withColumn("_next", F.coalesce("_next", "_follower"))
+    holds = rows.withColumn("_by", _ended_by(F.col("_next"))).filter(_holds())
+    end = lease_end(F.col("ts"), F.col("ttl_s"))
+    return holds.groupBy("svc_key", (F.col("_earlier") + F.coalesce("_ended", F.lit(0))).alias("_span")).agg(
+        F.min("ts").alias("started_at"),
+        F.max(F.when(F.col("_next.ts") <= end, F.col("_next.ts")).otherwise(end)).alias("ended_at"),
+        F.max(F.when(F.col("_by") != RENEWED, F.col("_by"))).alias("ended_by"),
         F.count(F.lit(1)).alias("puts")).drop("_span")
+
+
+# how a hold ends
+EXPIRED, REVOKED, KEPT, RENEWED = "expired", "revoked", "kept", "renewed"
+
+
+def _holds() -> Column:
+    return ~F.col("_deletes") & F.col("ttl_s").isNotNull()
+
+
+def _ended_by(change: Column) -> Column:
+    """What ends the hold of a row, given the key's next change; ``renewed`` where it goes on or is none."""
+    cut = change["ts"].isNotNull() & (change["ts"] <= lease_end(F.col("ts"), F.col("ttl_s")))
+    return F.when(~_holds(), RENEWED).when(~cut, EXPIRED).when(change["_deletes"], REVOKED).when(
+        change["ttl_s"].isNull(), KEPT).otherwise(RENEWED)

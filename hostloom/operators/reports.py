@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.duration import epoch_micros
 from hostloom.functions.ids import MAX_SEQUENCE, encode_id
-from hostloom.operators.blocks import WIDTH, neighbour, row_number, running_max
+from hostloom.functions.order import place_of
+from hostloom.operators.scan import RUN, across, cut, earlier, inside, stored, upto, with_outside
 
 
 def throughput(operations: DataFrame, by: Sequence[str], failed: Column, ts: str = "ts") -> DataFrame:
@@ -42,16 +43,24 @@ def delivery(sent: DataFrame, by: Sequence[str], watcher: str, received: Column)
         ((total - F.sum("_received")) * 100.0 / total).alias("loss_percent"))
 
 
-def out_of_order(events: DataFrame, key: str, order: str, value: str, width: int = WIDTH) -> DataFrame:
-    """Per key, how many values are smaller than the one that arrived before."""
-    rows = neighbour(events.select(key, order, value), [key], order, {"_previous": value}, width=width)
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col(value) < F.col("_previous")).alias("out_of_order"))
+def out_of_order(events: DataFrame, key: str, order: Sequence[str], value: str, runs: int | None = None) -> DataFrame:
+    """Per key, how many values are smaller than the one that arrived before.
 
-
-def assign_ids(rows: DataFrame, machine: str, unix_ms: str, order: str, epoch_ms: int,
-               width: int = WIDTH) -> DataFrame:
+    Each run counts its own; between two runs of a key only the last value of one and
+    the first of the next are compared.
+    """
+    parts = cut(events.select(key, *order, value), [key], order, runs)
+    at = place_of(parts, order)
+    counted = parts.withColumn("_previous", F.lag(value).over(inside([key], order))).groupBy(key, RUN).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(value) < F.col("_previous")).alias("_falls"),
+        F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
+    falls = F.coalesce(F.col("_first") < F.lag("_last").over(across([key])), F.lit(False)).cast("bigint")
+    return counted.withColumn("_falls", F.col("_falls") + falls).groupBy(key).agg(
+        F.sum("_n").alias("total"), F.sum("_falls").alias("out_of_order"))
+
+
+def assign_ids(rows: DataFrame, machine: str, unix_ms: str, order: Sequence[str], epoch_ms: int,
+               runs: int | None = None) -> DataFrame:
     """Give rows time-ordered ids: add ``id``, ``sequence`` and ``waited``.
 
     A millisecond starts at the low bits of its own offset and counts up to
@@ -60,13 +69,21 @@ def assign_ids(rows: DataFrame, machine: str, unix_ms: str, order: str, epoch_ms
 
     With slots counted through all milliseconds, a row's slot is the greater of
     the one after the row before and the first of its own millisecond, which is
-    its row number plus a running maximum.
+    its row number plus a running maximum. A run hands on how many rows it has and
+    how far its slots are ahead of its own row numbers.
     """
-    numbered = row_number(rows, [machine], order, "_n", width)
+    keys = [machine]
+    parts = stored(rows, keys, order, runs)
     offset_ms = F.col(unix_ms) - F.lit(epoch_ms)
     first = offset_ms * (MAX_SEQUENCE + 1) + offset_ms.bitwiseAND(F.lit(MAX_SEQUENCE))
-    placed = running_max(numbered, [machine], order, first - F.col("_n"), "_ahead", width)
-    slot = F.col("_ahead") + F.col("_n")
+    here = parts.withColumn("_n", F.row_number().over(inside(keys, order)).cast("bigint"))
+    here = here.withColumn("_ahead", F.max(first - F.col("_n")).over(upto(inside(keys, order))))
+    ends = here.groupBy(*keys, RUN).agg(F.max("_n").alias("_rows"), F.max("_ahead").alias("_ahead"))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier(across(keys))), F.lit(0)))
+    outside = ends.select(
+        *keys, RUN, "_before", F.max(F.col("_ahead") - F.col("_before")).over(earlier(across(keys))).alias("_earlier"))
+    placed = with_outside(here, outside, keys)
+    slot = F.greatest(F.col("_ahead") - F.col("_before"), F.col("_earlier")) + F.col("_before") + F.col("_n")
     at_ms = F.floor(slot / F.lit(MAX_SEQUENCE + 1)).cast("bigint") + F.lit(epoch_ms)
     sequence = F.pmod(slot, F.lit(MAX_SEQUENCE + 1))
     return placed.select(

@@ -1,52 +1,60 @@
 """Connections and sessions from their event streams.
 
-Event rows carry ``seq`` (unique, arrival order), ``ts``, ``what`` (``open``,
-``close`` or ``message``) and the connection or client they belong to.
+Event rows carry ``ts`` and ``seq``, whose order is that of arrival (``seq`` alone need
+not rise with time), ``what`` (``open``, ``close`` or ``message``) and the connection
+or client they belong to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostloom.operators.blocks import WIDTH, neighbour, running_sum
+from hostloom.functions.order import place_of
+from hostloom.operators.scan import ARRIVAL, neighbour, running_sum, upto
 
+OPEN, CLOSE = "open", "close"
 
-def transitions(events: DataFrame, conn: str, width: int = WIDTH) -> DataFrame:
+
+def _edges(events: DataFrame) -> DataFrame:
+    """Open and close events, with ``_opens`` in place of a text."""
+    return events.filter(F.col("what").isin(OPEN, CLOSE)).withColumn("_opens", F.col("what") == OPEN)
+
+
+def transitions(events: DataFrame, conn: str, runs: int | None = None) -> DataFrame:
     """Open and close events with ``delta``: +1, −1 or 0.
 
     Opening an open connection is refused and closing a closed one does
     nothing; both leave the table of connections as it is.
     """
-    edges = events.filter(F.col("what").isin("open", "close"))
-    edges = neighbour(edges, [conn], "seq", {"_before": "what"}, width=width)
-    was_open = F.coalesce(F.col("_before") == "open", F.lit(False))
-    opens = F.col("what") == "open"
+    edges = neighbour(_edges(events), [conn], ARRIVAL, {"_before": "_opens"}, runs=runs)
+    was_open, opens = F.coalesce("_before", F.lit(False)), F.col("_opens")
     delta = F.when(opens & ~was_open, 1).when(~opens & was_open, -1).otherwise(0)
-    return edges.withColumn("delta", delta.cast("bigint")).drop("_before")
+    return edges.withColumn("delta", delta.cast("bigint")).drop("_before", "_opens")
 
 
-def active_connections(events: DataFrame, conn: str, listener: str, width: int = WIDTH) -> DataFrame:
+def active_connections(events: DataFrame, conn: str, listener: str, runs: int | None = None) -> DataFrame:
     """Number of open connections of a listener after each open or close event."""
-    return running_sum(transitions(events, conn, width), [listener], "seq",
-                       F.col("delta"), "active", width)
+    return running_sum(transitions(events, conn, runs), [listener], ARRIVAL, F.col("delta"), "active", runs)
 
 
 def active_curve(events: DataFrame, conn: str, listener: str, every: str = "hour",
-                 width: int = WIDTH) -> DataFrame:
-    """Open connections of a listener at the end of each time bucket with a change."""
-    buckets = transitions(events, conn, width).groupBy(
+                 runs: int | None = None) -> DataFrame:
+    """Open connections of a listener at the end of each time bucket with a change.
+
+    The running sum goes over buckets: a listener has as many rows as its time has buckets.
+    """
+    buckets = transitions(events, conn, runs).groupBy(
         listener, F.date_trunc(every, "ts").cast("timestamp_ntz").alias("bucket")
     ).agg(F.sum("delta").alias("_delta"))
-    month = F.unix_micros(F.date_trunc("month", "bucket"))
-    return running_sum(buckets, [listener], "bucket", F.col("_delta"), "active", block=month).drop("_delta")
+    return buckets.select(listener, "bucket", F.sum("_delta").over(
+        upto(Window.partitionBy(listener).orderBy("bucket"))).alias("active"))
 
 
 def open_connections(events: DataFrame, conn: str) -> DataFrame:
     """Connections open at the end: their last open or close event is an open."""
-    edges = events.filter(F.col("what").isin("open", "close"))
-    last = F.max(F.col("seq") * 2 + (F.col("what") == "open").cast("bigint"))
-    return edges.groupBy(conn).agg(last.alias("_last")).filter(F.col("_last") % 2 != 0).drop("_last")
+    edges = _edges(events)
+    return edges.groupBy(conn).agg(F.max_by("_opens", place_of(edges, ARRIVAL)).alias("_last")).filter("_last").drop("_last")
 
 
 def connection_clients(events: DataFrame, conn: str) -> DataFrame:
@@ -56,7 +64,7 @@ def connection_clients(events: DataFrame, conn: str) -> DataFrame:
         F.when(named.isNotNull(), F.col("client_id")), named).alias("client_id"))
 
 
-def sessions(events: DataFrame, conn: str, width: int = WIDTH) -> DataFrame:
+def sessions(events: DataFrame, conn: str, runs: int | None = None) -> DataFrame:
     """Control sessions, one per open event of a connection.
 
     A client without an id gets ``client-<seq>``. A session ends with the first
@@ -65,15 +73,16 @@ def sessions(events: DataFrame, conn: str, width: int = WIDTH) -> DataFrame:
     (``superseded``). A close of another connection leaves it alone, so the
     newest session of a client stays. ``ended_by`` is NULL while it is open.
     """
-    edges = events.filter(F.col("what").isin("open", "close"))
-    edges = neighbour(edges, [conn], "seq", {"_what": "what", "_seq": "seq", "_ts": "ts"}, following=True, width=width)
+    edges = _edges(events).select(conn, *ARRIVAL, "client_id", "_opens")
+    edges = neighbour(edges, [conn], ARRIVAL, {"_again": "_opens", "_seq": "seq", "_ts": "ts"}, True, runs)
     named = F.coalesce(F.col("client_id"), F.lit("")) != ""
-    opens = edges.filter(F.col("what") == "open").withColumn(
+    opens = edges.filter("_opens").withColumn(
         "client_id", F.when(named, F.col("client_id")).otherwise(
             F.concat(F.lit("client-"), F.col("seq").cast("string"))))
-    opens = neighbour(opens, ["client_id"], "seq", {"_newer": "seq", "_newer_ts": "ts"}, following=True, width=width)
-    own_first = F.col("_seq").isNotNull() & (F.col("_newer").isNull() | (F.col("_seq") <= F.col("_newer")))
-    ended_by = F.when(own_first & (F.col("_what") == "close"), F.lit("closed")).when(
+    opens = neighbour(opens, ["client_id"], ARRIVAL, {"_newer": "seq", "_newer_ts": "ts"}, True, runs)
+    own_first = F.col("_seq").isNotNull() & (
+        F.col("_newer").isNull() | (_pair("_ts", "_seq") <= _pair("_newer_ts", "_newer")))
+    ended_by = F.when(own_first & ~F.col("_again"), F.lit("closed")).when(
         own_first | F.col("_newer").isNotNull(), F.lit("superseded"))
     return opens.select(
         F.col("seq").alias("session"), "client_id", F.col("ts").alias("opened_at"),
@@ -81,6 +90,10 @@ def sessions(events: DataFrame, conn: str, width: int = WIDTH) -> DataFrame:
         ended_by.alias("ended_by"))
 
 
+def _pair(ts: str, seq: str) -> Column:
+    return F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+
+
 def session_activity(messages: DataFrame, session: str) -> DataFrame:
     """Metadata and last activity of each session.
 

@@ -400,8 +400,8 @@ def mth_snowflake_decode(spark, sf_dir):
 @query
 def mth_snowflake_assign(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id % 2 AS machine", f"{EPOCH_2024_MS} + event_id div 10000 AS unix_ms")
-    return RP.assign_ids(e, "machine", "unix_ms", "event_id", EPOCH_2024_MS).select(
+        "event_id", "ts", "user_id % 2 AS machine", f"{EPOCH_2024_MS} + event_id div 10000 AS unix_ms")
+    return RP.assign_ids(e, "machine", "unix_ms", ["ts", "event_id"], EPOCH_2024_MS).select(
         "event_id", "sequence", "waited", "id")
 
 
@@ -624,12 +624,12 @@ def reg_services(spark, sf_dir):
 
 @query
 def reg_lease_spans(spark, sf_dir):
-    return R.lease_spans(V.changes(spark, sf_dir), width=30 * 10_000_000)
+    return R.lease_spans(V.changes(spark, sf_dir))
 
 
 @query
 def seq_out_of_order(spark, sf_dir):
-    return RP.out_of_order(V.table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+    return RP.out_of_order(V.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 @query

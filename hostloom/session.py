@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for intermediate tables."""
+"""Session settings, the shared folder and intermediate tables in it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on. Values are Spark's own settings; a cluster's
 # defaults file may set others (partition counts above all).
@@ -70,3 +70,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the folder goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    schema = df.schema
+    df.write.parquet(path)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(schema).parquet(path)

@@ -7,7 +7,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from hostloom.operators import blocks, hosts, metrics, registry, reports, sessions
+from hostloom.functions.order import place_of
+from hostloom.operators import hosts, metrics, registry, reports, scan, sessions
 from hostloom.operators.skew import spread_join
 
 RNG = random.Random(7)
@@ -28,26 +29,45 @@ def by_key():
     return groups
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 10**6])
-def test_blocked_windows(keyed, width):
-    total = {(r.k, r.seq): r.t for r in blocks.running_sum(keyed, ["k"], "seq", F.col("v"), "t", width).collect()}
-    number = {(r.k, r.seq): r.n for r in blocks.row_number(keyed, ["k"], "seq", "n", width).collect()}
-    before = {(r.k, r.seq): r.p for r in blocks.neighbour(keyed, ["k"], "seq", {"p": "v"}, width=width).collect()}
-    after = {(r.k, r.seq): r.p for r in blocks.neighbour(keyed, ["k"], "seq", {"p": "v"}, True, width).collect()}
-    assert len(total) == len(number) == len(before) == len(after) == len(KEYED)
+@pytest.mark.parametrize("runs", [1, 2, 7, 40])
+def test_scans_over_runs(keyed, runs):
+    total = {(r.k, r.seq): r.t for r in scan.running_sum(keyed, ["k"], ["seq"], F.col("v"), "t", runs).collect()}
+    before = {(r.k, r.seq): r.p for r in scan.neighbour(keyed, ["k"], ["seq"], {"p": "v"}, runs=runs).collect()}
+    after = {(r.k, r.seq): r.p for r in scan.neighbour(keyed, ["k"], ["seq"], {"p": "v"}, True, runs).collect()}
+    assert len(total) == len(before) == len(after) == len(KEYED)
     for k, rows in by_key().items():
         running = 0
         for i, (seq, v) in enumerate(rows):
             running += v
-            assert total[k, seq] == running and number[k, seq] == i + 1
+            assert total[k, seq] == running
             assert before[k, seq] == (rows[i - 1][1] if i else None)
             assert after[k, seq] == (rows[i + 1][1] if i + 1 < len(rows) else None)
 
 
-def test_neighbour_keeps_null_values(spark):
-    df = spark.createDataFrame([(1, "a", 5), (2, "a", None), (30, "a", 7)], "seq long, k string, v long")
-    rows = blocks.neighbour(df, ["k"], "seq", {"p": "v"}, width=10).orderBy("seq").collect()
-    assert [r.p for r in rows] == [None, 5, None]
+def test_neighbour_keeps_null_values_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", None), (30, "a", 7), (4, None, 1), (5, None, 2)], "seq long, k string, v long")
+    for runs in (1, 4):
+        rows = scan.neighbour(df, ["k"], ["seq"], {"p": "v"}, runs=runs).orderBy("k", "seq").collect()
+        assert [r.p for r in rows] == [None, 1, None, 5, None]
+
+
+def test_a_hot_key_is_cut_into_level_runs(spark):
+    hot = spark.range(30_000).selectExpr("id * 65536 AS seq", "'hot' AS k", "1L AS v")
+    rows = hot.union(spark.range(10_000).selectExpr("id", "concat('k', id % 50)", "1L"))
+    sizes = [r["count"] for r in scan.cut(rows, ["k"], ["seq"], 16).groupBy(scan.RUN).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+    last = scan.running_sum(rows, ["k"], ["seq"], F.col("v"), "t", 16).groupBy("k").agg(F.max("t").alias("t"))
+    assert {r.t for r in last.collect()} == {30_000, 200}
+
+
+def test_place_of_sorts_like_time_and_number(spark):
+    stamps = ["1900-01-01 00:00:00", "1970-01-01 00:00:00", "2024-01-01 00:00:00.000001", "9999-12-31 23:59:59"]
+    numbers = [-2**63, -1, 0, 7 << 16, 2**63 - 1]
+    df = spark.createDataFrame([(t, n) for t in stamps for n in numbers], "t string, seq long").withColumn(
+        "ts", F.col("t").cast("timestamp_ntz"))
+    rows = df.withColumn("at", place_of(df, ["ts", "seq"])).collect()
+    assert sorted(rows, key=lambda r: (r.ts, r.seq)) == sorted(rows, key=lambda r: r["at"])
+    assert len({r["at"] for r in rows}) == len(rows)
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -211,10 +231,10 @@ LEASES = [(1, 0, "a", "PUT", "", 60), (2, 50, "a", "PUT", "", 60), (3, 300, "a",
           (10, 700, "d", "PUT", "", 600), (11, 720, "d", "PUT", "", None), (12, 800, "free", "PUT", "", None)]
 
 
-@pytest.mark.parametrize("width", [1, 3, 10**6])
-def test_lease_spans(spark, width):
+@pytest.mark.parametrize("runs", [1, 2, 5, 12])
+def test_lease_spans(spark, runs):
     got = {(r.svc_key, r.started_at.strftime("%M:%S"), r.ended_at.strftime("%M:%S"), r.ended_by, r.puts)
-           for r in registry.lease_spans(changes(spark, LEASES), width).collect()}
+           for r in registry.lease_spans(changes(spark, LEASES), runs).collect()}
     assert got == {("a", "00:00", "01:50", "expired", 2), ("a", "05:00", "06:00", "expired", 1),
                    ("b", "05:10", "05:30", "revoked", 1), ("b", "06:40", "07:20", "expired", 2),
                    ("c", "10:00", "10:06", "expired", 1), ("d", "11:40", "12:00", "kept", 1)}
@@ -258,14 +278,54 @@ def conn_events(spark, rows):
 def test_active_connections_refuse_and_ignore(spark):
     rows = [(1, "a", "open", ""), (2, "a", "open", ""), (3, "b", "close", ""), (4, "b", "open", ""), (5, "a", "message", ""),
             (6, "a", "close", ""), (7, "a", "close", ""), (8, "b", "close", "")]
-    for width in (1, 3, 10**6):
-        got = sessions.active_connections(conn_events(spark, rows), "conn", "listener", width).orderBy("seq").collect()
+    for runs in (1, 3, 8):
+        got = sessions.active_connections(conn_events(spark, rows), "conn", "listener", runs).orderBy("seq").collect()
         assert [(r.seq, r.active) for r in got] == [(1, 1), (2, 1), (3, 1), (4, 2), (6, 1), (7, 1), (8, 0)]
     curve = sessions.active_curve(conn_events(spark, rows), "conn", "listener", "minute").collect()
     assert [r.active for r in curve] == [0]
     assert sessions.open_connections(conn_events(spark, rows[:5]), "conn").count() == 2
 
 
+def test_arrival_order_of_sparse_numbers(spark):
+    """Numbers as read from several Kafka partitions: offset << 16 | partition, which do not rise with time."""
+    rng = random.Random(5)
+    offsets, rows = [0] * 4, []
+    for second in range(300):
+        part = rng.randrange(4)
+        offsets[part] += 1
+        rows.append((second // 2, offsets[part] << 16 | part, f"c{rng.randrange(6)}", rng.choice(["open", "close", "message"]),
+                     rng.choice(["", "x", "y", "z"]), rng.randrange(9)))
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=F.col("s"))
+    df = spark.createDataFrame(rows, "s long, seq long, conn string, what string, client_id string, v long").withColumn(
+        "ts", at).withColumn("listener", F.lit("l"))
+    rows.sort(key=lambda r: (r[0], r[1]))
+    assert [r[1] for r in rows] != sorted(r[1] for r in rows)
+
+    live, active = set(), []
+    open_session, ended, by_client = {}, {}, {}
+    falls, last = 0, None
+    for s, seq, conn, what, client, v in rows:
+        falls += last is not None and v < last
+        last = v
+        if what == "message":
+            continue
+        (live.add if what == "open" else live.discard)(conn)
+        active.append((seq, len(live)))
+        if conn in open_session:
+            ended.setdefault(open_session.pop(conn), (seq, "closed" if what == "close" else "superseded"))
+        if what == "open":
+            client = client or f"client-{seq}"
+            ended.setdefault(by_client.get(client), (seq, "superseded"))
+            open_session[conn] = by_client[client] = seq
+    for runs in (1, 6):
+        got = sessions.active_connections(df, "conn", "listener", runs).orderBy("ts", "seq").collect()
+        assert [(r.seq, r.active) for r in got] == active
+        for r in sessions.sessions(df, "conn", runs).collect():
+            assert r.ended_by == ended.get(r.session, (None, None))[1], r
+        assert reports.out_of_order(df, "listener", ["ts", "seq"], "v", runs).first().out_of_order == falls
+    assert {r.conn for r in sessions.open_connections(df, "conn").collect()} == live
+
+
 def test_first_client_id_stays(spark):
     rows = [(1, "a", "message", ""), (2, "a", "message", "x"), (3, "a", "message", "y"), (4, "b", "message", ""), (5, "b", "message", None)]
     got = sessions.connection_clients(conn_events(spark, rows), "conn").collect()
@@ -275,8 +335,8 @@ def test_first_client_id_stays(spark):
 def test_sessions_end_by_their_own_connection(spark):
     rows = [(1, "1", "open", "a"), (2, "2", "open", ""), (3, "3", "open", "a"), (4, "1", "close", "a"), (5, "4", "open", None),
             (6, "5", "open", "b"), (7, "2", "close", ""), (8, "5", "close", "b"), (9, "4", "open", "x")]
-    for width in (1, 2, 10**6):
-        got = sessions.sessions(conn_events(spark, rows), "conn", width).orderBy("session").collect()
+    for runs in (1, 2, 8):
+        got = sessions.sessions(conn_events(spark, rows), "conn", runs).orderBy("session").collect()
         # session 3 is the newest of client a: the close of connection 1 leaves it alone
         assert [(r.session, r.client_id, r.ended_by) for r in got] == [
             (1, "a", "superseded"), (2, "client-2", "closed"), (3, "a", None), (5, "client-5", "superseded"),
@@ -295,8 +355,8 @@ def test_ids_past_a_full_millisecond_wait(spark):
     # the millisecond offset 4094 leaves room for two ids, offset 4096 for 4096
     rows = [(i, 1, 4094) for i in range(5)] + [(10 + i, 1, 4096) for i in range(5000)] + [(9000, 2, 4094)]
     df = spark.createDataFrame(rows, "seq long, machine long, ms long")
-    for width in (100, 10**6):
-        got = sorted(reports.assign_ids(df, "machine", "ms", "seq", 0, width).collect(), key=lambda r: r.seq)
+    for runs in (1, 9):
+        got = sorted(reports.assign_ids(df, "machine", "ms", ["seq"], 0, runs).collect(), key=lambda r: r.seq)
         slot, want = {}, []
         for r in got:
             slot[r.machine] = max(slot.get(r.machine, -1) + 1, r.ms * 4096 + r.ms % 4096)
@@ -308,8 +368,8 @@ def test_ids_past_a_full_millisecond_wait(spark):
 
 def test_out_of_order(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 3), (3, "a", 3), (40, "a", 1), (41, "b", 1)], "seq long, k string, v long")
-    for width in (1, 10, 10**6):
-        got = reports.out_of_order(df, "k", "seq", "v", width).collect()
+    for runs in (1, 2, 5):
+        got = reports.out_of_order(df, "k", ["seq"], "v", runs).collect()
         assert {r.k: (r.total, r.out_of_order) for r in got} == {"a": (4, 2), "b": (1, 0)}
 
 
