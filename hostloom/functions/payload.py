@@ -96,6 +96,9 @@ NESTED_KEYS = tuple(dict.fromkeys(
      "mac", "ips", "if_name", *COUNTER_FIELDS)))
 _KEYS = TOP_KEYS + NESTED_KEYS
 _RESPELT = rf'"(?!(?:{"|".join(_KEYS)})")(?i:{"|".join(_KEYS)})"\s*:'
+# cheaper, and true for all of these: a key with a capital where known keys have none, or a top key in small letters
+_ODD_KEY = (rf'"(?:[a-z_]++[A-Z][A-Za-z_]*+|(?!(?:{"|".join(TOP_KEYS)})")[A-Z][A-Za-z_]*+|'
+            rf'{"|".join(f"{k[0].lower()}(?i:{k[1:]})" for k in TOP_KEYS)})"\s*+:')
 
 
 def canonical_keys(text: Column) -> Column:
@@ -108,7 +111,8 @@ def canonical_keys(text: Column) -> Column:
     respelt = text
     for key in _KEYS:
         respelt = F.regexp_replace(respelt, rf'(?i)"{key}"(\s*:)', f'"{key}"$1')
-    return F.when(F.rlike(text, F.lit(_RESPELT)), respelt).otherwise(text)
+    odd = F.rlike(text, F.lit(_ODD_KEY)) & F.rlike(text, F.lit(_RESPELT))
+    return F.when(odd, respelt).otherwise(text)
 
 
 def payload_text(payload: Column) -> Column:

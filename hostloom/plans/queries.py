@@ -121,11 +121,11 @@ def snk_fanout_counts(spark, sf_dir):
 
     sinks = [
         record_files_sink(f"{base}/records"),
-        Sink("broken", lambda rows: rows, refuse),
+        Sink("broken", F.lit(True), refuse),
         SnapshotTable(spark, f"{base}/snapshots").sink(),
         quarantine_sink(f"{base}/quarantine"),
     ]
-    outcomes = fan_out(I.drop_greetings(V.envelopes(spark, sf_dir)), sinks, persist=False)
+    outcomes = fan_out(I.drop_greetings(V.envelopes(spark, sf_dir)), sinks)
     return outcomes.select("sink_type", "status", "rows", "bytes")
 
 

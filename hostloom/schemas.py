@@ -73,6 +73,8 @@ SNAPSHOT = T.StructType([
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("updated_at", T.TimestampNTZType()),
     T.StructField("deleted_at", T.TimestampNTZType()),
+    # recency of samples that came at one instant
+    T.StructField("seq", T.LongType()),
 ])
 
 SERVICE_ENDPOINT = T.StructType([

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,12 +81,42 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the folder goes when the application ends."""
-    spark = df.sparkSession
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders of intermediate tables made inside go when the block ends, so a long stream leaves none."""
+    outer = getattr(_scratch, "paths", None)
+    _scratch.paths = []
+    try:
+        yield
+    finally:
+        made, _scratch.paths = _scratch.paths, outer
+        for path in made:
+            remove_folder(spark, path)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that goes with the ``scratch`` block around it, else when the application ends."""
     path = shared_dir(spark, name)
+    made = getattr(_scratch, "paths", None)
+    if made is None:
+        fs, at = file_system(spark, path)
+        fs.deleteOnExit(at)
+    else:
+        made.append(path)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; see ``scratch_dir`` for how long it stays."""
+    path = scratch_dir(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    fs, at = file_system(spark, path)
-    fs.deleteOnExit(at)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -6,27 +6,27 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hostloom.operators.ingest import classified, payload_bytes
 from hostloom.schemas import OUTCOME
+from hostloom.session import scratch, scratch_dir
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Sink:
-    """``take`` picks a sink's rows from judged envelopes, ``put`` writes them.
+    """``wants`` tells a sink's rows among judged envelopes, ``put`` writes them.
 
     Judged envelopes are envelopes with ``reason``. ``put`` gets the rows and
-    the name of the batch. It must run an action on the rows, since they are
-    counted by it, and must be safe to repeat for the same batch.
+    the name of the batch. It may read the rows more than once and must be safe
+    to repeat for the same batch.
     """
 
     type: str
-    take: Callable[[DataFrame], DataFrame]
+    wants: Column
     put: Callable[[DataFrame, str], None]
 
 
@@ -34,48 +34,57 @@ def judged(envelopes: DataFrame) -> DataFrame:
     return classified(envelopes).drop("doc")
 
 
-def _volume(rows: DataFrame) -> list:
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(payload_bytes()), F.lit(0)).alias("bytes")]
-
-
 class FanOutError(RuntimeError):
     """At least one sink failed and the caller asked to be told."""
 
 
+def _volumes(sinks: Sequence[Sink]) -> list[Column]:
+    """Rows and bytes each sink wants, as aggregates over the judged rows."""
+    size = payload_bytes().cast("bigint")
+    return [c for i, sink in enumerate(sinks) for c in (
+        F.count_if(F.coalesce(sink.wants, F.lit(False))).alias(f"rows{i}"),
+        F.coalesce(F.sum(F.when(sink.wants, size)), F.lit(0)).alias(f"bytes{i}"))]
+
+
+def staged(rows: DataFrame, counts: Sequence[Column]) -> tuple[DataFrame, dict]:
+    """Judge a batch once: write it by reason and count it on the way.
+
+    A sink that wants some reasons only reads their files alone.
+    """
+    seen = Observation()
+    path = scratch_dir(rows.sparkSession, "batch")
+    schema = rows.schema
+    rows.observe(seen, *counts).write.partitionBy("reason").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path), seen.get
+
+
 def fan_out(envelopes: DataFrame, sinks: Sequence[Sink], batch: str = "0",
-            on_error: str = "continue", persist: bool = True) -> DataFrame:
+            on_error: str = "continue") -> DataFrame:
     """Give every row to every sink in order; return one outcome row per sink.
 
-    A failing sink does not stop the others. With ``on_error="continue"`` the
-    call succeeds all the same; with ``"fail"`` it raises once all sinks have
-    been tried, so that a stream replays the batch. Volumes are counted while
-    rows are written. A micro-batch is judged once and kept for all sinks; for
-    a backfill too large to keep, ``persist=False`` judges it once per sink.
+    The batch is judged, written and counted once; sinks read what was written, so
+    neither their number nor a failing one costs another pass over the source. A
+    failing sink does not stop the others. With ``on_error="continue"`` the call
+    succeeds all the same; with ``"fail"`` it raises once all sinks have been tried,
+    so that a stream replays the batch. The written batch goes when all sinks are done.
     """
     spark = envelopes.sparkSession
     rows = judged(envelopes)
     if not sinks:
         write_noop(rows)
         return spark.createDataFrame([], OUTCOME)
-    shared = persist and len(sinks) > 1
-    if shared:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     outcomes, errors = [], []
-    try:
-        for sink in sinks:
-            mine = sink.take(rows)
-            seen = Observation()
+    with scratch(spark):
+        rows, volumes = staged(rows, _volumes(sinks))
+        for i, sink in enumerate(sinks):
+            status, error = "success", None
             try:
-                sink.put(mine.observe(seen, *_volume(mine)), batch)
-                volume, status, error = seen.get, "success", None
+                sink.put(rows.filter(sink.wants), batch)
             except Exception as exc:  # noqa: BLE001 - any failure of a sink is an outcome
                 log.warning("sink %s failed on batch %s: %s", sink.type, batch, exc)
-                volume, status, error = mine.agg(*_volume(mine)).first().asDict(), "error", str(exc)
+                status, error = "error", str(exc)
                 errors.append(sink.type)
-            outcomes.append((sink.type, status, int(volume["rows"]), int(volume["bytes"]), error))
-    finally:
-        if shared:
-            rows.unpersist()
+            outcomes.append((sink.type, status, int(volumes[f"rows{i}"]), int(volumes[f"bytes{i}"]), error))
     if errors and on_error == "fail":
         raise FanOutError(f"sinks failed: {', '.join(errors)}")
     return spark.createDataFrame(outcomes, OUTCOME)

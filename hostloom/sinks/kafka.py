@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.operators.ingest import client_id, drop_empty_payload
+from hostloom.operators.ingest import client_id, drop_empty_payload, payload_bytes
 from hostloom.sinks.base import Sink
 
 
@@ -24,7 +24,7 @@ def write_kafka(envelopes: DataFrame, brokers: Sequence[str], topic: str) -> Non
 
 
 def kafka_sink(brokers: Sequence[str], topic: str) -> Sink:
-    return Sink("kafka", drop_empty_payload, lambda rows, batch: write_kafka(rows, brokers, topic))
+    return Sink("kafka", payload_bytes() > 0, lambda rows, batch: write_kafka(rows, brokers, topic))
 
 
 def record_files_sink(path: str) -> Sink:
@@ -32,4 +32,4 @@ def record_files_sink(path: str) -> Sink:
     def put(rows: DataFrame, batch: str) -> None:
         to_kafka_rows(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
-    return Sink("kafka", drop_empty_payload, put)
+    return Sink("kafka", payload_bytes() > 0, put)

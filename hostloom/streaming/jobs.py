@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostloom.operators.ingest import accepted, drop_greetings, reduce_to_latest
 from hostloom.operators.registry import watch
+from hostloom.session import scratch
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.snapshots import SnapshotTable
 
@@ -44,12 +45,17 @@ def ingest(envelopes: DataFrame, sinks: Sequence[Sink], checkpoint: str,
 
 def latest(envelopes: DataFrame, table: SnapshotTable, checkpoint: str,
            available_now: bool = False) -> StreamingQuery:
-    """Latest snapshot per machine as streaming state; changed machines go to ``table``."""
-    def each(changed: DataFrame, batch_id: int) -> None:
-        table.upsert_reduced(changed, _batch_name(checkpoint, batch_id))
+    """Latest snapshot per machine, continuously; the table is the state.
 
-    state = reduce_to_latest(accepted(envelopes).drop("doc"))
-    return _start(state.writeStream.outputMode("update").foreachBatch(each), checkpoint, available_now)
+    A micro-batch is reduced to one row per machine before it meets the table, and only
+    buckets of machines that reported are written.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            changed = reduce_to_latest(accepted(batch).drop("doc"), batch)
+            table.upsert_reduced(changed, _batch_name(checkpoint, batch_id))
+
+    return _start(envelopes.writeStream.foreachBatch(each), checkpoint, available_now)
 
 
 def watch_events(changes: DataFrame, key: str, out: str, checkpoint: str, prefix: bool = False,
@@ -57,17 +63,3 @@ def watch_events(changes: DataFrame, key: str, out: str, checkpoint: str, prefix
     """Put and delete events of a key or prefix, appended to Parquet files."""
     rows = watch(changes, key, prefix)
     return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)
-
-
-def compact(table: SnapshotTable, name: str, at_least: int = 32, retire: bool = False) -> list[str]:
-    """Scheduled upkeep: fold the parts of ``table`` into one when there are ``at_least`` of them.
-
-    Returns the parts folded; ``retire`` removes them at once, for tables
-    without readers of older lists.
-    """
-    if len(table.parts()) < at_least:
-        return []
-    old = table.compact(name)
-    if retire:
-        table.remove(old)
-    return old

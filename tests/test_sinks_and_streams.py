@@ -1,15 +1,19 @@
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import changes
 from test_payload import envelopes, host
 
+from hostloom.functions.order import place_of
 from hostloom.operators import ingest as I
 from hostloom.plans import views as V
 from hostloom.schemas import ENVELOPE, SNAPSHOT
 from hostloom.sinks.base import FanOutError, Sink, fan_out
 from hostloom.sinks.config import SinkConfigError, ensure_tables, plan_sinks
 from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
-from hostloom.sinks.snapshots import SnapshotTable, merge_statements, quarantine_sink, snapshot_columns
+from hostloom.sinks.snapshots import SnapshotTable, Version, merge_statements, quarantine_sink, snapshot_columns, table_statements
 from hostloom.sources.envelopes import UnsupportedSource, envelopes_from_kafka, read_envelopes, read_sources
 from hostloom.streaming import jobs
 
@@ -75,22 +79,111 @@ def test_upsert_ignores_order_and_repeats(spark, env, expected, tmp_path):
     table.upsert(rows.filter("seq % 3 = 1"), "b")
     table.upsert(rows.filter("seq % 3 = 2"), "a")
     table.upsert(late, "c")
+    first = rows_of(table.read())
+    assert first == expected
     table.upsert(late, "c")
-    table.upsert(late, "d")
-    assert rows_of(table.read()) == expected
-    old = table.compact("base-1")
-    assert rows_of(table.read()) == expected
-    table.remove(old)
-    assert [p.rsplit("/", 1)[-1] for p in table.parts()] == ["part=base-1"]
+    table.upsert(late.limit(0), "d")
+    assert table.versions() == [1, 2, 3, 4]
+    assert rows_of(table.read()) == expected == rows_of(table.read(3))
+    assert table.vacuum(keep=2) > 0
+    assert table.versions() == [3, 4] and rows_of(table.read()) == expected
+
+
+def files_under(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*.parquet"))
+
+
+def test_readers_open_one_folder_per_bucket_after_many_batches(spark, env, expected, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), buckets=4)
+    rows = I.accepted(env).drop("doc").cache()
+    for i in range(6):
+        table.upsert(rows.filter(F.col("seq") % 6 == i), str(i))
     assert rows_of(table.read()) == expected
-    with pytest.raises(ValueError):
-        table.compact("base-1")
+    opened = {f.split("?")[0].rsplit("/", 1)[0] for f in table.reduced().inputFiles()}
+    assert len(opened) == 4 and len(table.reduced().inputFiles()) == 4
+
+
+def test_an_upsert_writes_touched_buckets_only(spark, env, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), buckets=8)
+    rows = I.accepted(env).drop("doc")
+    table.upsert(rows, "1")
+    before = table.version()
+    machine = rows.first().client_id
+    table.upsert(rows.filter(F.col("client_id") == machine), "2")
+    after = table.version()
+    changed = [b for b in after.folders if after.folders[b] != before.folders[b]]
+    assert len(changed) == 1 and len(before.folders) == 8
+    assert rows_of(table.read()) == rows_of(table.read(before.number))
+
+
+def test_two_writers_at_once_lose_nothing(spark, env, expected, tmp_path):
+    """A writer finds its number taken: by one that changed other buckets, then by one that changed the same."""
+    rows = I.accepted(env).drop("doc").cache()
+    path = str(tmp_path / "t")
+    mine, other = SnapshotTable(spark, path, buckets=4), SnapshotTable(spark, path, buckets=4)
+    commit, rivals, merges = mine._commit, [rows.filter("seq % 3 = 1"), rows.filter("seq % 3 = 2")], []
+
+    def late_commit(version):
+        if rivals:
+            other.upsert(rivals.pop(), "rival")
+        return commit(version)
+
+    merged = mine._merged
+    mine._commit = late_commit
+    mine._merged = lambda *a: merges.append(1) or merged(*a)
+    mine.upsert(rows.filter("seq % 3 = 0"), "mine")
+    assert rows_of(other.read()) == expected
+    assert other.versions() == [1, 2, 3] and len(merges) == 3
+    # the folders of the two attempts in vain are gone
+    assert {f.split("/")[0] for f in files_under(tmp_path / "t" / "data")} == {
+        f for n in other.versions() for f in other.version(n).folders.values()}
+
+
+def test_writers_in_threads(spark, env, expected, tmp_path):
+    rows = I.accepted(env).drop("doc").cache()
+    tables = [SnapshotTable(spark, str(tmp_path / "t"), buckets=2) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: tables[i].upsert(rows.filter(F.col("seq") % 3 == i), str(i)), range(3)))
+    assert rows_of(tables[0].read()) == expected and tables[0].versions() == [1, 2, 3]
+
+
+def test_a_taken_number_is_refused(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    version = Version(1, 16, {3: "x"})
+    assert table._commit(version) and not table._commit(version)
+    assert table.version() == version
+    assert sorted(p.name for p in (tmp_path / "t" / "versions").iterdir() if p.suffix == ".json") == ["000000000001.json"]
+
+
+def test_equal_times_go_by_number(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), buckets=2)
+    for seq in (5, 9, 7):
+        one = envelopes(spark, [host('{"hostname":"h%d"}' % seq)], client="m").withColumn("seq", F.lit(seq).cast("long"))
+        table.upsert(I.accepted(one).drop("doc"), str(seq))
+    assert [(r.host_name, r.seq) for r in table.read().collect()] == [("h9", 9)]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_latest_rows_are_fetched_by_list_or_by_bitmap(spark, env, expected, limit):
+    rows = I.accepted(env).drop("doc")
+    assert rows_of(I.as_snapshots(I.reduce_to_latest(rows, env, limit))) == expected
+    twice = rows.union(rows)
+    assert rows_of(I.as_snapshots(I.reduce_to_latest(twice, limit=limit))) == expected
+
+
+def test_latest_carries_no_payload_through_a_sort(spark, env):
+    snapshots = I.latest_snapshots(env)
+    assert "SortAggregate" not in snapshots._jdf.queryExecution().toString()
+    state = I.accepted(env).groupBy("client_id").agg(
+        F.min("arrival_ts"), F.max_by(F.xxhash64("payload"), place_of(env, I.RECENCY)))
+    plan = state._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def broken():
     def put(rows, batch):
         raise OSError("down")
-    return Sink("broken", lambda rows: rows, put)
+    return Sink("broken", F.lit(True), put)
 
 
 def test_fan_out_goes_on_after_a_failure(spark, env, expected, tmp_path):
@@ -118,9 +211,7 @@ def test_an_empty_batch(spark, env, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"))
     sinks = [record_files_sink(str(tmp_path / "k")), table.sink(), quarantine_sink(str(tmp_path / "q"))]
     for rows in (spark.createDataFrame([], ENVELOPE), env.filter("seq < 0"), env.filter(F.lit(False))):
-        for persist in (True, False):
-            assert [(r.status, r.rows, r.bytes) for r in fan_out(rows, sinks, persist=persist).collect()] == [
-                ("success", 0, 0)] * 3
+        assert [(r.status, r.rows, r.bytes) for r in fan_out(rows, sinks).collect()] == [("success", 0, 0)] * 3
     assert table.read().count() == 0
 
 
@@ -147,10 +238,12 @@ def test_sink_plan(spark, tmp_path, caplog):
 def test_snapshot_columns_and_merge_sql(env):
     row = snapshot_columns(I.latest_snapshots(env)).first()
     assert row.stats.startswith('{"cpu":') and row.ips.startswith("[")
-    date, update, insert = merge_statements("t", "s")
+    assert row.seq is not None
+    insert, date, update = merge_statements("t", "s")
     assert "LEAST(t.created_at, s.created_at)" in date
-    assert update.startswith("UPDATE t") and update.endswith("WHERE s.updated_at > t.updated_at")
-    assert "WHERE t.machine_id IS NULL" in insert
+    assert update.startswith("UPDATE t") and update.endswith("WHERE (s.updated_at, s.seq) > (t.updated_at, t.seq)")
+    assert "WHERE t.machine_id IS NULL" in insert and "t.seq = s.seq" in update
+    assert "UNIQUE KEY uk_machine_id (machine_id)" in table_statements("t")[0]
 
 
 def test_ensure_tables_adds_missing_columns(spark):
@@ -159,7 +252,7 @@ def test_ensure_tables_adds_missing_columns(spark):
     try:
         partial = type(SNAPSHOT)(SNAPSHOT.fields[:6])
         assert ensure_tables(spark, name, schema=partial) == []
-        assert ensure_tables(spark, name) == ["updated_at", "deleted_at"]
+        assert ensure_tables(spark, name) == ["updated_at", "deleted_at", "seq"]
         assert ensure_tables(spark, name) == []
         assert spark.table(f"{name}.t_host_snapshots").columns == SNAPSHOT.fieldNames()
     finally:
@@ -183,7 +276,7 @@ def test_ingest_in_small_batches_equals_batch(spark, env, expected, tmp_path):
 
     run()
     # a bounded trigger makes rows wait and drops none
-    assert len(table.parts()) == 3
+    assert len(table.versions()) == 3
     assert rows_of(table.read()) == expected
     delivered = spark.read.parquet(str(tmp_path / "log")).groupBy("sink_type", "status").agg(F.sum("rows").alias("n"))
     totals = {(r.sink_type, r.status): r.n for r in delivered.collect()}
@@ -195,7 +288,7 @@ def test_ingest_in_small_batches_equals_batch(spark, env, expected, tmp_path):
     land(more.withColumn("seq", F.lit(10**9).cast("long")).coalesce(1), src)
     run()
     assert table.read().filter("machine_id = 'extra'").first().host_name == "new"
-    assert len(table.parts()) == 4
+    assert len(table.versions()) == 4
 
 
 def test_a_failing_batch_is_replayed(spark, env, tmp_path):
@@ -211,11 +304,11 @@ def test_a_failing_batch_is_replayed(spark, env, tmp_path):
         run([table.sink(), broken()])
     first = rows_of(table.read())
     run([table.sink(), record_files_sink(str(tmp_path / "k"))])
-    assert rows_of(table.read()) == first and len(table.parts()) == 1
+    assert rows_of(table.read()) == first and len(table.versions()) == 2
     assert spark.read.parquet(str(tmp_path / "k")).count() > 0
 
 
-def test_a_new_checkpoint_does_not_replace_old_parts(spark, tmp_path):
+def test_a_new_checkpoint_does_not_replace_old_rows(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"))
     for name in ("one", "two"):
         src = str(tmp_path / name)
@@ -242,24 +335,41 @@ def lease_log(spark):
         (6, 0, "c", "PUT", "", 1), (7, 0, "free", "PUT", "", None), (8, 5000, "z", "PUT", "", 6)])
 
 
-def test_unfinished_parts_are_not_read(spark, env, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"))
+def test_folders_without_a_manifest_are_not_read(spark, env, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), buckets=2)
     table.upsert(I.accepted(env).drop("doc"), "1")
     first = rows_of(table.read())
-    land(env.limit(5), str(tmp_path / "t" / "part=2"))
-    (tmp_path / "t" / "part=2" / "_SUCCESS").unlink()
-    assert len(table.parts()) == 1 and rows_of(table.read()) == first
+    land(env.limit(5), str(tmp_path / "t" / "data" / "lost" / "bucket=0"))
+    (tmp_path / "t" / "versions" / ".draft-lost").write_text("{")
+    assert rows_of(table.read()) == first and table.versions() == [1]
+    assert table.vacuum() == 0 and (tmp_path / "t" / "data" / "lost").exists()
 
 
-def test_compaction_folds_many_parts(spark, env, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"))
-    rows = I.accepted(env).drop("doc")
-    for i in range(3):
-        table.upsert(rows.filter(F.col("seq") % 3 == i), str(i))
-    want = rows_of(table.read())
-    assert jobs.compact(table, "all", at_least=4) == [] and len(table.parts()) == 3
-    assert len(jobs.compact(table, "all", at_least=3, retire=True)) == 3
-    assert len(table.parts()) == 1 and rows_of(table.read()) == want
+def test_a_failing_sink_costs_no_second_pass(spark, env, tmp_path):
+    """The source is read for judging once, however many sinks there are and whether they fail."""
+    src = str(tmp_path / "src")
+    land(env, src)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = read_envelopes(spark, src)
+    counted = rows.mapInArrow(count, rows.schema)
+    sinks = [broken(), record_files_sink(str(tmp_path / "k")), broken(), quarantine_sink(str(tmp_path / "q"))]
+    outcomes = fan_out(counted, sinks).collect()
+    assert reads.value == rows.count()
+    assert [r.rows for r in outcomes][0] == rows.count() == [r.rows for r in outcomes][2]
+
+
+def test_scratch_folders_go(spark, env, tmp_path):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    table = SnapshotTable(spark, str(tmp_path / "t"), buckets=2)
+    fan_out(env, [table.sink(), broken()])
+    assert set(root.iterdir()) == before
 
 
 def test_watch_stream(spark, tmp_path):
