@@ -280,3 +280,5 @@ SELECT user_id, count(*) AS total, count(*) FILTER (WHERE value < before) AS out
     "stm_latest": _LATEST,
     "stm_watch": f"WITH {_CHANGES} SELECT rev, op AS event, svc_key, val FROM c WHERE cust % 3 = 0",
 }
+# the stream's spans are those of the batch
+ORACLES["stm_leases"] = ORACLES["reg_lease_spans"]

@@ -6,6 +6,7 @@ A query only joins a view with operators and names its output columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from hostloom.operators import registry as R
 from hostloom.operators import reports as RP
 from hostloom.operators import sessions as S
 from hostloom.plans import views as V
-from hostloom.schemas import NIC, SERVICE_ENDPOINT, SERVICE_INFO
+from hostloom.schemas import CHANGE, NIC, SERVICE_ENDPOINT, SERVICE_INFO
 from hostloom.session import shared_dir
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
@@ -666,3 +667,15 @@ def stm_watch(spark, sf_dir):
     jobs.watch_events(stream, "/registry/databus/", f"{base}/events", f"{base}/checkpoint",
                       prefix=True, available_now=True).awaitTermination()
     return spark.read.schema("rev bigint, event string, svc_key string, val string").parquet(f"{base}/events")
+
+
+@query
+def stm_leases(spark, sf_dir):
+    base = shared_dir(spark, "leases")
+    # when the table ends, time moves on until every lease has run out
+    spark.createDataFrame([(2**62, datetime(2100, 1, 1), None, "TICK", None, None)], CHANGE).write.parquet(f"{base}/tick")
+    tick = read_changes(spark, f"{base}/tick", streaming=True)
+    stream = V.as_changes(_events_stream(spark, sf_dir, "orders")).unionByName(tick)
+    jobs.lease_spans(stream, f"{base}/spans", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.schema(
+        "svc_key string, started_at timestamp_ntz, ended_at timestamp_ntz, ended_by string, puts bigint").parquet(f"{base}/spans")

@@ -13,6 +13,7 @@ from hostloom.operators.registry import watch
 from hostloom.session import scratch
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.snapshots import SnapshotTable
+from hostloom.streaming.leases import lease_events
 
 
 def _batch_name(checkpoint: str, batch_id: int) -> str:
@@ -63,3 +64,10 @@ def watch_events(changes: DataFrame, key: str, out: str, checkpoint: str, prefix
     """Put and delete events of a key or prefix, appended to Parquet files."""
     rows = watch(changes, key, prefix)
     return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)
+
+
+def lease_spans(changes: DataFrame, out: str, checkpoint: str, delay: str = "10 seconds",
+                available_now: bool = False) -> StreamingQuery:
+    """Lease spans as they end, appended to Parquet files."""
+    rows = lease_events(changes, delay)
+    return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)

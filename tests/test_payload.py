@@ -169,9 +169,13 @@ def test_list_hosts_default(spark):
 
 
 def test_reason_is_computed_once(spark):
-    plan = I.latest_snapshots(envelopes(spark, [host("{}")]))._jdf.queryExecution().executedPlan().toString()
+    env = envelopes(spark, [host("{}")])
+    judged = I.accepted(env).drop("doc").groupBy("client_id").agg(F.max("seq"))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
     before_shuffle = plan[plan.index("Exchange"):]
     assert before_shuffle.count("from_json(") == 1
+    # the rows that won are not judged again, only decoded
+    assert I.latest_snapshots(env)._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
 
 
 def test_keys_of_any_case_reach_the_sample(spark):

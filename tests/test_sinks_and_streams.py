@@ -1,3 +1,4 @@
+import random
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -8,12 +9,14 @@ from test_payload import envelopes, host
 
 from hostloom.functions.order import place_of
 from hostloom.operators import ingest as I
+from hostloom.operators import registry
 from hostloom.plans import views as V
 from hostloom.schemas import ENVELOPE, SNAPSHOT
 from hostloom.sinks.base import FanOutError, Sink, fan_out
 from hostloom.sinks.config import SinkConfigError, ensure_tables, plan_sinks
 from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
 from hostloom.sinks.snapshots import SnapshotTable, Version, merge_statements, quarantine_sink, snapshot_columns, table_statements
+from hostloom.sources.changes import read_changes
 from hostloom.sources.envelopes import UnsupportedSource, envelopes_from_kafka, read_envelopes, read_sources
 from hostloom.streaming import jobs
 
@@ -375,7 +378,39 @@ def test_scratch_folders_go(spark, env, tmp_path):
 def test_watch_stream(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     lease_log(spark).write.parquet(src)
-    from hostloom.sources.changes import read_changes
     jobs.watch_events(read_changes(spark, src, streaming=True), "b", out, str(tmp_path / "cp"),
                       available_now=True).awaitTermination()
     assert [r.event for r in spark.read.parquet(out).orderBy("rev").collect()] == ["PUT", "DELETE"]
+
+
+def spans_of(df):
+    return sorted((r.svc_key, r.started_at, r.ended_at, r.ended_by, r.puts) for r in df.collect())
+
+
+def test_lease_stream_equals_batch_over_restarts(spark, tmp_path):
+    """Changes come in several files and runs; state and timers go on from the checkpoint."""
+    rng = random.Random(11)
+    log, second = [], 0
+    for rev in range(120):
+        second += rng.randrange(40)
+        op = rng.choice(["PUT", "PUT", "PUT", "DELETE", "OTHER"])
+        ttl = rng.choice([None, 1, 30, 60, 120]) if op == "PUT" else None
+        log.append((rev, second, f"k{rng.randrange(5)}", op, "", ttl))
+    # a put at the very end of a lease still renews it
+    log += [(200, 9000, "edge", "PUT", "", 60), (201, 9060, "edge", "PUT", "", 60)]
+    whole = changes(spark, log)
+    src, out, checkpoint = (str(tmp_path / n) for n in ("src", "out", "cp"))
+
+    def run(rows):
+        if rows is not None:
+            changes(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        jobs.lease_spans(read_changes(spark, src, streaming=True), out, checkpoint, available_now=True).awaitTermination()
+        return spans_of(spark.read.parquet(out))
+
+    run(log[:50])
+    early = run(log[50:90])
+    assert run(None) == early  # a restart without news changes nothing
+    assert early and set(early) < set(spans_of(registry.lease_spans(whole)))
+    run(log[90:])
+    # time goes on: leases run out though no change of their keys comes
+    assert run([(999, 50_000, "other", "DELETE", "", None)]) == spans_of(registry.lease_spans(whole))
