@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.text import metric_name
-from hostloom.operators.skew import spread_join
+from hostloom.operators.scan import RUN, across, cut, inside, stored, summed, upto
 
 
 def counter(deltas: DataFrame, labels: Sequence[str], delta: str = "delta") -> DataFrame:
@@ -23,28 +23,32 @@ def counter_rejects(deltas: DataFrame, delta: str = "delta") -> DataFrame:
     return deltas.filter(~(F.coalesce(F.col(delta) >= 0, F.lit(False))))
 
 
-def gauge(ops: DataFrame, series: Sequence[str] = ("series",), order: str = "seq") -> DataFrame:
+def gauge(ops: DataFrame, series: Sequence[str] = ("series",), order: Sequence[str] = ("seq",),
+          runs: int | None = None) -> DataFrame:
     """Value per series after ``set``, ``inc``, ``dec`` and ``add`` in ``order``.
 
-    It is the last set value plus the signed changes behind it. The last set
-    of each series is one small row; a series with very many changes is dealt
-    over several tasks before they are summed.
+    A run of operations is a function of the value before it: it is set to something or
+    not, and then changed by an amount. Runs are folded each on their own, and the
+    results of a series in their order: what comes before the last set does not count.
     """
-    series = list(series)
+    series, order = list(series), list(order)
     is_set = F.col("op") == "set"
-    last_set = ops.filter(is_set).groupBy(*series).agg(
-        F.max(order).alias("_set_at"), F.max_by("value", order).alias("_base"))
     change = (
         F.when(F.col("op") == "inc", F.lit(1.0))
         .when(F.col("op") == "dec", F.lit(-1.0))
         .when(F.col("op") == "add", F.col("value"))
     )
-    changes = ops.filter(~is_set).select(*series, order, change.alias("_change"))
-    behind = spread_join(changes, last_set.select(*series, "_set_at"), series, "left", [order]).filter(
-        F.col("_set_at").isNull() | (F.col(order) > F.col("_set_at")))
-    parts = behind.select(*series, F.col("_change").alias("_part")).unionByName(
-        last_set.select(*series, F.col("_base").alias("_part")))
-    return parts.groupBy(*series).agg(F.sum("_part").alias("value"))
+    parts = cut(ops.select(*series, *order, is_set.alias("_set"), F.when(is_set, F.col("value")).otherwise(change).alias(
+        "_amount")), series, order, runs)
+    sets = F.count_if("_set")
+    parts = parts.withColumn("_sets", sets.over(upto(inside(series, order)))).withColumn(
+        "_all", sets.over(Window.partitionBy(*series, RUN)))
+    # only the last set of a run and what follows it can count
+    folded = parts.filter(F.col("_sets") == F.col("_all")).groupBy(*series, RUN).agg(
+        F.max(F.col("_set").cast("int")).alias("_set"), F.sum("_amount").alias("_amount"))
+    later = across(series).rowsBetween(1, Window.unboundedFollowing)
+    standing = folded.withColumn("_later", F.coalesce(F.max("_set").over(later), F.lit(0))).filter("_later = 0")
+    return standing.groupBy(*series).agg(F.sum("_amount").alias("value"))
 
 
 def histogram(observations: DataFrame, labels: Sequence[str], value: str,
@@ -68,69 +72,34 @@ def format_bound(bound: float) -> str:
     return str(int(bound)) if float(bound).is_integer() else repr(float(bound))
 
 
-_BLOCKS = 1024
-
-
-def _split_points(rows: DataFrame, value: str) -> Column:
-    """Values that cut ``rows`` into ``_BLOCKS`` about equal blocks, as a literal array.
-
-    Runs one job; the sketch it brings to the driver has a fixed size.
-    """
-    at = [i / _BLOCKS for i in range(1, _BLOCKS)]
-    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), at, 10 * _BLOCKS)).first()[0]
-    points = [p for p in found or [] if math.isfinite(p)]
-    points += [math.inf] * (_BLOCKS - 1 - len(points))
-    return F.expr("array(" + ",".join(f"double('{p!r}')" for p in points) + ")")
-
-
-def _value_block(points: Column, value: Column) -> Column:
-    """Number of split points below ``value``: a binary search."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_BLOCKS.bit_length() - 1))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(F.get(points, at + step - 1) < value, at + step).otherwise(at),
-    ).cast("bigint")
-
-
 def summary(observations: DataFrame, labels: Sequence[str], value: str,
-            quantiles: Sequence[float]) -> DataFrame:
+            quantiles: Sequence[float], runs: int | None = None) -> DataFrame:
     """Exact quantiles per label tuple: the value at rank ``ceil(q·n)``, with sum and count.
 
-    Equal values are counted first. A sketch over all rows, made when this is
-    called, cuts them into about a thousand blocks; the totals of a label's
-    blocks tell in which block a rank lies, and only that block is ordered. No
-    task sorts a whole label tuple.
+    Equal values are counted first. Distinct values are cut into runs, whose totals give
+    the rank of each value; no task orders a whole label tuple. The counted values are
+    written once, so this runs a job when called.
     """
     labels = list(labels)
-    rows = observations.filter(F.col(value).isNotNull())
-    points = _split_points(rows, value)
-    distinct = rows.groupBy(*labels, value).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = distinct.withColumn("_block", _value_block(points, F.col(value)))
-
-    # at most _BLOCKS rows per label tuple from here
-    totals = blocks.groupBy(*labels, "_block").agg(
-        F.sum("_n").alias("_n"), F.sum(F.col(value) * F.col("_n")).alias("_s"))
-    whole = Window.partitionBy(*labels)
-    upto = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    placed = totals.select(
-        *labels, "_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), "_n",
-        F.sum("_n").over(whole).alias("observed_count"), F.sum("_s").over(whole).alias("observed_sum"))
-    q = F.explode(F.array(*[F.lit(Decimal(str(x))) for x in sorted(quantiles)]))
-    rank = F.greatest(F.ceil(F.col("quantile") * F.col("observed_count")).cast("bigint"), F.lit(1))
-    wanted = placed.withColumn("quantile", q).withColumn("_rank", rank - F.col("_before")).filter(
-        F.col("_rank").between(F.lit(1), F.col("_n"))).drop("_before", "_n")
-
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*labels, "_block"]]
-    inside = blocks.alias("b").join(wanted.alias("w"), same).select(
-        *[F.col(f"w.{c}") for c in wanted.columns], F.col(f"b.{value}").alias("value"), F.col("_n"))
-    ordered = Window.partitionBy(*labels, "_block", "quantile").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0)
-    hit = inside.withColumn("_upto", F.sum("_n").over(ordered)).filter(
-        F.col("_rank").between(F.col("_upto") - F.col("_n") + 1, F.col("_upto")))
-    return hit.select(*labels, F.col("quantile").cast("double").alias("quantile"), "value",
+    distinct = observations.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count(F.lit(1)).alias("_n"))
+    parts = stored(distinct, labels, [value], runs)
+    ranked = summed(parts, labels, [value], "_n", "_upto")
+    totals = parts.groupBy(*labels).agg(
+        F.sum("_n").alias("observed_count"), F.sum(F.col(value) * F.col("_n")).alias("observed_sum"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in labels]
+    both = ranked.alias("r").join(totals.alias("t"), same)
+    at = F.explode(F.array(*[F.lit(Decimal(str(x))) for x in sorted(quantiles)]))
+    rank = _rank(F.col("quantile"), F.col("observed_count"))
+    hit = both.select("r.*", "observed_count", "observed_sum", at.alias("quantile")).filter(
+        rank.between(F.col("_upto") - F.col("_n") + 1, F.col("_upto")))
+    return hit.select(*labels, F.col("quantile").cast("double").alias("quantile"), F.col(value).alias("value"),
                       "observed_count", "observed_sum")
 
 
+def _rank(quantile: Column, count: Column) -> Column:
+    return F.greatest(F.ceil(quantile * count).cast("bigint"), F.lit(1))
+
+
 def summary_approx(observations: DataFrame, labels: Sequence[str], value: str,
                    objectives: Mapping[float, float]) -> DataFrame:
     """Quantiles within a tolerance each (``{0.99: 0.001}``), from mergeable sketches in one pass."""
@@ -231,6 +200,78 @@ def _totals(rows: DataFrame, subsystem: str, name: str, labels: Sequence[str]) -
         as_samples(rows, subsystem, f"{name}_count", labels, "observed_count"))
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A metric of table rows: ``labels`` and the ``value`` column it takes.
+
+    With ``bounds`` it is a histogram, with ``quantiles`` a summary, else a counter.
+    """
+
+    name: str
+    labels: tuple[str, ...]
+    value: str
+    bounds: tuple[float, ...] = ()
+    quantiles: tuple[float, ...] = ()
+
+    def contribution(self, number: int) -> Column:
+        """What one row adds: an amount, in a cell of the metric's number and labels."""
+        v = F.col(self.value).cast("double")
+        cell = F.lit(0.0)
+        if self.bounds:
+            cell = F.coalesce(*[F.when(v <= b, F.lit(float(b))) for b in sorted(self.bounds)], F.lit(float("inf")))
+        elif self.quantiles:
+            cell = v
+        counted = v.isNotNull() if self.bounds or self.quantiles else v >= 0
+        labels = F.array(*[F.col(c).cast("string") for c in self.labels]).cast("array<string>")
+        return F.when(counted, F.struct(F.lit(number).alias("number"), labels.alias("tuple"), cell.alias("cell"), v.alias("amount")))
+
+    def _sample(self, suffix: str, value: Column, extra: Mapping[str, str] = {}) -> Column:
+        names = F.array(*[F.lit(c) for c in (*self.labels, *extra)]).cast("array<string>")
+        texts = F.concat(F.col("tuple"), F.array(*[F.lit(t) for t in extra.values()]).cast("array<string>"))
+        return F.struct(F.lit(self.name + suffix).alias("metric"), F.map_from_arrays(names, texts).alias("labels"),
+                        value.cast("double").alias("value"))
+
+    def samples(self, number: int) -> tuple[list[Column], Column]:
+        """Aggregates over a series' cells, and the samples made of them."""
+        total, amount = F.col("observed_count"), F.col("observed_sum")
+        if not self.bounds and not self.quantiles:
+            return [], F.array(self._sample("", amount))
+        both = [self._sample("_sum", amount), self._sample("_count", total)]
+        if self.bounds:
+            names = [f"m{number}_b{i}" for i in range(len(self.bounds))]
+            folds = [F.coalesce(F.max(F.when(F.col("cell") <= float(b), F.col("upto"))), F.lit(0)).alias(n)
+                     for n, b in zip(names, sorted(self.bounds))]
+            cells = [self._sample("_bucket", F.col(n), {"le": format_bound(b)}) for n, b in zip(names, sorted(self.bounds))]
+            return folds, F.array(*cells, self._sample("_bucket", total, {"le": "+Inf"}), *both)
+        names = [f"m{number}_q{i}" for i in range(len(self.quantiles))]
+        folds = [F.min(F.when(F.col("upto") >= _rank(F.lit(Decimal(str(q))), total), F.col("cell"))).alias(n)
+                 for n, q in zip(names, self.quantiles)]
+        return folds, F.array(*[self._sample("", F.col(n), {"quantile": format_bound(q)})
+                                for n, q in zip(names, self.quantiles)], *both)
+
+
+def collected(rows: DataFrame, metrics: Sequence[Metric], runs: int | None = None) -> DataFrame:
+    """Samples of several metrics of any kind from one pass over ``rows``.
+
+    Each row is turned into what it adds to each metric, and one aggregate folds all of
+    it by series and cell: a histogram's bucket, a summary's value. Cells of a series
+    are then counted up in their order, cut into runs where they are many.
+    """
+    added = rows.select(F.explode(F.array(*[m.contribution(i) for i, m in enumerate(metrics)])).alias("c")).filter(
+        F.col("c").isNotNull()).select("c.*")
+    series = ["number", "tuple"]
+    folded = added.groupBy(*series, "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    cells = stored(folded, series, ["cell"], runs)
+    totals = cells.groupBy(*series).agg(F.sum("n").alias("observed_count"), F.sum("amount").alias("observed_sum"))
+    ranked = summed(cells.drop("amount"), series, ["cell"], "n", "upto")
+    made = [m.samples(i) for i, m in enumerate(metrics)]
+    known = ranked.join(totals, series)
+    done = known.groupBy(*series, "observed_count", "observed_sum").agg(
+        F.count(F.lit(1)).alias("cells"), *[f for folds, _ in made for f in folds])
+    shown = F.coalesce(*[F.when(F.col("number") == i, out) for i, (_, out) in enumerate(made)])
+    return done.select(F.inline(shown))
+
+
 def exposition(samples: DataFrame, families: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """The text form: ``family, place, line``, to be written in this order.
 

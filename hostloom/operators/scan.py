@@ -64,15 +64,20 @@ def with_outside(rows: DataFrame, outside: DataFrame, keys: Sequence[str]) -> Da
     return rows.alias("l").join(outside.alias("r"), same, "left").select("l.*", *[F.col(f"r.{c}") for c in new])
 
 
+def summed(parts: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, out: str) -> DataFrame:
+    """Add ``out`` to stored rows: the sum of column ``amount`` over rows of the same key up to and with this one."""
+    totals = parts.groupBy(*keys, RUN).agg(F.sum(amount).alias("_total"))
+    outside = totals.select(*keys, RUN, F.sum("_total").over(earlier(across(keys))).alias("_before"))
+    here = parts.withColumn("_sum", F.sum(amount).over(upto(inside(keys, order))))
+    return with_outside(here, outside, keys).select(
+        *[c for c in parts.columns if c != RUN], (F.col("_sum") + F.coalesce("_before", F.lit(0))).alias(out))
+
+
 def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str,
                 runs: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over rows of the same key up to and with this one."""
     parts = stored(rows.withColumn("_amount", amount), keys, order, runs)
-    totals = parts.groupBy(*keys, RUN).agg(F.sum("_amount").alias("_total"))
-    outside = totals.select(*keys, RUN, F.sum("_total").over(earlier(across(keys))).alias("_before"))
-    summed = parts.withColumn("_sum", F.sum("_amount").over(upto(inside(keys, order))))
-    return with_outside(summed, outside, keys).select(
-        *rows.columns, (F.col("_sum") + F.coalesce("_before", F.lit(0))).alias(out))
+    return summed(parts, keys, order, "_amount", out).drop("_amount")
 
 
 def neighbour(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],

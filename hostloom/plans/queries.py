@@ -505,16 +505,17 @@ def agg_controller_metrics(spark, sf_dir):
     return M.controller_metrics(requests, active).select("metric", _labels_text(), "value")
 
 
+ITEM_METRICS = (
+    M.Metric("databus_records_written_total", ("sink_type", "status"), "delta"),
+    M.Metric("databus_batch_size", ("l_returnflag",), "delta", bounds=(10, 25)),
+    M.Metric("databus_queue_length", ("l_linestatus",), "delta", quantiles=(0.5, 0.9)),
+)
+
+
 def _exposed(spark, sf_dir) -> DataFrame:
-    labels = ["sink_type", "status"]
-    items = V.table(spark, sf_dir, "lineitem")
-    total = M.counter(V.counter_deltas(spark, sf_dir), labels)
-    sizes = M.histogram(items, ["l_returnflag"], "l_quantity", [10, 25])
-    spread = M.summary(items, ["l_linestatus"], "l_quantity", [0.5, 0.9])
-    return (M.as_samples(total, "databus", "records_written_total", labels)
-            .unionByName(M.admin_info(spark))
-            .unionByName(M.histogram_samples(sizes, "databus", "batch_size", ["l_returnflag"]))
-            .unionByName(M.summary_samples(spread, "databus", "queue_length", ["l_linestatus"])))
+    items = V.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "l_returnflag AS sink_type", "l_linestatus AS status", "l_quantity AS delta")
+    return M.collected(items, ITEM_METRICS).unionByName(M.admin_info(spark))
 
 
 FAMILIES = {

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.order import place_of
 from hostloom.operators import hosts, metrics, registry, reports, scan, sessions
-from hostloom.operators.skew import spread_join
 
 RNG = random.Random(7)
 # one key holds about a third of all rows
@@ -70,28 +69,6 @@ def test_place_of_sorts_like_time_and_number(spark):
     assert len({r["at"] for r in rows}) == len(rows)
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_spread_join_equals_join(spark, keyed, how):
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, w long")
-    left = keyed.union(spark.createDataFrame([(9999, None, 1)], keyed.schema))
-    want = sorted(map(tuple, left.join(right, ["k"], how).select("seq", "k", "v", "w").collect()), key=repr)
-    got = spread_join(left, right, ["k"], how, hot_rows=50)
-    assert sorted(map(tuple, got.select("seq", "k", "v", "w").collect()), key=repr) == want
-
-
-def test_spread_join_deals_the_hot_key(spark, keyed):
-    right = spark.createDataFrame([("hot", 1)], "k string, w long")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        rows = spread_join(keyed, right, ["k"], "inner", hot_rows=10)
-        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(sizes) > 1 and max(sizes) < sum(sizes) * 0.6
-
-
 def test_counters_last_row_wins_and_missing_is_zero(spark):
     nics = spark.createDataFrame([("h", "eth0"), ("h", "eth1"), ("g", "eth0")], "host string, if_name string")
     counters = spark.createDataFrame([("h", "eth0", 1, 10), ("h", "eth0", 2, 20), ("h", "x", 1, 5)],
@@ -138,6 +115,43 @@ def test_histogram_bounds_are_inclusive(spark):
     assert {(r.observed_count, r.observed_sum) for r in rows} == {(3, 101.5)}
 
 
+@pytest.mark.parametrize("runs", [1, 3, 20])
+def test_gauge_over_runs(spark, runs):
+    rng = random.Random(runs)
+    rows = [(i * 1000, rng.choice("aab"), rng.choice(["set", "inc", "dec", "add", "add"]), float(rng.randrange(9))) for i in range(400)]
+    want = {}
+    for _, k, op, v in rows:
+        want[k] = v if op == "set" else want.get(k, 0) + {"inc": 1, "dec": -1, "add": v}[op]
+    df = spark.createDataFrame(rows, "seq long, series string, op string, value double")
+    assert {r.series: r.value for r in metrics.gauge(df, runs=runs).collect()} == want
+
+
+def test_several_metrics_in_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y"]), rng.choice([None, -1.0, 2.0, 5.0, 7.5, 40.0, float(rng.randrange(30))]))
+            for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, l string, v double")
+    kinds = [metrics.Metric("n_total", ("k", "l"), "v"), metrics.Metric("size", ("k",), "v", bounds=(0, 5, 10)),
+             metrics.Metric("wait", (), "v", quantiles=(0.5, 0.99))]
+    for runs in (1, 6):
+        got = {(r.metric, tuple(sorted(r.labels.items()))): r.value for r in metrics.collected(df, kinds, runs).collect()}
+        want = {}
+        for k in "ab":
+            for l in "xy":
+                want["n_total", (("k", k), ("l", l))] = sum(v for a, b, v in rows if (a, b) == (k, l) and v is not None and v >= 0)
+            mine = [v for a, _, v in rows if a == k and v is not None]
+            for b in (0, 5, 10):
+                want["size_bucket", (("k", k), ("le", str(b)))] = sum(v <= b for v in mine)
+            want["size_bucket", (("k", k), ("le", "+Inf"))] = want["size_count", (("k", k),)] = len(mine)
+            want["size_sum", (("k", k),)] = sum(mine)
+        every = sorted(v for *_, v in rows if v is not None)
+        for q in (0.5, 0.99):
+            want["wait", (("quantile", str(q)),)] = every[max(math.ceil(q * len(every)), 1) - 1]
+        want["wait_sum", ()], want["wait_count", ()] = sum(every), len(every)
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert metrics.collected(df.limit(0), kinds).collect() == []
+
+
 @pytest.mark.parametrize("spread", [1, 30, 10**6])
 def test_summary_is_exact(spark, spread):
     rows = [("hot" if RNG.random() < 0.5 else f"k{RNG.randrange(4)}", float(RNG.randrange(spread)) / 8)
