@@ -6,6 +6,7 @@ A query only joins a view with operators and names its output columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,17 +55,17 @@ def _joined(c: Column, name: str) -> Column:
     return F.array_join(c, ",").alias(name)
 
 
-def _landed(df: DataFrame, spark: SparkSession, name: str) -> str:
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return path
+def _files(sf_dir: str, name: str) -> str:
+    # written as a pattern, since a stream takes a plain path to be a directory
+    return f"{sf_dir}/{name}.parque[t]"
 
 
-def _events_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = V.table(spark, sf_dir, name)
-    # written as a pattern, since a stream takes a plain path to be a directory
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    return V.dealt(stream)
+def _envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.dealt(read_envelopes(spark, _files(sf_dir, "events"), streaming=True, mapping=V.ENVELOPES))
+
+
+def _change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_changes(spark, _files(sf_dir, "orders"), streaming=True, mapping=V.CHANGES)
 
 
 def _snapshot_out(snapshots: DataFrame) -> DataFrame:
@@ -79,21 +80,20 @@ def _snapshot_out(snapshots: DataFrame) -> DataFrame:
 
 @query
 def src_envelopes(spark, sf_dir):
-    rows = read_envelopes(spark, _landed(V.envelopes(spark, sf_dir), spark, "envelopes"))
+    rows = read_envelopes(spark, f"{sf_dir}/events.parquet", mapping=V.ENVELOPES)
     return rows.select("seq", "arrival_ts", "conn_id", "client_id", _text("payload"))
 
 
 @query
 def src_union(spark, sf_dir):
-    env = V.envelopes(spark, sf_dir)
-    listeners = (env.filter("seq % 2 = 0"), env.filter("seq % 2 = 1"))
-    configs = [{"type": "agent", "config": {"path": _landed(e, spark, "listener")}} for e in listeners]
+    listeners = (replace(V.ENVELOPES, where=f"event_id % 2 = {i}") for i in (0, 1))
+    configs = [{"type": "agent", "config": {"path": f"{sf_dir}/events.parquet", "mapping": m}} for m in listeners]
     return read_sources(spark, configs).select("seq", "conn_id", "client_id")
 
 
 @query
 def src_changes(spark, sf_dir):
-    return read_changes(spark, _landed(V.changes(spark, sf_dir), spark, "changes"))
+    return read_changes(spark, f"{sf_dir}/orders.parquet", mapping=V.CHANGES)
 
 
 # --- sinks -----------------------------------------------------------------
@@ -647,7 +647,7 @@ def stm_ingest(spark, sf_dir):
     base = shared_dir(spark, "ingest")
     table = SnapshotTable(spark, f"{base}/snapshots")
     sinks = [record_files_sink(f"{base}/records"), table.sink(), quarantine_sink(f"{base}/quarantine")]
-    stream = V.as_envelopes(_events_stream(spark, sf_dir, "events"))
+    stream = _envelope_stream(spark, sf_dir)
     jobs.ingest(stream, sinks, f"{base}/checkpoint", f"{base}/deliveries", available_now=True).awaitTermination()
     return _snapshot_out(table.read())
 
@@ -656,7 +656,7 @@ def stm_ingest(spark, sf_dir):
 def stm_latest(spark, sf_dir):
     base = shared_dir(spark, "latest")
     table = SnapshotTable(spark, f"{base}/snapshots")
-    stream = V.as_envelopes(_events_stream(spark, sf_dir, "events"))
+    stream = _envelope_stream(spark, sf_dir)
     jobs.latest(stream, table, f"{base}/checkpoint", available_now=True).awaitTermination()
     return _snapshot_out(table.read())
 
@@ -664,7 +664,7 @@ def stm_latest(spark, sf_dir):
 @query
 def stm_watch(spark, sf_dir):
     base = shared_dir(spark, "watch")
-    stream = V.as_changes(_events_stream(spark, sf_dir, "orders"))
+    stream = _change_stream(spark, sf_dir)
     jobs.watch_events(stream, "/registry/databus/", f"{base}/events", f"{base}/checkpoint",
                       prefix=True, available_now=True).awaitTermination()
     return spark.read.schema("rev bigint, event string, svc_key string, val string").parquet(f"{base}/events")
@@ -676,7 +676,7 @@ def stm_leases(spark, sf_dir):
     # when the table ends, time moves on until every lease has run out
     spark.createDataFrame([(2**62, datetime(2100, 1, 1), None, "TICK", None, None)], CHANGE).write.parquet(f"{base}/tick")
     tick = read_changes(spark, f"{base}/tick", streaming=True)
-    stream = V.as_changes(_events_stream(spark, sf_dir, "orders")).unionByName(tick)
+    stream = _change_stream(spark, sf_dir).unionByName(tick)
     jobs.lease_spans(stream, f"{base}/spans", f"{base}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema(
         "svc_key string, started_at timestamp_ntz, ended_at timestamp_ntz, ended_by string, puts bigint").parquet(f"{base}/spans")

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hostloom.schemas import CHANGE, ENVELOPE
+from hostloom.sources.mapping import ColumnMapping
+
 ENVELOPE_KIND = """
 CASE WHEN event_id % 101 = 0 THEN 'greeting'
      WHEN event_id % 83 = 0 THEN 'empty'
@@ -49,22 +52,28 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(n)) if n else rows
 
 
-def as_envelopes(events: DataFrame) -> DataFrame:
-    """Events as envelopes; works on a batch or a streaming DataFrame."""
-    kinds = events.selectExpr("*", f"{ENVELOPE_KIND} AS kind", f"{NIC1} AS nic1", f"{NIC2} AS nic2")
-    return kinds.selectExpr(
-        "event_id AS seq",
-        "ts AS arrival_ts",
-        "'10.0.0.' || CAST(user_id % 4 AS STRING) || ':5000#' || CAST(user_id % 8 AS STRING) AS conn_id",
-        "CASE WHEN kind IN ('greeting', 'no_client') THEN '' "
-        "ELSE 'host-' || CAST(user_id AS STRING) END AS client_id",
-        "map('kind', kind) AS headers",
-        f"""CAST(CASE WHEN kind IN ('greeting', 'empty') THEN ''
+EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+ENVELOPES = ColumnMapping(
+    EVENT_COLUMNS,
+    derived={"kind": ENVELOPE_KIND, "nic1": NIC1, "nic2": NIC2},
+    columns={
+        "seq": "event_id",
+        "arrival_ts": "ts",
+        "conn_id": "'10.0.0.' || CAST(user_id % 4 AS STRING) || ':5000#' || CAST(user_id % 8 AS STRING)",
+        "client_id": "CASE WHEN kind IN ('greeting', 'no_client') THEN '' ELSE 'host-' || CAST(user_id AS STRING) END",
+        "headers": "map('kind', kind)",
+        "payload": f"""CASE WHEN kind IN ('greeting', 'empty') THEN ''
               WHEN kind = 'malformed' THEN '{{bad'
               WHEN kind = 'heartbeat' THEN '{{"PluginName":"file","EventName":"file","Data":null}}'
               WHEN kind = 'null_data' THEN '{{"PluginName":"host","EventName":"","Data":null}}'
-              ELSE {HOST_PAYLOAD} END AS BINARY) AS payload""",
-    )
+              ELSE {HOST_PAYLOAD} END""",
+    })
+
+
+def as_envelopes(events: DataFrame) -> DataFrame:
+    """Events as envelopes; works on a batch or a streaming DataFrame."""
+    return ENVELOPES.apply(events, ENVELOPE)
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,17 +110,25 @@ def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag AS sink_type", "l_linestatus AS status", "l_quantity AS delta")
 
 
-def as_changes(orders: DataFrame) -> DataFrame:
-    return orders.selectExpr(
+ORDER_COLUMNS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
+
+CHANGES = ColumnMapping(
+    ORDER_COLUMNS,
+    columns={
         # revisions rise with time
-        "CAST(datediff(CAST(o_orderdate AS DATE), DATE'1992-01-01') AS BIGINT) * 10000000 + o_orderkey AS rev", "o_orderdate AS ts",
-        "'/registry/' || CASE WHEN o_custkey % 3 = 0 THEN 'databus' WHEN o_custkey % 3 = 1 THEN 'controller' "
-        "ELSE 'admin' END || '/self/' || CAST(o_custkey AS STRING) AS svc_key",
-        "CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS op",
-        "CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'tcp://10.0.0.' || CAST(o_custkey % 250 AS STRING) || ':' "
-        "|| CAST(1024 + o_orderkey % 60000 AS STRING) END AS val",
-        "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 86400 * (1 + o_custkey % 400) END AS ttl_s",
-    )
+        "rev": "CAST(datediff(CAST(o_orderdate AS DATE), DATE'1992-01-01') AS BIGINT) * 10000000 + o_orderkey",
+        "ts": "o_orderdate",
+        "svc_key": "'/registry/' || CASE WHEN o_custkey % 3 = 0 THEN 'databus' WHEN o_custkey % 3 = 1 THEN 'controller' "
+                   "ELSE 'admin' END || '/self/' || CAST(o_custkey AS STRING)",
+        "op": "CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END",
+        "val": "CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'tcp://10.0.0.' || CAST(o_custkey % 250 AS STRING) || ':' "
+               "|| CAST(1024 + o_orderkey % 60000 AS STRING) END",
+        "ttl_s": "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 86400 * (1 + o_custkey % 400) END",
+    })
+
+
+def as_changes(orders: DataFrame) -> DataFrame:
+    return CHANGES.apply(orders, CHANGE)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,10 +58,16 @@ def staged(rows: DataFrame, counts: Sequence[Column]) -> tuple[DataFrame, dict]:
     return rows.sparkSession.read.schema(schema).parquet(path), seen.get
 
 
+# the outcome row of the batch itself
+RECEIVED = "received"
+
+
 def fan_out(envelopes: DataFrame, sinks: Sequence[Sink], batch: str = "0",
-            on_error: str = "continue") -> DataFrame:
+            on_error: str = "continue", received: bool = False) -> DataFrame:
     """Give every row to every sink in order; return one outcome row per sink.
 
+    With ``received`` a first row tells how many rows and bytes the batch had.
+
     The batch is judged, written and counted once; sinks read what was written, so
     neither their number nor a failing one costs another pass over the source. A
     failing sink does not stop the others. With ``on_error="continue"`` the call
@@ -70,9 +76,10 @@ def fan_out(envelopes: DataFrame, sinks: Sequence[Sink], batch: str = "0",
     """
     spark = envelopes.sparkSession
     rows = judged(envelopes)
-    if not sinks:
+    if not sinks and not received:
         write_noop(rows)
         return spark.createDataFrame([], OUTCOME)
+    sinks = [Sink(RECEIVED, F.lit(True), lambda rows, batch: None)] * received + list(sinks)
     outcomes, errors = [], []
     with scratch(spark):
         rows, volumes = staged(rows, _volumes(sinks))

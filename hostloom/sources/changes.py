@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hostloom.schemas import CHANGE
+from hostloom.sources.mapping import ColumnMapping, load
 
 PUT = "PUT"
 DELETE = "DELETE"
 
 
 def read_changes(spark: SparkSession, path: str, streaming: bool = False,
-                 fmt: str = "parquet") -> DataFrame:
-    return (spark.readStream if streaming else spark.read).format(fmt).schema(CHANGE).load(path)
+                 fmt: str = "parquet", mapping: ColumnMapping | None = None) -> DataFrame:
+    """Changes landed as files, or any files with ``mapping`` telling how they are changes."""
+    return load(spark, path, CHANGE, fmt, streaming, mapping)

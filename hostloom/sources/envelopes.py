@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostloom.schemas import ENVELOPE
+from hostloom.sources.mapping import ColumnMapping, load
 
 
 class UnsupportedSource(ValueError):
@@ -16,16 +17,19 @@ class UnsupportedSource(ValueError):
 
 
 def read_envelopes(spark: SparkSession, path: str, streaming: bool = False,
-                   fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+                   fmt: str = "parquet", max_files_per_trigger: int | None = None,
+                   max_bytes_per_trigger: int | None = None, mapping: ColumnMapping | None = None) -> DataFrame:
     """Envelopes landed as files, one row per message.
 
-    ``max_files_per_trigger`` bounds a micro-batch; waiting rows stay in the
-    source and none is dropped.
+    A micro-batch takes ``max_files_per_trigger`` files or files of ``max_bytes_per_trigger``
+    in all, at least one; waiting rows stay in the source and none is dropped. ``mapping``
+    reads files with other columns in place.
     """
-    reader = (spark.readStream if streaming else spark.read).format(fmt).schema(ENVELOPE)
-    if streaming and max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("a trigger is bounded by files or by bytes, not by both")
+    bounds = {"maxFilesPerTrigger": max_files_per_trigger, "maxBytesPerTrigger": max_bytes_per_trigger}
+    options = {k: v for k, v in bounds.items() if streaming and v}
+    return load(spark, path, ENVELOPE, fmt, streaming, mapping, options)
 
 
 def read_kafka(spark: SparkSession, brokers: str, topic: str, streaming: bool = True,
@@ -56,7 +60,8 @@ def envelopes_from_kafka(records: DataFrame) -> DataFrame:
 def read_sources(spark: SparkSession, configs: Sequence[Mapping], streaming: bool = False) -> DataFrame:
     """All configured sources as one DataFrame; duplicates are kept.
 
-    Only type ``agent`` is known. One bad entry fails the whole build.
+    Only type ``agent`` is known, with ``path`` and perhaps ``format`` and ``mapping``. One
+    bad entry fails the whole build.
     """
     frames = []
     for entry in configs:
@@ -65,7 +70,8 @@ def read_sources(spark: SparkSession, configs: Sequence[Mapping], streaming: boo
         options = dict(entry.get("config") or {})
         if not options.get("path"):
             raise ValueError("source config needs a path")
-        frames.append(read_envelopes(spark, options["path"], streaming, options.get("format", "parquet")))
+        frames.append(read_envelopes(spark, options["path"], streaming, options.get("format", "parquet"),
+                                     mapping=options.get("mapping")))
     if not frames:
         return spark.createDataFrame([], ENVELOPE)
     return reduce(DataFrame.unionByName, frames)

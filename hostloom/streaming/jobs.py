@@ -31,12 +31,13 @@ def ingest(envelopes: DataFrame, sinks: Sequence[Sink], checkpoint: str,
            available_now: bool = False) -> StreamingQuery:
     """Envelopes to all sinks, at least once.
 
-    ``delivery_log`` is a folder for the outcome of each sink and batch. With
+    ``delivery_log`` is a folder for the rows and bytes of each batch and the outcome of
+    each sink. With
     ``on_error="fail"`` a failing sink fails the batch, which is then replayed.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _batch_name(checkpoint, batch_id)
-        outcomes = fan_out(batch, sinks, name, on_error)
+        outcomes = fan_out(batch, sinks, name, on_error, received=bool(delivery_log))
         if delivery_log:
             outcomes.coalesce(1).write.mode("overwrite").parquet(f"{delivery_log.rstrip('/')}/batch={name}")
 

@@ -18,6 +18,7 @@ from hostloom.sinks.kafka import record_files_sink, to_kafka_rows
 from hostloom.sinks.snapshots import SnapshotTable, Version, merge_statements, quarantine_sink, snapshot_columns, table_statements
 from hostloom.sources.changes import read_changes
 from hostloom.sources.envelopes import UnsupportedSource, envelopes_from_kafka, read_envelopes, read_sources
+from hostloom.sources.mapping import ColumnMapping
 from hostloom.streaming import jobs
 
 
@@ -294,6 +295,43 @@ def test_ingest_in_small_batches_equals_batch(spark, env, expected, tmp_path):
     assert len(table.versions()) == 4
 
 
+def test_a_trigger_is_bounded_by_bytes(spark, tmp_path):
+    """Files of unequal size: batches take files up to the bound, a larger file by itself, and the log tells it."""
+    src, log = tmp_path / "src", str(tmp_path / "log")
+    for i, rows in enumerate([5, 5, 5, 4000, 5, 5]):
+        body = host('{"os":"%s"}')
+        many = envelopes(spark, [body % random.Random(f"{i}.{j}").randbytes(40).hex() for j in range(rows)], client=f"c{i}")
+        land(many.coalesce(1), str(src))
+    sizes = sorted(p.stat().st_size for p in src.glob("*.parquet"))
+    bound = 3 * sizes[4]
+    assert sizes[5] > bound
+    stream = read_envelopes(spark, str(src), streaming=True, max_bytes_per_trigger=bound)
+    jobs.ingest(stream, [quarantine_sink(str(tmp_path / "q"))], str(tmp_path / "cp"), log, available_now=True).awaitTermination()
+    batches = spark.read.parquet(log).filter("sink_type = 'received'").orderBy("batch").collect()
+    assert sum(r.rows for r in batches) == 4025 and len(batches) >= 3
+    assert [r.rows for r in batches if r.rows >= 4000] and all(r.rows <= 15 for r in batches if r.rows < 4000)
+    assert all(r.bytes > 80 * r.rows for r in batches)
+    with pytest.raises(ValueError):
+        read_envelopes(spark, str(src), True, max_files_per_trigger=1, max_bytes_per_trigger=1)
+
+
+def test_files_with_other_columns_are_read_in_place(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "n int, who string, extra string").write.json(str(tmp_path / "j"))
+    mapping = ColumnMapping("n int, who string", {"seq": "n * 10", "client_id": "up", "payload": "'{}'"},
+                            {"up": "upper(who)"}, "n > 1")
+    for streaming in (False, True):
+        rows = read_envelopes(spark, str(tmp_path / "j"), streaming, "json", mapping=mapping)
+        assert rows.dtypes == [(f.name, f.dataType.simpleString()) for f in ENVELOPE] and rows.isStreaming == streaming
+    row = read_envelopes(spark, str(tmp_path / "j"), fmt="json", mapping=mapping).collect()
+    assert [(r.seq, r.client_id, bytes(r.payload), r.headers) for r in row] == [(20, "B", b"{}", None)]
+
+
+def test_mapped_columns_that_nobody_needs_are_not_read(spark, sf):
+    rows = read_envelopes(spark, f"{sf}/events.parquet", mapping=V.ENVELOPES).select("seq", "conn_id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
 def test_a_failing_batch_is_replayed(spark, env, tmp_path):
     src, checkpoint = str(tmp_path / "src"), str(tmp_path / "cp")
     land(env, src)
