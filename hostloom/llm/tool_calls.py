@@ -6,19 +6,25 @@ against the schemas of the tools, and everything is written as canonical JSON.
 
 Per conversation and id the first call and the first result count; others are
 marked as repeats before the join, so an id used a million times does not
-multiply. The order is found in rounds: a call whose references all have a level
-gets the next one. What never gets a level refers to itself in a circle.
+multiply. Chains of single references are followed by doubling, so a chain of n calls
+takes log2(n) rounds; only calls with several references are put in order one round
+after the other. What never gets a level refers to itself in a circle.
 
 Status of a call: ``linked``, ``unanswered``, ``early`` (its result comes before
 it), ``repeat``, ``cycle`` or ``no_id``. Status of a result: ``linked``,
 ``orphan``, ``early``, ``repeat`` or ``no_id``. Null conversations are one
 conversation, null turns come first, null texts are empty. Rows that are wholly
-equal are each answered. Empty tables give empty results.
+equal are each answered; of calls with one id in one turn the least by name and
+arguments is the first. Arguments that are no JSON, are nested too deeply to be read, or
+hold numbers out of range or halves of surrogate pairs are errors of their row, which
+keeps them as text. Very long texts are written whole. Other columns of the inputs are
+not looked at. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -34,28 +40,60 @@ _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool
           "null": type(None)}
 
 
+class _Written(str):
+    """A finished piece of JSON."""
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys (by UTF-16 units), no spaces and only the necessary escapes."""
-    if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys (by UTF-16 units), no spaces and only the necessary escapes; any depth."""
+    out: list[str] = []
+    todo = [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, _Written):
+            out.append(item)
+        elif isinstance(item, (dict, list)):
+            opened, closed = "{}" if isinstance(item, dict) else "[]"
+            parts: list[object] = [_Written(opened)]
+            keys = item if isinstance(item, list) else sorted(item, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+            for i, key in enumerate(keys):
+                comma = "," if i else ""
+                if isinstance(item, dict):
+                    parts += [_Written(f"{comma}{json.dumps(key, ensure_ascii=False)}:"), item[key]]
+                else:
+                    parts += [_Written(comma), key]
+            todo += reversed([*parts, _Written(closed)])
+        elif isinstance(item, float) and item.is_integer() and abs(item) < 1e21:
+            out.append(str(int(item)))
+        else:
+            out.append(json.dumps(item, ensure_ascii=False, allow_nan=False))
+    return "".join(out)
 
 
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _in_range(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise OverflowError(text)
+    return value
+
+
 def checked(tool: str | None, text: str | None, schemas: Schemas) -> tuple[object, list[str]]:
     """The parsed arguments and what is wrong with them, in order of field names."""
     try:
-        value = json.loads(text or "{}", parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        value = json.loads(text or "{}", parse_constant=_no_constant, parse_float=_in_range)
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return None, ["arguments hold half a surrogate pair"]
+    except ValueError:
         return None, ["arguments are no JSON"]
+    except OverflowError:
+        return None, ["arguments hold a number out of range"]
+    except RecursionError:
+        return None, ["arguments are nested too deeply"]
     if not isinstance(value, dict):
         return value, ["arguments are no object"]
     if tool not in schemas:
@@ -84,34 +122,80 @@ def _first(rows: DataFrame, *values: Column) -> DataFrame:
     return rows.filter("call_id is not null").groupBy("conv_id", "call_id").agg(*values)
 
 
+def _looked_up(df: DataFrame, column: str, other: DataFrame, how: str = "left") -> DataFrame:
+    """Join the call that ``column`` names; drops the other side's keys."""
+    other = other.withColumnRenamed("conv_id", "_conv").withColumnRenamed("call_id", "_call")
+    return df.join(other, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col(column) == F.col("_call")),
+                   how).drop("_conv", "_call")
+
+
+def _anchored(chains: DataFrame) -> DataFrame:
+    """Follow single references to the first call that has none or several: (conv_id, call_id, anchor, steps).
+
+    ``chains`` has (conv_id, call_id, ref), one reference each. A round doubles what
+    is reached, so the longest possible chain, one call fewer than a conversation has,
+    ends after its logarithm; what is not anchored then runs in a circle.
+    """
+    links = chains.select("conv_id", "call_id", F.col("ref").alias("anchor"), F.lit(1).cast("bigint").alias("steps"))
+    ends = chains.select("conv_id", "call_id", F.lit(True).alias("_goes_on"))
+    links = settle(_looked_up(links, "anchor", ends).select(
+        "conv_id", "call_id", "anchor", "steps", F.col("_goes_on").isNull().alias("done")), "call-chains")
+    longest = chains.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        if links.filter("not done").isEmpty():
+            break
+        ahead = links.select("conv_id", "call_id", F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"),
+                             F.col("done").alias("_done"))
+        far = _looked_up(links.filter("not done"), "anchor", ahead, "inner").select(
+            "conv_id", "call_id", F.col("_anchor").alias("anchor"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            F.col("_done").alias("done"))
+        links = settle(links.filter("done").union(far), "call-chains")
+    return links.filter("done").drop("done")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that do not depend on a circle.
 
     ``calls`` has (conv_id, call_id, after), one row per call; references to
-    ids that are no calls are passed over.
+    ids that are no calls are passed over. The level is the length of the longest
+    chain of references below a call.
     """
     nodes = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("_ref"))
-    known = nodes.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_known"))
-    edges = settle(edges.join(known, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_ref") == F.col("_known")),
-                              "left_semi"), "call-edges")
-    needs = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("needs"))
-    state = settle(_same(nodes, needs).filter("needs is null").select(
-        "conv_id", "call_id", F.lit(0).alias("level")), "call-levels")
-    done, newest = state, state
-    met = None
+    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("ref"))
+    edges = settle(_looked_up(edges, "ref", nodes, "left_semi"), "call-edges")
+    needs = settle(_same(nodes, edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("needs"))).select(
+        "conv_id", "call_id", F.coalesce("needs", F.lit(0)).alias("needs")), "call-needs")
+    roots = needs.filter("needs = 0").select("conv_id", "call_id", F.lit(0).cast("bigint").alias("level"))
+    chains = _anchored(_same(edges, needs.filter("needs = 1"), "inner").drop("needs"))
+    known = _ordered(edges, needs.filter("needs > 1"), chains, roots)
+    below = _looked_up(chains, "anchor", known, "inner").select(
+        "conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return known.union(below)
+
+
+def _ordered(edges: DataFrame, joints: DataFrame, chains: DataFrame, roots: DataFrame) -> DataFrame:
+    """Levels of the roots and of the calls with several references, a round for each step between those.
+
+    A round reads what the rounds before wrote; plans do not grow.
+    """
+    if joints.isEmpty():
+        return roots
+    steps = _looked_up(_same(edges, joints, "inner"), "ref", chains).select(
+        "conv_id", "call_id", "needs", F.coalesce("anchor", "ref").alias("anchor"),
+        (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    steps, newest = settle(steps, "call-steps"), settle(roots, "call-levels")
+    met, done = None, [newest]
     while not newest.isEmpty():
-        step = newest.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_at"), "level")
-        reached = edges.join(step, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_ref") == F.col("_at")))
-        reached = reached.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("c"), F.max("level").alias("level"))
-        met = reached if met is None else met.union(reached).groupBy("conv_id", "call_id").agg(
-            F.sum("c").alias("c"), F.max("level").alias("level"))
-        met = settle(_same(met, needs, "inner"), "call-met")
-        newest = settle(met.filter("c = needs").select(
-            "conv_id", "call_id", (F.col("level") + 1).alias("level")), "call-levels")
-        met = met.filter("c < needs").drop("needs")
-        done = done.union(newest)
-    return done
+        reached = _looked_up(steps, "anchor", newest, "inner").select(
+            "conv_id", "call_id", "needs", F.lit(1).cast("bigint").alias("c"), (F.col("level") + F.col("steps")).alias("level"))
+        met = reached if met is None else met.union(reached)
+        met = settle(met.groupBy("conv_id", "call_id", "needs").agg(
+            F.sum("c").alias("c"), F.max("level").alias("level")), "call-met")
+        newest = settle(met.filter("c = needs").select("conv_id", "call_id", "level"), "call-levels")
+        met = met.filter("c < needs")
+        done.append(newest)
+    # one scan of all rounds' files
+    return newest.sparkSession.read.schema(newest.schema).parquet(*[f for d in done for f in d.inputFiles()])
 
 
 def linked(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -124,27 +208,33 @@ def linked(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: S
     Reading a conversation by level and turn gives its calls in an order
     in which each follows those it refers to.
     """
-    opened = settle(_first(calls, F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select(
-        "conv_id", "call_id", F.col("c.turn").alias("first_turn"), F.col("c.after").alias("after")), "calls")
-    answered = _first(results, F.min("turn").alias("result_turn"))
-    order = levels(opened.select("conv_id", "call_id", "after"))
-
-    asked = _same(_same(_same(calls.drop("after"), opened.drop("after")), answered), order)
+    this_call, this_result = F.struct("turn", "name", "arguments", "after"), F.struct("turn", "content")
+    opened = settle(_first(calls, F.min(this_call).alias("first")).select(
+        "conv_id", "call_id", F.xxhash64("first").alias("first"), F.col("first.turn").alias("first_turn"),
+        F.col("first.after").alias("after")), "calls")
+    answered = _first(results, F.min(this_result).alias("answer")).select(
+        "conv_id", "call_id", F.xxhash64("answer").alias("answer"), F.col("answer.turn").alias("result_turn"))
+    order = settle(levels(opened.select("conv_id", "call_id", "after")), "call-order")
+    opened = opened.drop("after")
+
+    asked = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.xxhash64(this_call).alias("mine"))
+    asked = _same(_same(_same(asked, opened), answered), order)
     status = (F.when(F.col("call_id").isNull(), "no_id")
-              .when(~F.col("turn").eqNullSafe(F.col("first_turn")), "repeat")
+              .when(F.col("mine") != F.col("first"), "repeat")
               .when(F.col("level").isNull(), "cycle")
               .when(F.col("result_turn").isNull(), "unanswered")
               .when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked"))
     asked = asked.select(
-        "conv_id", "turn", F.lit("call").alias("kind"), "call_id", "level", F.col("result_turn").alias("other_turn"),
+        "conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.col("level").cast("int").alias("level"), F.col("result_turn").alias("other_turn"),
         status.alias("status"), F.lit("assistant").alias("role"), "name", F.col("arguments").alias("content"))
-    told = _same(_same(_same(results, opened.drop("after")), answered), order)
+    told = results.select("conv_id", "turn", "call_id", "content", F.xxhash64(this_result).alias("mine"))
+    told = _same(_same(_same(told, opened), answered), order)
     status = (F.when(F.col("call_id").isNull(), "no_id")
               .when(F.col("first_turn").isNull(), "orphan")
-              .when(~F.col("turn").eqNullSafe(F.col("result_turn")), "repeat")
+              .when(F.col("mine") != F.col("answer"), "repeat")
               .when(F.col("turn") < F.col("first_turn"), "early").otherwise("linked"))
     told = told.select(
-        "conv_id", "turn", F.lit("result").alias("kind"), "call_id", "level", F.col("first_turn").alias("other_turn"),
+        "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.col("level").cast("int").alias("level"), F.col("first_turn").alias("other_turn"),
         status.alias("status"), F.lit("tool").alias("role"), F.lit(None).cast("string").alias("name"), "content")
     said = messages.select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"),

@@ -1,4 +1,5 @@
 import json
+import random
 
 from hostloom.llm import tool_calls as tc
 
@@ -55,6 +56,56 @@ def test_arguments_are_checked_and_written_canonically(spark):
         json.loads(r.json)
 
 
+def test_arguments_that_json_can_hold_and_columns_cannot(spark):
+    deep = '{"q":' + "[" * 3000 + "]" * 3000 + "}"
+    bad = {'{"n":1e400}': "arguments hold a number out of range", '{"q":"\\ud800"}': "arguments hold half a surrogate pair",
+           '{"q":' + "[" * 200_000 + "]" * 200_000 + "}": "arguments are nested too deeply", deep: "field q is no string"}
+    calls = [(1, i, f"c{i}", "find", t, []) for i, t in enumerate(bad)]
+    got = {r.call_id: r for r in rows(spark, calls)}
+    for i, text in enumerate(bad):
+        assert (got[f"c{i}"].valid, got[f"c{i}"].errors) == (False, bad[text])
+    assert json.loads(got["c0"].json)["tool_calls"][0]["arguments"] == '{"n":1e400}'
+    assert deep in got["c3"].json
+
+
+def test_calls_with_one_id_in_one_turn(spark):
+    got = rows(spark, [(1, 1, "a", "find", '{"q":"x"}', []), (1, 1, "a", "sum", '{"xs":[]}', [])],
+               [(1, 2, "a", "one"), (1, 2, "a", "two")])
+    assert sorted((r.kind, r.status) for r in got) == [
+        ("call", "linked"), ("call", "repeat"), ("result", "linked"), ("result", "repeat")]
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 10_000
+    calls = spark.range(n).selectExpr("1L AS conv_id", "concat('c', id) AS call_id",
+                                      "CASE WHEN id = 0 THEN array() ELSE array(concat('c', id - 1)) END AS after")
+    circle = spark.range(50).selectExpr("2L", "concat('r', id)", "array(concat('r', (id + 1) % 50))")
+    got = {(r.conv_id, r.call_id): r.level for r in tc.levels(calls.union(circle)).collect()}
+    assert got == {(1, f"c{i}"): i for i in range(n)}
+
+
+def test_levels_equal_longest_paths(spark):
+    rng = random.Random(6)
+    calls = []
+    for conv in range(8):
+        for i in range(25):
+            refs = rng.sample(range(25), rng.choice([0, 1, 1, 1, 2, 3])) if rng.random() < 0.15 else (
+                rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3]))))
+            calls.append((conv if conv else None, f"c{i}", [f"c{r}" for r in refs] + ["gone"] * (i % 2)))
+    after = {(conv, call): [r for r in refs if r != "gone"] for conv, call, refs in calls}
+
+    def level(node, path=()):
+        if node in path:
+            return None
+        found = [level((node[0], r), (*path, node)) for r in after[node]]
+        return None if None in found else 1 + max(found, default=-1)
+
+    want = {n: level(n) for n in after}
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in tc.levels(df).collect()}
+    assert got == {n: v for n, v in want.items() if v is not None} and len(got) < len(want)
+
+
 def test_canonical_numbers_and_key_order():
     assert tc.canonical({"b": 1.0, "a": [True, None, 0.5], "é": {}, "\U0001F600": 1, "ﬀ": 2}) == (
         '{"a":[true,null,0.5],"b":1,"é":{},"\U0001F600":1,"ﬀ":2}')
