@@ -2,10 +2,12 @@ import random
 
 import pytest
 from conftest import prose, texts_of
+from pyspark.sql import functions as F
 
 from hostloom.llm import near_dups
+from hostloom.llm.common import settle
 from hostloom.llm.components import connected
-from hostloom.llm.near_dups import Banding
+from hostloom.llm.near_dups import Banding, _texts_of, near_duplicates, signatures
 
 
 def shingle_set(text, size):
@@ -91,3 +93,27 @@ def test_components(spark):
     got = dict(connected(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 200: 100, 300: 100}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id_stay_linear(spark):
+    """2,000 different rows without id, and 2,000 under one id: no pair of rows and nodes is formed."""
+    rng = random.Random(3)
+    common = prose(rng, 60)
+    rows = [(None if i % 2 else 7, f"{common} {prose(rng, 2)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    how = Banding()
+    found = settle(signatures(df, how), "signatures")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    texts = _texts_of(df, settle(nodes, "nodes"), how, "doc_id", "text")
+    texts.collect()
+    plan = texts._jdf.queryExecution().executedPlan()
+    made, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if "AdaptiveSparkPlan" in node.nodeName() else node.plan() if "QueryStage" in node.nodeName() else None
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= 4000
+    marks = near_duplicates(df).collect()
+    assert len(marks) == 4000 and len({r.component_id for r in marks}) == 1
