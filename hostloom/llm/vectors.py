@@ -51,6 +51,8 @@ class Cells:
 def _unit(rows: list | pa.Array) -> np.ndarray:
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(rows), -1)
+    # by a power of two first, which is exact: squares of very large or small components would leave the range
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -113,7 +115,6 @@ def _homes(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def _placed(homes: DataFrame, centres: np.ndarray, reach: np.ndarray, how: Cells) -> DataFrame:
     """(node, label, copies, v, cell, guest): each vector in its own cell and in later ones it may link into."""
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 512 else None
     side = math.sqrt(1 - how.cosine ** 2) + 1e-9
     # angle to a centre at most the angle of a link plus the reach of the cell
     nearest = np.cos(np.minimum(math.acos(how.cosine) + reach, math.pi)) - 1e-9
@@ -122,7 +123,8 @@ def _placed(homes: DataFrame, centres: np.ndarray, reach: np.ndarray, how: Cells
         home = batch.column(4).to_numpy()
         alike = _unit(batch.column(3)) @ centres.T
         own = np.take_along_axis(alike, home[:, None], 1)
-        gap = apart[home] if apart is not None else np.linalg.norm(centres[home][:, None] - centres[None], axis=2)
+        # distance of both centres, from their product; the added trace outweighs its rounding
+        gap = np.sqrt(np.maximum(2 - 2 * (centres[home] @ centres.T), 0) + 1e-12)
         guest = (own - alike <= side * gap) & (alike >= nearest) & (np.arange(len(centres)) > home[:, None])
         row, cell = np.nonzero(guest)
         rows = np.concatenate([np.arange(batch.num_rows), row])

@@ -54,6 +54,15 @@ def test_equals_brute_force(spark, rows, how):
     assert sorted(map(tuple, vectors.near_vectors(df, how).collect()), key=repr) == brute(rows)
 
 
+def test_lengths_beyond_the_range_of_squares(spark):
+    """Cosines of vectors whose squared components are zero or infinite as doubles."""
+    rows = [(1, [1e-200, 1e-200], 1), (2, [1.0, 0.1], 1), (3, [1e200, 1e200], 1), (4, [2e200, 2.1e200], 1), (5, [3.0, 3.1], 1),
+            (6, [5e-324, 0.0], 2), (7, [1e308, 1e300], 2), (8, [0.0, -1e308], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (3, 1), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(df).count() == 0
