@@ -18,7 +18,7 @@ Columns of a packed row, all numbers little-endian:
 * ``cu_seqlens``: cumulative segment lengths from 0 to the used length;
 * ``doc_ids``, ``starts``: per segment its document and the place of its first id within that document.
 
-Null and empty texts are one end id. A document without id keeps a null in
+Null and empty texts are one end id; texts and runs of blanks may be of any length. A document without id keeps a null in
 ``doc_ids``; repeated rows are packed as often as they come. An empty table
 gives no rows. Other columns are ignored.
 """
@@ -26,6 +26,7 @@ gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -45,6 +46,10 @@ SCHEMA = ("pack_id bigint, ids binary, position_ids binary, cu_seqlens array<int
           "doc_ids array<bigint>, starts array<bigint>")
 
 
+# Blanks as the pattern's \\s has them. Its lookahead steps back over a run one by one, on a stack that long runs exceed.
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % (1 << 13))
+
+
 @dataclass(frozen=True)
 class Packing:
     """``buffer``: tokens packed at a time; ``end_id`` must be free in the vocabulary."""
@@ -56,12 +61,28 @@ class Packing:
 
 
 @cache
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, pattern: str = PATTERN):
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(text: str, vocabulary: str) -> np.ndarray:
+    """The ids of a text of any length; runs of blanks of any length give what the pattern gives.
+
+    A run is one piece, but for its last blank where a word follows: that one belongs to the word.
+    """
+    encoding = encoder(vocabulary)
+    parts, start = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoding.encode_to_numpy(text[start:run.start()], disallowed_special=()))
+        parts.append(encoder(vocabulary, "(?s:.+)").encode_to_numpy(text[run.start():end], disallowed_special=()))
+        start = end
+    parts.append(encoding.encode_to_numpy(text[start:], disallowed_special=()))
+    return np.concatenate(parts)
 
 
 class FreeRows:
@@ -186,7 +207,7 @@ def packed(docs: DataFrame, how: Packing = Packing(), id_col: str = "doc_id", te
         for batch in batches:
             taken = 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                own = encoding.encode_to_numpy(text or "", disallowed_special=()).astype(wide)
+                own = token_ids(text or "", how.vocabulary).astype(wide)
                 ids.append(np.concatenate([own, end]))
                 held += len(own) + 1
                 if held >= how.buffer:

@@ -70,6 +70,19 @@ def test_round_trip_of_hard_documents(spark, hard):
     assert {r.doc_id: r.text for r in packing.unpacked(packs, how).collect()} == {d: t or "" for d, t in texts_of(ids)}
 
 
+def test_runs_of_blanks_of_any_length(spark):
+    rng = random.Random(8)
+    encoding = packing.encoder(packing.Packing().vocabulary)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " b", "\n", "\t", "\u3000", "\x1c", "1", ".", " " * 8192, "\n " * 5000, "\r" * 9000])
+                       for _ in range(rng.randint(0, 9)))
+        assert packing.token_ids(text, packing.Packing().vocabulary).tolist() == encoding.encode_ordinary(text)
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" + " \t" * 1_000_000 + " b", "." * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packs = packing.packed(docs).cache()
+    assert {r.doc_id: r.text for r in packing.unpacked(packs).collect()} == dict(enumerate(texts))
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark, hard, nothing):
     how = packing.Packing(length=128)
     starts = packing.packed(hard, how).selectExpr("inline(arrays_zip(doc_ids, starts))").filter("starts = 0")
