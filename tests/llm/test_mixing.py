@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import texts_of
+from pyspark.sql import functions as F
 
 from hostloom.llm import mixing
 
@@ -16,12 +17,29 @@ def entropy(sizes, a):
     return -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
 
 
-@pytest.mark.parametrize("share", [0.6, 0.8, 0.95])
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.6, 0.8, 0.95])
 def test_exponent_meets_the_entropy(spark, share):
     sizes = {"a": 10_000, "b": 1_000, "c": 100, "d": 10}
     a = mixing.exponent(sources(spark, sizes), mixing.Mix(entropy=share, repeats=1e9))
-    assert abs(entropy(sizes.values(), a) - share * math.log(4)) < 1e-6 or (
-        a == 1.0 and entropy(sizes.values(), 1.0) > share * math.log(4))
+    assert abs(entropy(sizes.values(), a) - share * math.log(4)) < 1e-6
+
+
+@pytest.mark.parametrize("sizes", [[1000 + i for i in range(20)], [10**9 + i for i in range(5)], [100, 100, 99]])
+def test_nearly_equal_sources_are_sharpened_to_the_target(spark, sizes):
+    table = sources(spark, {f"s{i}": n for i, n in enumerate(sizes)})
+    rows = mixing.weights(table, mixing.Mix(budget=sum(sizes), entropy=0.9)).collect()
+    assert rows[0].exponent > 1 and all(abs(r.entropy - 0.9) < 1e-6 for r in rows)
+    top = max(sizes)
+    powers = {r.source: math.exp(rows[0].exponent * math.log(r.tokens / top)) for r in rows}
+    for r in rows:
+        want = powers[r.source] / sum(powers.values())
+        assert abs(r.weight - want) < 1e-6 and abs(r.passes - r.weight * sum(sizes) / r.tokens) < 1e-6
+
+
+def test_target_out_of_reach_leaves_sources_as_they_come(spark):
+    # two sources tie at the top: their entropy alone is 0.63 of the maximum
+    rows = mixing.weights(sources(spark, {"a": 10, "b": 10, "c": 9}), mixing.Mix(entropy=0.5)).collect()
+    assert {r.exponent for r in rows} == {1.0} and all(r.entropy > 0.99 for r in rows)
 
 
 def test_exponent_meets_the_repetition_limit(spark):
@@ -69,6 +87,39 @@ def test_budget_is_met_by_whole_and_part_epochs(docs, budget):
         assert abs(blocks[b, "big"] / (blocks[b, "big"] + blocks[b, "small"]) - weight["big"]) < 0.15
 
 
+def plain_front(rows, passes, how):
+    """Uses per row: whole epochs, and the front of one more, sorted by the same places."""
+    whole = math.floor(passes)
+    need, uses = (passes - whole) * sum(n for _, n, _ in rows), Counter()
+    for _, n, (doc, _) in sorted(rows):
+        uses[doc] = whole + (need > 1e-6)
+        need -= n
+    return uses
+
+
+@pytest.mark.parametrize("how", [mixing.Mix(budget=20_000, entropy=0.3), mixing.Mix(budget=9_000, repeats=3.0)])
+def test_uses_equal_sorted_permutations(docs, how):
+    rows = mixing.mixed(docs, how)
+    at = mixing._order(rows.whole, rows.key, how)
+    rows = rows.select("doc", "source", "tokens", "passes", "copies", at.alias("at")).collect()
+    for source in ("big", "small"):
+        own = [r for r in rows if r.source == source]
+        want = plain_front([(r["at"], r.tokens, (r.doc.doc_id, 0)) for r in own], own[0].passes, how)
+        assert {r.doc.doc_id: r.copies for r in own} == want
+
+
+def test_columns_of_any_name_stay(docs):
+    names = ["_key", "_tokens", "_s", "_cut", "_weight", "_passes", "_whole", "_copies", "_epoch", "doc", "key",
+             "copies", "whole", "tokens", "weight", "passes", "exponent", "entropy", "a.b"]
+    odd = docs.limit(50)
+    for name in names:
+        odd = odd.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    got = mixing.repeated(odd).collect()
+    assert len({r.doc_id for r in got}) == 50
+    assert all(r[name] == f"{name} of {r.doc_id}" for r in got for name in names)
+    assert mixing.stream(odd).columns[:2] == ["doc_id", "source"]
+
+
 def test_repeated_keeps_every_document(docs):
     got = mixing.repeated(docs, mixing.Mix(repeats=2.0))
     uses = Counter(r.doc_id for r in got.collect())
