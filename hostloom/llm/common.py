@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostloom.session import shared_dir
 
@@ -28,6 +29,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def row_key(*columns: Column) -> list[Column]:
+    """``k1``, ``k2``: 128 bits that name a row by these columns, nulls told apart."""
+    told = [c for column in columns for c in (column.isNull(), column)]
+    return [F.xxhash64(F.lit(i), *told).alias(f"k{i}") for i in (1, 2)]
+
+
+def least_by_hash(rows: DataFrame, limit: int, key: str, *ties: str) -> DataFrame:
+    """The ``limit`` rows with the least hash of ``key``; little more than these leave their tasks.
+
+    ``rows`` is read up to three times, so it should be a table. A threshold on
+    the hash lets enough rows pass, save where many rows share a key.
+    """
+    mark = F.xxhash64(key)
+    n = rows.count()
+    if n > limit:
+        cut = int((limit + 8 * limit ** 0.5) / n * 2.0 ** 64) - 2 ** 63
+        few = rows.filter(mark < F.lit(min(cut, 2 ** 63 - 1)))
+        if few.count() >= limit:
+            rows = few
+    return rows.orderBy(mark, key, *ties).limit(limit)
+
+
 @cache
 def _shipped(app_id: str) -> str:
     """A zip of this package on the driver, for Spark to hand to the executors."""

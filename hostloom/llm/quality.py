@@ -14,9 +14,10 @@ by a hash of their id; everything else covers all rows. Without labels of both
 kinds nothing is known to be bad, and every document is kept with a score equal
 to the smoothed share.
 
-Null and empty texts have all features zero. A null host or path is a group of
-its own. Rows without id are scored like others; repeated rows count as often
-as they come. An empty table gives an empty one.
+Null and empty texts have all features zero; texts of any length are read whole. A
+null host or path is a group of its own. Rows without id are scored and rejected
+like others; repeated rows count as often as they come, and rows under one id are
+judged each by itself. Other columns bear any name. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import list_array, map_batches, settle, slices
+from hostloom.llm.common import least_by_hash, list_array, map_batches, row_key, settle, slices
 from hostloom.llm.words import PUNCTUATION, SPACES, mix, word_hashes
 
 
@@ -93,17 +94,18 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """(doc_id, host, path, x): one pass over the texts."""
+    """(doc_id, host, path, k1, k2, x): one pass over the texts."""
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(3).to_pylist()
+        texts = batch.column(5).to_pylist()
         x = np.concatenate([features(texts[a:b]) for a, b in slices(texts)])
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], list_array(x.ravel(), len(FEATURES))],
-                                          names=["doc_id", "host", "path", "x"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], list_array(x.ravel(), len(FEATURES))],
+                                          names=["doc_id", "host", "path", "k1", "k2", "x"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), host.cast("string").alias("host"),
-                       path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    return map_batches(rows, describe, "doc_id bigint, host string, path string, x array<double>")
+                       path.cast("string").alias("path"), *row_key(F.col(id_col), host, path, F.col(text_col)),
+                       F.col(text_col).alias("text"))
+    return map_batches(rows, describe, "doc_id bigint, host string, path string, k1 bigint, k2 bigint, x array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -165,17 +167,23 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how:
     ``labels`` has (doc_id, quality): 1 good, 0 bad, null unknown; an id with
     several labels enters with each of them.
     """
+    return _judged(docs, labels, host, path, how, id_col, text_col).drop("k1", "k2")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how: Quality, id_col: str,
+            text_col: str) -> DataFrame:
+    """The columns of ``scored`` and the row's key."""
     rows = settle(_described(docs, id_col, text_col, host, path), "features")
-    known = rows.join(labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("y")), "doc_id").filter(
-        "y is not null")
+    known = settle(rows.join(labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("y")), "doc_id").filter(
+        "y is not null").select("doc_id", "y", "x"), "labelled")
     # bounded by how.sample
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(how.sample).select("x", "y").toPandas()
+    chosen = least_by_hash(known, how.sample, "doc_id", "y", "x").select("x", "y").toPandas()
     y = chosen["y"].to_numpy() if len(chosen) else np.zeros(0)
     if len(set(y)) > 1:
         score = 1 / (1 + F.exp(-_linear(fit(np.stack(chosen["x"].to_numpy()), y, how.ridge))))
     else:
         score = F.lit((float(y.sum()) + 1) / (len(y) + 1))
-    rows = settle(rows.select("doc_id", "host", "path", score.alias("p")), "scores")
+    rows = settle(rows.select("doc_id", "host", "path", "k1", "k2", score.alias("p")), "scores")
 
     paths = settle(rows.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
@@ -206,13 +214,13 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how:
     out = out.withColumn("host_share", host_share).withColumn("path_share", path_share)
     posterior = 1 / (1 + F.exp(-(_logit(own) + _logit(F.col("path_share")) - _logit(prior))))
     return out.select("doc_id", "host", "path", F.col("p").alias("doc_score"), "host_share", "path_share",
-                      posterior.alias("posterior"), (posterior >= how.threshold).alias("keep"))
+                      posterior.alias("posterior"), (posterior >= how.threshold).alias("keep"), "k1", "k2")
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, how: Quality = Quality(),
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without ids all of whose rows are rejected; rows without id stay, as nothing can name them."""
-    marks = scored(docs, labels, host, path, how, id_col, text_col).filter("doc_id is not null")
-    bad = settle(marks.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("keep").alias("_keep")).filter("not _keep")
-                 .select(id_col), "rejected")
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those rejected, each row by its own id, host, path and text; equal rows go together."""
+    bad = settle(_judged(docs, labels, host, path, how, id_col, text_col).filter("not keep").select("k1", "k2").distinct(),
+                 "rejected")
+    rows = docs.select(F.struct("*").alias("doc"), *row_key(F.col(id_col), host, path, F.col(text_col)))
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("doc.*")

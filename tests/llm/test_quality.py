@@ -1,4 +1,6 @@
+import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from conftest import prose
 from pyspark.sql import functions as F
 
 from hostloom.llm import quality
+from hostloom.llm.common import least_by_hash
 
 
 def junk(rng, words):
@@ -68,7 +71,47 @@ def test_hard_documents_and_labels(spark, hard, nothing):
         assert quality.scored(hard, some, F.col("source"), F.col("lang")).filter("not keep").count() == 0
     assert quality.scored(nothing, labels, F.col("source"), F.col("lang")).count() == 0
     kept = quality.kept(hard, labels, F.col("source"), F.col("lang"))
-    assert kept.columns == hard.columns and kept.filter("doc_id is null").count() == 2
+    # rows without id are judged like all others
+    assert kept.columns == hard.columns and kept.count() == got.filter("keep").count()
+    assert kept.filter("doc_id is null").count() == got.filter("doc_id is null and keep").count()
+
+
+def brute_posteriors(rows, host_prior, path_prior):
+    """Posteriors by dictionaries, from each row's host, path and score."""
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, p, s in rows:
+        hosts[h].append(s)
+        paths[h, p].append(s)
+    mean = sum(s for _, _, s in rows) / len(rows)
+    out = []
+    for h, p, s in rows:
+        at_host = (sum(hosts[h]) - s + host_prior * mean) / (len(hosts[h]) - 1 + host_prior)
+        at_path = (sum(paths[h, p]) - s + path_prior * at_host) / (len(paths[h, p]) - 1 + path_prior)
+        out.append((at_host, at_path, 1 / (1 + math.exp(-(logit(s) + logit(at_path) - logit(mean))))))
+    return out
+
+
+def test_posteriors_equal_brute_force(spark, tables, monkeypatch):
+    strengths = []
+    whole = quality._strength
+    monkeypatch.setattr(quality, "_strength", lambda *a: strengths.append(whole(*a)) or strengths[-1])
+    docs, labels = tables
+    odd = spark.createDataFrame([(6000, "a b", None, None), (None, "c d", None, "x"), (6001, None, "h", None)], docs.schema)
+    got = quality.scored(docs.union(odd), labels, F.col("host"), F.col("path")).collect()
+    want = brute_posteriors([(r.host, r.path, r.doc_score) for r in got], *strengths)
+    assert np.allclose([(r.host_share, r.path_share, r.posterior) for r in got], want, atol=1e-9)
+    assert all(r.keep == (r.posterior >= 0.3) for r in got)
+
+
+@pytest.mark.parametrize("limit", [1, 50, 990, 5000])
+def test_least_by_hash_equals_a_full_sort(spark, limit):
+    rows = spark.createDataFrame([(i // 2 if i % 3 else None, i) for i in range(1000)] + [(7, 5)] * 300, "k long, v long")
+    want = rows.orderBy(F.xxhash64("k"), "k", "v").limit(limit).collect()
+    assert least_by_hash(rows, limit, "k", "v").collect() == want
 
 
 def test_features_of_odd_texts():
