@@ -28,6 +28,7 @@ a row without id gets the least id among its near-duplicates, or null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import list_array, map_batches, settle, slices
+from hostloom.llm.common import list_array, map_batches, row_key, settle, slices
 from hostloom.llm.components import connected
 from hostloom.llm.words import mix, sums_by_text, word_hashes
 
@@ -106,8 +107,13 @@ def _band_hashes(sets: np.ndarray, bounds: np.ndarray, how: Banding) -> np.ndarr
     return out
 
 
-def signatures(docs: DataFrame, how: Banding, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, bands) for each row of ``docs``; one pass over the texts."""
+def signatures(docs: DataFrame, how: Banding, id_col: str = "doc_id", text_col: str = "text",
+               key: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, n_shingles, node, bands, k1, k2) for each row of ``docs``; one pass over the texts.
+
+    ``k1`` and ``k2`` are there only where ``key`` gives them.
+    """
+    extra = ["k1", "k2"][: len(key)]
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
@@ -119,11 +125,12 @@ def signatures(docs: DataFrame, how: Banding, id_col: str = "doc_id", text_col:
             bands.append(_band_hashes(sets, bounds, how).ravel())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.concatenate(counts)), pa.array(np.concatenate(nodes).view(np.int64)),
-             list_array(np.concatenate(bands).view(np.int64), 2 * how.bands)],
-            names=["doc_id", "n_shingles", "node", "bands"])
+             list_array(np.concatenate(bands).view(np.int64), 2 * how.bands), *batch.columns[2:]],
+            names=["doc_id", "n_shingles", "node", "bands", *extra])
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")),
-                       sign, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>")
+    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *key),
+                       sign, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>"
+                       + "".join(f", {k} bigint" for k in extra))
 
 
 def _shared_groups(nodes: DataFrame, how: Banding) -> DataFrame:
@@ -277,7 +284,12 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
     itself, and rows without id are kept only where no row with an id is like
     them. Other columns of ``docs`` are ignored, so their names may clash.
     """
-    rows = settle(signatures(docs, how, id_col, text_col), "signatures")
+    return _grouped(docs, how, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, how: Banding, id_col: str, text_col: str, key: Sequence[Column] = ()) -> DataFrame:
+    """The columns of ``near_duplicates``, the node that names the component, and the row's key where given."""
+    rows = settle(signatures(docs, how, id_col, text_col, key), "signatures")
     nodes = settle(
         rows.filter("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n"), "bands")
         .agg(F.min("doc_id").alias("rep")), "nodes")
@@ -285,10 +297,10 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
     places = nodes.select("node", "rep").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = places.groupBy("component").agg(F.min("rep").alias("component_id"))
-    places = places.join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(places, "node", "left")
+    places = places.join(least, "component").select("node", "component", "component_id")
+    out = rows.drop("bands").join(places, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.withColumn("component_id", component).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -296,11 +308,15 @@ def deduplicated(docs: DataFrame, how: Banding = Banding(), id_col: str = "doc_i
                  text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are near-duplicates of a kept one.
 
-    Of repeated rows (same id and text) one stays. An id stays if any of its
-    rows is kept. Rows without id all stay, as no decision can name them.
+    Rows are judged one by one: of each component one row stays, of the rows with
+    its least id (or without any id) the one with the least key. Rows
+    without words are like no other; of repeated ones (same id and text) one stays.
     """
-    marks = settle(near_duplicates(docs, how, id_col, text_col), "marks")
-    dropped = marks.filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(
-        F.max("kept").alias("_kept")).filter("not _kept").select(id_col)
-    with_id = docs.filter(F.col(id_col).isNotNull()).join(dropped, id_col, "left_anti")
-    return with_id.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    key = row_key(F.col(id_col), F.col(text_col))
+    marks = _grouped(docs, how, id_col, text_col, key).filter("kept")
+    # rows without words are their own groups
+    void = F.col("n_shingles") == 0
+    groups = marks.groupBy("component", F.when(void, F.col("k1")).alias("v1"), F.when(void, F.col("k2")).alias("v2"))
+    stay = settle(groups.agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"), "marks")
+    rows = docs.select(F.struct("*").alias("doc"), *key).join(stay, ["k1", "k2"], "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("doc.*")

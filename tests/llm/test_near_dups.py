@@ -76,7 +76,8 @@ def test_deduplicated_keeps_one_of_each_group(hard):
     ids = [r.doc_id for r in got.select("doc_id").collect()]
     kept = {d for d, _, _, k in brute(texts_of(hard), Banding()) if k and d is not None}
     assert {i for i in ids if i is not None} == kept
-    assert ids.count(5) == 1 and ids.count(None) == 2 and ids.count(7) == 2
+    # one row without id is a copy of another's text and goes; the texts of id 7 are different
+    assert ids.count(5) == 1 and ids.count(None) == 1 and ids.count(7) == 2
 
 
 def test_a_large_group_of_edited_copies(spark):

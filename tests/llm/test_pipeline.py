@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
 import pytest
+from conftest import prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hostloom.llm import decontam, near_dups, packing, queries
+from hostloom.llm import decontam, near_dups, packing, quality, queries
 from hostloom.llm.common import table
 
 
@@ -57,6 +61,27 @@ def test_ids_say_the_texts(stages):
             assert stream[a:b].tolist() == whole[start: start + b - a]
 
 
+def test_decisions_fall_by_row(spark):
+    """Rows without id, and rows under one id, are each rejected or kept for themselves."""
+    rng = random.Random(9)
+    good = [prose(rng, 80) for _ in range(120)]
+    bad = ["|" * 30 + f" {i} ## %% @@ {{}} " * 12 for i in range(120)]
+    rows = [(i, g, "en", "s") for i, g in enumerate(good)] + [(200 + i, b, "en", "s") for i, b in enumerate(bad)]
+    fresh, copied = prose(rng, 90), prose(rng, 90)
+    junk = "|" * 30 + " 500 ## %% @@ {} " * 12
+    rows += [(None, fresh, "en", "s"), (None, copied, "en", "s"), (None, copied + " end", "en", "s"), (None, copied, "en", "s"),
+             (None, junk, "en", "s"), (5, junk, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)] + [(200 + i, 0) for i in range(120)], "doc_id long, quality int")
+    kept = quality.kept(docs, labels, F.col("source"), F.col("lang"), quality.Quality(threshold=0.5))
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    assert all(t != junk for _, t in texts) and sum(d == 5 for d, _ in texts) == 1
+    assert sorted(t for d, t in texts if d is None) == sorted([fresh, copied, copied, copied + " end"])
+    got = [(r.doc_id, r.text) for r in near_dups.deduplicated(kept).collect()]
+    assert sum(t.startswith(copied) for _, t in got) == 1 and sum(t == fresh for _, t in got) == 1
+    assert sorted(d for d, _ in got if d is not None) == list(range(120))
+
+
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
