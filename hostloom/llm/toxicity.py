@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import map_batches, settle, slices
+from hostloom.llm.common import least_by_hash, map_batches, settle, slices
 from hostloom.llm.words import PUNCTUATION, mix, word_hashes
 
 GRADES = 4
@@ -140,12 +140,11 @@ def _word_lists(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, how: Toxicity, id_col: str, text_col: str) -> Model | float:
     """The model, or the smoothed share of toxic labels where they are all of one kind."""
-    chosen = labels.filter("toxic is not null").select(
-        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).orderBy(
-        F.xxhash64("doc_id"), "doc_id", "y").limit(how.sample)
-    # at most how.sample rows of two numbers
+    known = labels.filter("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"))
+    chosen = least_by_hash(known, how.sample, "_id", "y")
+    # at most how.sample rows of two numbers; of an id's texts the least one, so repeated ids stay within the bound
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "_id").select("y", "text")
+        F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     lists = settle(_word_lists(texts), "toxic-words")
     totals = {r["y"]: r["c"] for r in lists.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
