@@ -21,6 +21,9 @@ How the work stays bounded whatever the sizes of groups:
   they agree in ``AGREED`` of all groups: with 32 groups a pair at the threshold has
   fewer in 3.2e-6 (s = 0.85) or 5.3e-6 (s = 0.8) of cases. No bucket is capped and
   none is collected.
+* Every candidate carries a parity bitmap: shingle hashes flip one of ``MARKS`` bits
+  each. Bits in which two bitmaps differ are at most the shingles that only one text
+  has, so a pair that differs in too many has no link, and its texts need not meet.
 
 Very long texts are read whole, one at a time. Rows are documents, also when ids repeat. A null id never names a component:
 a row without id gets the least id among its near-duplicates, or null.
@@ -43,6 +46,8 @@ from hostloom.llm.words import mix, sums_by_text, word_hashes
 
 # groups, of both sides together, that two nodes share at least before their texts meet
 AGREED = 5
+# bits of a parity bitmap, a multiple of 64
+MARKS = 1024
 
 
 @dataclass(frozen=True)
@@ -107,6 +112,15 @@ def _band_hashes(sets: np.ndarray, bounds: np.ndarray, how: Banding) -> np.ndarr
     return out
 
 
+def parity(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, MARKS / 64) words of bits; a bit says whether an odd number of shingles fall on it."""
+    out = np.zeros((len(bounds) - 1, MARKS // 64), dtype=np.uint64)
+    place = mix(sets ^ np.uint64(0x5BD1E995)) % np.uint64(MARKS)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    np.bitwise_xor.at(out, (text, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
 def signatures(docs: DataFrame, how: Banding, id_col: str = "doc_id", text_col: str = "text",
                key: Sequence[Column] = ()) -> DataFrame:
     """(doc_id, n_shingles, node, bands, k1, k2) for each row of ``docs``; one pass over the texts.
@@ -201,19 +215,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, chosen: DataFrame, how: Banding, id_col: str, text_col: str) -> DataFrame:
-    """(node, text): one text for each row of ``chosen(node, doc_id)``."""
+    """(node, text, marks): one text for each row of ``chosen(node, rep)``, and its parity bitmap."""
 
     def name(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
-        found = [node_of(*shingles(texts[a:b], how.size)) for a, b in slices(texts)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0)],
-                                          names=["node", "text"])
+        nodes, marks = [], []
+        for a, b in slices(texts):
+            found = shingles(texts[a:b], how.size)
+            nodes.append(node_of(*found))
+            marks.append(parity(*found).ravel())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(nodes).view(np.int64)), batch.column(0),
+             list_array(np.concatenate(marks).view(np.int64), MARKS // 64)], names=["node", "text", "marks"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     # rows are named before they meet nodes, so an id (or none) on many rows does not multiply
     ids = chosen.select("rep").distinct()
     near = rows.join(ids, rows.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    named = map_batches(near, name, "node bigint, text string")
+    named = map_batches(near, name, "node bigint, text string, marks array<bigint>")
     return named.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -223,6 +242,14 @@ def _possible(how: Banding) -> Column:
     return 100 * most >= how.percent * (F.col("n") + F.col("pn") - most)
 
 
+def _alike(how: Banding) -> Column:
+    """Whether the bitmaps of a row and a pivot leave room for a link."""
+    apart = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("pmarks", F.lit(i)))) for i in range(MARKS // 64)),
+                F.lit(0))
+    every = F.col("n") + F.col("pn")
+    return (100 + how.percent) * (every - apart) >= 2 * how.percent * every
+
+
 def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of all nodes that have links to other nodes."""
     groups = _shared_groups(nodes, how)
@@ -253,17 +280,18 @@ def _links(docs: DataFrame, nodes: DataFrame, how: Banding, id_col: str, text_co
     rows = settle(rows.withColumn("away", away).drop("hub", "_a", "_b", "distance"), "open")
 
     # then those outside a bucket's largest part with all others, each pair in the first of the buckets it shares
-    rows = rows.join(groups.select("node", "left", "right"), "node")
+    rows = rows.join(groups.select("node", "left", "right"), "node").join(texts.select("node", "marks"), "node")
     pivots = rows.filter("label <> top").select(
         "key", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("shared").alias("ps"),
-        F.col("left").alias("pleft"), F.col("right").alias("pright"), F.col("away").alias("paway"))
+        F.col("left").alias("pleft"), F.col("right").alias("pright"), F.col("away").alias("paway"),
+        F.col("marks").alias("pmarks"))
     near = F.coalesce(F.abs(F.col("away") - F.col("paway")) <= 1 - how.percent / 100 + 1e-9, F.lit(True))
     lefts, rights = F.array_intersect("left", "pleft"), F.array_intersect("right", "pright")
     first = F.xxhash64(F.array_min(lefts), F.array_min(rights))
     agreed = F.size(lefts) + F.size(rights) >= min(AGREED, how.bands)
     once = (F.col("label") == F.col("top")) | (F.col("node") < F.col("p"))
     met = rows.join(pivots, "key").filter(
-        (F.col("label") != F.col("pl")) & once & _possible(how) & near & agreed & (first == F.col("key")))
+        (F.col("label") != F.col("pl")) & once & _possible(how) & near & _alike(how) & agreed & (first == F.col("key")))
     # a bucket may hold a pair that is outside in one and inside in another
     pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
     pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import prose, texts_of
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def test_a_large_group_of_edited_copies(spark):
     assert sorted(map(tuple, got), key=repr) == brute(rows, how)
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = random.Random(9)
+    texts = ["", None, "one"] + [prose(rng, n) for n in (3, 50, 400, 5000)]
+    texts += [edited(rng, t, k) for t in texts[3:] for k in (1, 20, 300)]
+    sets, bounds = near_dups.shingles(texts, 3)
+    marks = near_dups.parity(sets, bounds)
+    own = [set(sets[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    for i, x in enumerate(own):
+        for j, y in enumerate(own):
+            apart = int(np.bitwise_count(marks[i] ^ marks[j]).sum())
+            assert apart <= len(x ^ y) and apart % 2 == len(x ^ y) % 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (7, 7), (300, 100)]
     got = dict(connected(spark.createDataFrame(chain, "a long, b long")).collect())
