@@ -13,8 +13,9 @@ shards:
   words precede it;
 * ``triples`` and ``contexts``, for order three: per shard of the two words before,
   the sorted 64-bit hashes of triples with counts, and the same four sums for each
-  two words. ``pairs`` then count the different words that precede a pair. A text
-  begins with as many starts as a context has words.
+  two words seen twice or more; those of two words seen once follow from the pair.
+  ``pairs`` then count the different words that precede a pair. A text begins with
+  as many starts as a context has words.
 
 Tasks exchange one packed block per batch and shard, never a row per token.
 Pairs of a very frequent first word are spread over all shards by their key, and
@@ -325,8 +326,9 @@ def _count_triples(training: DataFrame, store: Store) -> DataFrame:
         sums = np.stack([np.add.reduceat((np.minimum(counts, 3) == k).astype(np.int64), heads) for k in (1, 2, 3)]
                         + [np.add.reduceat(counts, heads)], 1)
         spread = store.hot_contexts(contexts[heads])
-        store.write("contexts", shard, contexts[heads][~spread])
-        store.write("context_sums", shard, sums[~spread].astype(np.uint32))
+        own = ~spread & (sums[:, 3] > 1)
+        store.write("contexts", shard, contexts[heads][own])
+        store.write("context_sums", shard, sums[own].astype(np.uint32))
 
         pairs, before = np.unique((contexts & _LOW) << _U32 | third.astype(np.uint64), return_counts=True)
         to = store.shard_of_pairs(pairs)
@@ -531,12 +533,17 @@ def _context_sums(contexts: np.ndarray, store: Store) -> np.ndarray:
     return out
 
 
-def _given_two(number: np.ndarray, bounds: np.ndarray, given_one: np.ndarray, store: Store) -> np.ndarray:
-    """Each token's probability given the two before, from that given one."""
+def _given_two(number: np.ndarray, bounds: np.ndarray, paired: np.ndarray, given_one: np.ndarray,
+               store: Store) -> np.ndarray:
+    """Each token's probability given the two before, from that given one; ``paired`` marks tokens seen after the one before."""
     first, second = (_words_before(number, bounds, store, k) for k in (2, 1))
     known = np.flatnonzero((first >= 0) & (second >= 0))
     contexts, back = np.unique(_pair(first[known], second[known]), return_inverse=True)
     sums = _context_sums(contexts, store)[back]
+    # a context is the pair of the token before; seen and without sums of its own it was seen once
+    once = np.concatenate([[False], paired[:-1]])
+    once[bounds[:-1]] = False
+    sums[once[known] & (sums[:, 3] == 0)] = (1, 0, 0, 1)
     known, sums, contexts = known[sums[:, 3] > 0], sums[sums[:, 3] > 0], contexts[back][sums[:, 3] > 0]
     found = np.zeros(len(known), dtype=np.int64)
     inside = np.flatnonzero(number[known] >= 0)
@@ -572,9 +579,11 @@ def log_probabilities(tokens: np.ndarray, bounds: np.ndarray, store: Store) -> t
     found = _counts("pair", keys, store.shard_of_pairs(keys), store)
     pair = np.zeros(len(tokens))
     pair[both] = (found - store.pair_discounts.take(found))[key_back]
+    paired = np.zeros(len(tokens), dtype=bool)
+    paired[both] = (found > 0)[key_back]
     history = np.maximum(seen, 1)[head_back]
     given_one = pair / history + back_off[head_back] * lowest[word_back]
-    return np.log10(given_one if store.order == 2 else _given_two(number, bounds, given_one, store)), count
+    return np.log10(given_one if store.order == 2 else _given_two(number, bounds, paired, given_one, store)), count
 
 
 def scores(docs: DataFrame, how: Counting = Counting(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
