@@ -6,7 +6,8 @@ is the expected grade and the probability of each grade or worse.
 
 Features are words that labelled toxic texts hold far more often than others
 (a test on their log-odds), as logarithms of counts, with the sum and the rate
-of all of them. Only they are looked up when scoring, so the model is small.
+of all of them. Only they are looked up when scoring, so the model is small. Rows are kept sparse,
+so memory grows with the words found and not with texts times words.
 
 Labels say toxic or not. Grades come from them and from how dense the found
 words are: 0 not toxic, then thirds of the toxic texts by hits per word. A
@@ -46,6 +47,29 @@ class Toxicity:
     ridge: float = 1e-3
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """A matrix of ``rows``, ``places`` and ``values``, followed by the columns of ``dense``."""
+
+    rows: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    dense: np.ndarray
+    words: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.dense), self.words + self.dense.shape[1]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        own = np.bincount(self.rows, self.values * w[self.places], len(self.dense))
+        return own + self.dense @ w[self.words:]
+
+    def across(self, v: np.ndarray) -> np.ndarray:
+        """The transposed matrix times ``v``."""
+        return np.concatenate([np.bincount(self.places, self.values * v[self.rows], self.words), self.dense.T @ v])
+
+
 @dataclass
 class Model:
     words: np.ndarray
@@ -58,31 +82,35 @@ class Model:
         self.lookup = np.zeros(1 << 16, dtype=bool)
         self.lookup[(self.words >> np.uint64(48)).astype(np.int64)] = True
 
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, words) counts of the model's words, and the number of all words."""
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and count of each of the model's words in ``texts``, and the number of all words of each text."""
         hashes, bounds = word_hashes(texts, PUNCTUATION)
-        out = np.zeros((len(texts), len(self.words)))
         maybe = np.flatnonzero(self.lookup[(hashes >> np.uint64(48)).astype(np.int64)])
-        if len(maybe) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes[maybe]), len(self.words) - 1)
-            hit = self.words[at] == hashes[maybe]
-            doc = np.searchsorted(bounds, maybe[hit], side="right") - 1
-            np.add.at(out, (doc, at[hit]), 1)
-        return out, np.diff(bounds)
+        if not len(self.words):
+            maybe = maybe[:0]
+        at = np.minimum(np.searchsorted(self.words, hashes[maybe]), max(len(self.words) - 1, 0))
+        hit = self.words[at] == hashes[maybe] if len(maybe) else np.zeros(0, dtype=bool)
+        text = np.searchsorted(bounds, maybe[hit], side="right") - 1
+        cells, counts = np.unique(text * max(len(self.words), 1) + at[hit], return_counts=True)
+        return *np.divmod(cells, max(len(self.words), 1)), counts, np.diff(bounds)
+
+
+def hits_of(rows: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
+    return np.bincount(rows, counts, texts)
 
 
-def design(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    hits = counts.sum(1)
-    return np.hstack([np.log1p(counts), np.log1p(hits)[:, None],
-                      np.log1p(1000 * hits / np.maximum(sizes, 1))[:, None]])
+def design(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, words: int) -> Sparse:
+    hits = hits_of(rows, counts, len(sizes))
+    dense = np.stack([np.log1p(hits), np.log1p(1000 * hits / np.maximum(sizes, 1))], 1)
+    return Sparse(rows, places, np.log1p(counts), dense, words)
 
 
-def worse(weights: np.ndarray, thresholds: np.ndarray, x: np.ndarray) -> np.ndarray:
+def worse(weights: np.ndarray, thresholds: np.ndarray, x: np.ndarray | Sparse) -> np.ndarray:
     """(rows, grades - 1) probabilities of grade 1, 2, ... or worse."""
     return 1 / (1 + np.exp(-np.clip((x @ weights)[:, None] - thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 1e-3,
+def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = 1e-3,
                 steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by full-batch gradient steps.
 
@@ -94,6 +122,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float
     state = np.concatenate([np.zeros(x.shape[1]), start[:1], gaps])
     first, second = np.zeros_like(state), np.zeros_like(state)
     n, d = len(y), x.shape[1]
+    across = x.across if isinstance(x, Sparse) else x.T.dot
     for step in range(1, steps + 1):
         w, jumps = state[:d], np.exp(state[d + 1:])
         t = state[d] + np.concatenate([[0], np.cumsum(jumps)])
@@ -103,7 +132,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float
         low = 1 / (1 + np.exp(-np.clip(edges[y] - eta, -40, 40)))
         p = np.maximum(high - low, 1e-12)
         dh, dl = high * (1 - high), low * (1 - low)
-        grad_w = x.T @ ((dh - dl) / p) / n + ridge * w
+        grad_w = across((dh - dl) / p) / n + ridge * w
         by_edge = np.bincount(y + 1, -dh / p, grades + 1) + np.bincount(y, dl / p, grades + 1)
         by_t = by_edge[1:-1] / n
         tail = np.cumsum(by_t[::-1])[::-1]
@@ -176,15 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, how: Toxicity, id_col: str, text_c
 
     rows = map_batches(lists.select("y", "n", "words", "counts"), pick,
                        "y int, n bigint, places array<bigint>, counts array<bigint>").toPandas()
-    counts = np.zeros((len(rows), len(model.words)))
-    for i, (places, amounts) in enumerate(zip(rows["places"], rows["counts"])):
-        counts[i, places] = amounts
+    found = np.repeat(np.arange(len(rows)), rows["places"].map(len).to_numpy(dtype=np.int64))
+    places, counts = (np.concatenate([np.asarray(v, dtype=np.int64) for v in rows[c]] or [found]) for c in ("places", "counts"))
     sizes, y = rows["n"].to_numpy(), rows["y"].to_numpy()
-    rate = counts.sum(1) / np.maximum(sizes, 1)
+    rate = hits_of(found, counts, len(rows)) / np.maximum(sizes, 1)
     dense = rate[(y == 1) & (rate > 0)]
     cuts = np.quantile(dense, [1 / 3, 2 / 3]) if len(dense) else np.array([1.0, 1.0])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, rate, side="left"), 0)
-    model.weights, model.thresholds = fit_ordinal(design(counts, sizes), grade, GRADES, how.ridge)
+    model.weights, model.thresholds = fit_ordinal(
+        design(found, places, counts, sizes, len(model.words)), grade, GRADES, how.ridge)
     return model
 
 
@@ -206,9 +235,9 @@ def severity(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity(), id_
                 hits.append(np.zeros(b - a, dtype=np.int64))
                 probs.append(np.tile([model, 0.0, 0.0], (b - a, 1)))
                 continue
-            counts, sizes = model.counts(texts[a:b])
-            hits.append(counts.sum(1).astype(np.int64))
-            probs.append(worse(model.weights, model.thresholds, design(counts, sizes)))
+            found, places, counts, sizes = model.counts(texts[a:b])
+            hits.append(hits_of(found, counts, b - a).astype(np.int64))
+            probs.append(worse(model.weights, model.thresholds, design(found, places, counts, sizes, len(model.words))))
         p = np.concatenate(probs)
         exact = np.hstack([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]])
         flag = np.zeros(len(p), dtype=bool) if isinstance(model, float) else p[:, 0] >= how.threshold

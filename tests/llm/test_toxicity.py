@@ -21,6 +21,36 @@ def test_ordinal_fit_recovers_weights_and_order():
     assert (np.diff(p, axis=1) <= 0).all() and (np.diff(got_t) > 0).all()
 
 
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(6)
+    full = rng.poisson(0.15, (400, 30))
+    rows, places = np.nonzero(full)
+    sizes = rng.integers(0, 300, 400)
+    x = toxicity.design(rows, places, full[rows, places], sizes, 30)
+    hits = full.sum(1)
+    dense = np.hstack([np.log1p(full), np.log1p(hits)[:, None], np.log1p(1000 * hits / np.maximum(sizes, 1))[:, None]])
+    w, v = rng.standard_normal(32), rng.standard_normal(400)
+    assert x.shape == dense.shape
+    assert np.allclose(x @ w, dense @ w) and np.allclose(x.across(v), dense.T @ v)
+    y = np.minimum(hits, 3)
+    for a, b in zip(toxicity.fit_ordinal(x, y, steps=200), toxicity.fit_ordinal(dense, y, steps=200)):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_counts_equal_plain_counting():
+    rng = random.Random(2)
+    texts = [None, "", "Bad, bad!"] + [" ".join(rng.choice(["bad", "worse", "fine", "x"]) for _ in range(n)) for n in (1, 7, 90)]
+    hashes = [toxicity.word_hashes([w], toxicity.PUNCTUATION)[0][0] for w in ("bad", "worse")]
+    model = toxicity.Model(np.array(hashes), np.zeros(0), np.zeros(0))
+    rows, places, counts, sizes = model.counts(texts)
+    names = {int(h): w for h, w in zip(hashes, ("bad", "worse"))}
+    got = {(int(r), names[int(model.words[p])]): int(c) for r, p, c in zip(rows, places, counts)}
+    split = [[w.strip(",!") for w in (t or "").lower().split()] for t in texts]
+    assert got == {(i, w): s.count(w) for i, s in enumerate(split) for w in names.values() if w in s}
+    assert sizes.tolist() == [len(s) for s in split]
+    assert [len(x) for x in toxicity.Model(np.zeros(0), np.zeros(0), np.zeros(0)).counts(texts)[:3]] == [0, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(14)
