@@ -35,6 +35,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def configured(spark: SparkSession, *keys: str) -> Iterator[None]:
+    """The named ``SETTINGS`` hold inside the block. A stream started there keeps them, since it copies the session."""
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        for key in keys:
+            spark.conf.set(key, SETTINGS[key])
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def local_session(cores: str | int = "*", app: str = "hostloom", shared: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; ``shared`` is its folder for intermediate tables."""
     builder = (

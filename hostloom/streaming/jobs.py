@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostloom.operators.ingest import accepted, drop_greetings, reduce_to_latest
 from hostloom.operators.registry import watch
-from hostloom.session import scratch
+from hostloom.session import configured, scratch
 from hostloom.sinks.base import Sink, fan_out
 from hostloom.sinks.snapshots import SnapshotTable
 from hostloom.streaming.leases import lease_events
@@ -69,6 +69,10 @@ def watch_events(changes: DataFrame, key: str, out: str, checkpoint: str, prefix
 
 def lease_spans(changes: DataFrame, out: str, checkpoint: str, delay: str = "10 seconds",
                 available_now: bool = False) -> StreamingQuery:
-    """Lease spans as they end, appended to Parquet files."""
+    """Lease spans as they end, appended to Parquet files.
+
+    Timers need a state store with column families, which Spark's default one does not have.
+    """
     rows = lease_events(changes, delay)
-    return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)
+    with configured(changes.sparkSession, "spark.sql.streaming.stateStore.providerClass"):
+        return _start(rows.writeStream.format("parquet").option("path", out), checkpoint, available_now)

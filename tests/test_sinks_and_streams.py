@@ -452,3 +452,19 @@ def test_lease_stream_equals_batch_over_restarts(spark, tmp_path):
     run(log[90:])
     # time goes on: leases run out though no change of their keys comes
     assert run([(999, 50_000, "other", "DELETE", "", None)]) == spans_of(registry.lease_spans(whole))
+
+
+def test_lease_stream_runs_in_a_session_with_the_default_state_store(spark, tmp_path):
+    """The stream brings the store its timers need; the session keeps its own setting."""
+    plain, setting = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain.conf.set(setting, default)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    lease_log(spark).coalesce(1).write.parquet(src)
+    for _ in range(2):  # the second run starts from the checkpoint
+        jobs.lease_spans(read_changes(plain, src, streaming=True), out, str(tmp_path / "cp"),
+                         available_now=True).awaitTermination()
+        # the lease of the newest change has not run out
+        whole = [s for s in spans_of(registry.lease_spans(lease_log(spark))) if s[0] != "z"]
+        assert whole and spans_of(plain.read.parquet(out)) == whole
+    assert plain.conf.get(setting) == default
