@@ -26,8 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
-def _moment(us: int) -> datetime:
-    return _EPOCH + timedelta(microseconds=us)
+def _moment(us: int | None) -> datetime | None:
+    return None if us is None else _EPOCH + timedelta(microseconds=us)
 
 
 class LeaseSpans(StatefulProcessor):
@@ -38,29 +38,36 @@ class LeaseSpans(StatefulProcessor):
         self.span = handle.getValueState("span", _OPEN_SPAN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.span.get() if self.span.exists() else None
-        timer = held[3] if held else None
-        held = held and tuple(held[:3])
+        stored = self.span.get()
+        held, timer = (tuple(stored[:3]), stored[3]) if stored else (None, None)
+        dated, undated = [], 0
         # events of other kinds only move time on; a filter would slip below the watermark and lose that
-        for row in sorted((r for r in rows if r.op in (PUT, DELETE)), key=lambda r: r.rev):
-            if held and row.at_us > held[1]:
+        for _, rev, op, _, at_us, ttl_us in rows:
+            if op in (PUT, DELETE):
+                leased = op == PUT and ttl_us is not None
+                if at_us is None:
+                    undated += leased
+                else:
+                    dated.append(((rev is None, rev or 0), op, at_us, ttl_us, leased))
+        for _, op, at_us, ttl_us, leased in sorted(dated, key=lambda change: change[0]):
+            if held and at_us > held[1]:
                 yield self._ended(key, held, held[1], EXPIRED)
                 held = None
-            leased = row.op == PUT and row.ttl_us is not None
             if leased:
-                started, _, puts = held or (row.at_us, 0, 0)
-                held = (started, row.at_us + row.ttl_us, puts + 1)
+                started, _, puts = held or (at_us, 0, 0)
+                held = (started, at_us + ttl_us, puts + 1)
             elif held:
-                yield self._ended(key, held, row.at_us, REVOKED if row.op == DELETE else KEPT)
+                yield self._ended(key, held, at_us, REVOKED if op == DELETE else KEPT)
                 held = None
+        if undated:
+            yield self._ended(key, (None, None, undated), None, EXPIRED)
         self._store(held, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.span.exists():
-            held = self.span.get()
-            if held[3] <= expiredTimerInfo.getExpiryTimeInMs():
-                self.span.clear()
-                yield self._ended(key, held, held[1], EXPIRED)
+        held = self.span.get()
+        if held and held[3] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.span.clear()
+            yield self._ended(key, held, held[1], EXPIRED)
 
     def close(self) -> None:
         pass
@@ -71,14 +78,15 @@ class LeaseSpans(StatefulProcessor):
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         if held is None:
-            self.span.clear()
+            if timer is not None:
+                self.span.clear()
             return
         if timer != due:
             self.handle.registerTimer(due)
         self.span.update((*held, due))
 
     @staticmethod
-    def _ended(key, held, until_us: int, by: str) -> Row:
+    def _ended(key, held, until_us: int | None, by: str) -> Row:
         return Row(svc_key=key[0], started_at=_moment(held[0]), ended_at=_moment(until_us), ended_by=by, puts=held[2])
 
 
@@ -88,7 +96,8 @@ def lease_events(changes: DataFrame, delay: str = "10 seconds") -> DataFrame:
     Changes of a key must come in order of ``rev`` from one batch to the next; within a
     batch they are sorted. ``delay`` is how late a change may be against the newest
     one. A lease that nobody renews ends when the stream's time, the greatest ``ts`` less
-    ``delay``, is past it: changes of any key and of any kind move it on.
+    ``delay``, is past it: changes of any key and of any kind move it on. Puts with a lease
+    but without ``ts`` touch no other span; those of a key in one batch are a span without times.
     """
     ttl = F.greatest(F.col("ttl_s"), F.lit(MIN_TTL_S)) * 1_000_000
     rows = changes.select(

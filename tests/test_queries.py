@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from check import compare, connect
 
@@ -39,3 +40,16 @@ LAZY = [n for n in NAMES if not n.startswith(("stm_", "snk_fanout", "snk_upsert"
 def test_plan_has_no_cross_join_and_no_python(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"CartesianProduct|BroadcastNestedLoopJoin|PythonUDF|EvalPython|MapInPandas", plan)
+
+
+def test_lease_stream_matches_sql_on_null_columns(spark, tmp_path):
+    """Orders without a date, status or customer."""
+    db = duckdb.connect()
+    db.execute(f"""COPY (SELECT i AS o_orderkey, CASE WHEN i % 7 <> 3 THEN i % 9 END AS o_custkey,
+        CASE WHEN i % 5 <> 1 THEN ['F', 'O', 'P'][i % 3 + 1] END AS o_orderstatus,
+        CASE WHEN i % 4 <> 2 THEN TIMESTAMP '1995-01-01' + to_days(CAST(i AS INTEGER)) END AS o_orderdate
+        FROM range(200) t(i)) TO '{tmp_path}/orders.parquet'""")
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    problem, rows = compare(spark, db, "stm_leases", str(tmp_path))
+    assert problem is None
+    assert rows > 0

@@ -468,3 +468,27 @@ def test_lease_stream_runs_in_a_session_with_the_default_state_store(spark, tmp_
         whole = [s for s in spans_of(registry.lease_spans(lease_log(spark))) if s[0] != "z"]
         assert whole and spans_of(plain.read.parquet(out)) == whole
     assert plain.conf.get(setting) == default
+
+
+def test_lease_stream_takes_changes_without_time(spark, tmp_path):
+    """They come beside a key's open span, which goes on, and are not late in a later batch."""
+    def undated(*log):
+        rows = changes(spark, [(rev, 0, *rest) for rev, *rest in log])
+        return rows.withColumns({"rev": F.lit(None).cast("bigint"), "ts": F.lit(None).cast("timestamp_ntz")})
+
+    src, out, checkpoint = (str(tmp_path / n) for n in ("src", "out", "cp"))
+
+    def run(*batches):
+        for rows in batches:
+            rows.coalesce(1).write.mode("append").parquet(src)
+        jobs.lease_spans(read_changes(spark, src, streaming=True), out, checkpoint, available_now=True).awaitTermination()
+        return [(s.svc_key, s.started_at and s.started_at.second, s.ended_at and s.ended_at.second, s.ended_by, s.puts)
+                for s in spark.read.parquet(out).orderBy("started_at", "puts").collect()]
+
+    lost = ("a", None, None, "expired")
+    first = run(changes(spark, [(1, 0, "a", "PUT", "", 20)]),
+                undated((2, "a", "PUT", "", 20), (3, "a", "PUT", "", 20), (4, "a", "DELETE", "", None), (5, "a", "PUT", "", None)))
+    assert first == [(*lost, 2)]
+    dated = changes(spark, [(6, 15, "a", "PUT", "", 20), (7, 9000, "other", "DELETE", "", None)])
+    assert run(dated, undated((8, "a", "PUT", "", 20))) == [(*lost, 1), (*lost, 2), ("a", 0, 35, "expired", 2)]
+    assert run(undated((9, "a", "PUT", "", 20)))[:2] == [(*lost, 1), (*lost, 1)]
